@@ -12,7 +12,7 @@ from math import log
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from tamis.operators.counting import with_term_counts
+from tamis.operators.counting import term_rows, with_term_counts
 from tamis.operators.joins import fits_broadcast, lookup
 from tamis.operators.ranking import top_k
 from tamis.session import materialize
@@ -64,7 +64,7 @@ def fit(df: DataFrame, words: str, label: str, vocab_size: int, min_df: int = 1,
     # One extra row per document, under the NULL term, carries the class sizes along.
     document_mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("n")))
     stats = (
-        counted.select(label, F.inline(F.concat(document_mark, "terms")))
+        counted.select(label, F.inline_outer(F.concat(document_mark, "terms")))
         .groupBy("term")
         .agg(
             F.count("*").alias("df"),
@@ -102,8 +102,7 @@ def score(model: TermModel, df: DataFrame, words: str, keep: list[str]) -> DataF
     Unknown terms count nothing; a document without known terms gets the priors. All
     terms of a document sit in one task, so only one partial sum per document is shuffled.
     """
-    counted = with_term_counts(df.select(*keep, words), words)
-    rows = counted.select(*keep, F.inline_outer("terms"))
+    rows = term_rows(df, words, keep, empty=True)
     table = model.terms.withColumn("weight", F.col("n0") + F.col("n1"))
     matched = lookup(rows, table, "term", model.small, weight="weight")
     sums = matched.groupBy(*keep).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, functions as F
 
-from tamis.operators.counting import term_statistics
+from tamis.operators.counting import term_rows, term_statistics
 from tamis.operators.ranking import top_k
 from tamis.session import materialize
 
@@ -24,12 +24,13 @@ def frequency_vocabulary(df: DataFrame, words: str, size: int, min_df: int = 1)
 
 def first_seen_vocabulary(df: DataFrame, words: str, doc_id: str, size: int) -> DataFrame:
     """``(idx, term, freq)`` by falling frequency, ties by first occurrence in the corpus."""
+    # Both minima are plain numbers, so the aggregate stays a hash aggregate.
     stats = (
-        df.select(doc_id, F.posexplode(words).alias("at", "term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("freq"), F.min(F.struct(doc_id, "at")).alias("first_seen"))
+        term_rows(df, words, [doc_id], first=True).groupBy("term")
+        .agg(F.sum("n").alias("freq"), F.min(doc_id).alias("first_doc"),
+             F.min_by("first", doc_id).alias("first_at"))
     )
-    return top_k(stats, size, [F.desc("freq"), F.asc("first_seen")]).drop("first_seen")
+    return top_k(stats, size, [F.desc("freq"), F.asc("first_doc"), F.asc("first_at")]).drop("first_doc", "first_at")
 
 
 def count_vectorizer(vocabulary: DataFrame, words: str, features: str,

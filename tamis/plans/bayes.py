@@ -10,7 +10,7 @@ from tamis.plans import sql
 from tamis.plans.features import labelled_words
 from tamis.plans.registry import query
 from tamis.session import materialize, scratch_path
-from tamis.sources.tables import documents, labelled_documents
+from tamis.sources.tables import documents, labelled_documents, table
 from tamis.streaming import scoring
 
 VOCAB_SIZE = 50_000
@@ -74,7 +74,7 @@ def confusion_matrix(spark, folder):
 
 def _toxicity_as_prediction(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity mark taken as a prediction of low quality."""
-    marks = spark.read.parquet(f"{folder}/labels.parquet").select(
+    marks = table(spark, folder, "labels").select(
         "doc_id", F.col("toxic").cast("double").alias("prediction"))
     return labelled_documents(spark, folder).select("doc_id", "label").join(marks, "doc_id")
 
@@ -217,7 +217,7 @@ SELECT event_id, key, hit FROM replay""")
 def cache_ttl(spark, folder):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
     replayed = answer_cache.replay_cache(
-        spark.read.parquet(f"{folder}/events.parquet"), key, F.col("ts"), F.col("event_id")
+        table(spark, folder, "events"), key, F.col("ts"), F.col("event_id")
     )
     return replayed.select(F.col("id").alias("event_id"), "key", F.col("hit").cast("int").alias("hit"))
 
@@ -255,7 +255,8 @@ def score_stream(spark, folder):
         words = batch.where(F.col("text").isNotNull()).select("doc_id", filtered_words("text").alias("words"))
         return naive_bayes.score(model, words, "words", ["doc_id"])
 
-    source, sink = f"{folder}/documents.parquet", scratch_path(spark, "stream-answers")
-    schema = spark.read.parquet(source).schema
+    # A streaming source takes a folder or a glob; this one matches exactly the table.
+    source, sink = f"{folder}/documents.{{parquet}}", scratch_path(spark, "stream-answers")
+    schema = table(spark, folder, "documents").schema
     scoring.score_stream(spark, source, schema, score, sink).awaitTermination()
     return scoring.scored(spark, sink).select("doc_id", "prediction", _probability())

@@ -11,7 +11,7 @@ from tamis.plans import sql
 from tamis.plans.registry import query
 from tamis.session import scratch_path
 from tamis.sources import csv, exports
-from tamis.sources.tables import documents, labelled_documents
+from tamis.sources.tables import documents, labelled_documents, spread
 
 BAG_SIZE = 1000
 VOCAB_SIZE = 10_000
@@ -19,7 +19,7 @@ LARGE_VOCAB_SIZE = 50_000
 
 
 def tokenized(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).select("doc_id", "lang", tx.tokenize(F.col("text")).alias("words"))
+    return spread(documents(spark, folder), "doc_id").select("doc_id", "lang", tx.tokenize(F.col("text")).alias("words"))
 
 
 def filtered(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +27,7 @@ def filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bagged(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).select("doc_id", tx.bag_words(F.col("text")).alias("words"))
+    return spread(documents(spark, folder), "doc_id").select("doc_id", tx.bag_words(F.col("text")).alias("words"))
 
 
 def labelled_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +150,7 @@ def bow_presence(spark, folder):
 def token_lookup(spark, folder):
     docs = bagged(spark, folder)
     terms = vocabulary.first_seen_vocabulary(docs, "words", "doc_id", BAG_SIZE).select("term", "idx")
-    distinct = docs.select("doc_id", F.explode(F.array_distinct("words")).alias("term"))
+    distinct = counting.word_rows(docs.withColumn("words", F.array_distinct("words")), "words", ["doc_id"], "term")
     # The vocabulary holds at most BAG_SIZE rows.
     return lookup(distinct, terms, "term", small=True).where(F.col("idx").isNotNull()).select("doc_id", "idx")
 

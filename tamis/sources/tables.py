@@ -15,11 +15,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where(F.col("text").isNotNull())
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input of few splits; an input with enough splits stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a repaired label: low quality is the positive class."""
     marks = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
     return (
-        documents(spark, folder).select("doc_id", "lang", "text").join(marks, "doc_id")
+        spread(documents(spark, folder).select("doc_id", "lang", "text"), "doc_id").join(marks, "doc_id")
         .withColumn("label", repair_label(F.col("label")))
     )
 
