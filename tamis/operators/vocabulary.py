@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tamis.operators.counting import term_rows, term_statistics
 from tamis.operators.ranking import top_k
-from tamis.session import materialize
+from tamis.session import scratch_path
 
 # Vectors index their vocabulary on the driver; larger ones belong in the table-based model.
 MAX_VECTOR_TERMS = 2_000_000
@@ -35,14 +35,23 @@ def first_seen_vocabulary(df: DataFrame, words: str, doc_id: str, size: int) ->
 
 def count_vectorizer(vocabulary: DataFrame, words: str, features: str,
                      binary: bool = False) -> CountVectorizerModel:
-    """A fitted vectorizer over a vocabulary table (at most ``MAX_VECTOR_TERMS`` terms)."""
-    table = materialize(vocabulary.select("idx", "term"), "vocabulary")
-    size = table.count()
-    if size > MAX_VECTOR_TERMS:
-        raise ValueError(f"{size} terms are too many for vectors; use tamis.operators.naive_bayes")
-    terms = [row.term for row in table.orderBy("idx").collect()]
-    model = CountVectorizerModel.from_vocabulary(terms, inputCol=words, outputCol=features)
-    return model.setBinary(binary)
+    """A fitted vectorizer over a vocabulary table (at most ``MAX_VECTOR_TERMS`` terms).
+
+    The terms go from the table into the files of a saved model, which is then loaded:
+    handing a long list over from Python costs a call per term.
+    """
+    spark = vocabulary.sparkSession
+    path = scratch_path(spark, "vectorizer")
+    template = CountVectorizerModel.from_vocabulary(["template"], inputCol=words, outputCol=features)
+    template.setBinary(binary).write().save(path)
+    # The limit bounds the one row of all terms whatever the vocabulary table holds.
+    entries = F.array_sort(F.collect_list(F.struct("idx", "term")))
+    vocabulary.limit(MAX_VECTOR_TERMS + 1).agg(
+        F.transform(entries, lambda entry: entry["term"]).alias("vocabulary")
+    ).write.mode("overwrite").parquet(f"{path}/data")
+    if spark.read.parquet(f"{path}/data").select(F.size("vocabulary")).first()[0] > MAX_VECTOR_TERMS:
+        raise ValueError("too many terms for vectors; use tamis.operators.naive_bayes")
+    return CountVectorizerModel.load(path)
 
 
 def vector_entries(df: DataFrame, features: str, keep: list[str]) -> DataFrame:

@@ -23,13 +23,13 @@ NETWORK = {"maxIter": 30, "blockSize": 128}
 SIX = ("bayes", "lr", "dt", "svm", "gbt", "rf")
 
 
-def split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return splits.hash_split(labelled_documents(spark, folder), "doc_id")
+def test_part(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.hash_split(labelled_documents(spark, folder), "doc_id")[1]
 
 
 def features(spark: SparkSession, folder: str, size: int, min_df: int = 1, **options) -> classifiers.Features:
-    train, test = split(spark, folder)
-    return classifiers.fit_features(train, test, "text", ["doc_id", "label"], size, min_df, **options)
+    return classifiers.fit_features(labelled_documents(spark, folder), splits.in_share("doc_id"), "text",
+                                    ["doc_id", "label"], size, min_df, **options)
 
 
 def features_for(spark: SparkSession, folder: str, name: str) -> classifiers.Features:
@@ -91,15 +91,15 @@ def mixed_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("svm_mixed_eval")
 def svm_mixed_eval(spark, folder):
-    train, test = splits.hash_split(mixed_corpus(spark, folder), "id")
-    fitted = classifiers.fit_features(train, test, "message", ["id", "label"], LINEAR_VOCAB_SIZE)
+    fitted = classifiers.fit_features(mixed_corpus(spark, folder), splits.in_share("id"), "message",
+                                      ["id", "label"], LINEAR_VOCAB_SIZE)
     return classifiers.evaluate("svm", fitted, maxIter=100)[1]
 
 
 @query("mlp_eval")
 def mlp_eval(spark, folder):
-    train, test = split(spark, folder)
-    fitted = classifiers.fit_presence_features(train, test, "text", "doc_id", ["doc_id", "label"])
+    fitted = classifiers.fit_presence_features(labelled_documents(spark, folder), splits.in_share("doc_id"),
+                                               "text", "doc_id", ["doc_id", "label"])
     return classifiers.evaluate("mlp", fitted, **NETWORK)[1]
 
 
@@ -122,8 +122,7 @@ def leaderboard(spark, folder):
 def model_timing(spark, folder):
     """Save and load each model, then time it on the test part; fastest first."""
     root = scratch_path(spark, "models")
-    _, test = split(spark, folder)
-    test = materialize(test.select("text"), "test-texts")
+    test = materialize(test_part(spark, folder).select("text"), "test-texts")
     rows, times = test.count(), []
     for name, fitted in shared_features(spark, folder).items():
         models.save_model(classifiers.train_classifier(name, fitted), root, name, folder, fitted.train.count())
@@ -142,8 +141,7 @@ def model_roundtrip(spark, folder):
     model, fitted = bayes_pipeline(spark, folder)
     root = scratch_path(spark, "models")
     models.save_model(model, root, "bayes", folder, fitted.train.count(), {"minDF": MIN_DF, "vocabSize": VOCAB_SIZE})
-    _, test = split(spark, folder)
-    scored = classifiers.score_batch(models.load_model(root, "bayes"), test, ["doc_id", "label"])
+    scored = classifiers.score_batch(models.load_model(root, "bayes"), test_part(spark, folder), ["doc_id", "label"])
     return scored.select("doc_id", "label", "prediction", F.round("probability", 4).alias("probability"))
 
 
