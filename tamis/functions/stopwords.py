@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -9,27 +11,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "ru": "russian"}
 
 
-def stop_words(language: str = "english") -> list[str]:
-    return list(StopWordsRemover.loadDefaultStopWords(language))
+@cache
+def stop_words(language: str = "english") -> tuple[str, ...]:
+    return tuple(dict.fromkeys(StopWordsRemover.loadDefaultStopWords(language)))
 
 
 def stop_word_table(spark: SparkSession, languages: dict[str, str] = LANGUAGES) -> DataFrame:
     """One row per (language code, word); a few hundred rows per language."""
-    rows = [(code, word) for code, name in languages.items() for word in dict.fromkeys(stop_words(name))]
+    rows = [(code, word) for code, name in languages.items() for word in stop_words(name)]
     return spark.createDataFrame(rows, "lang string, word string")
 
 
-def drop_stop_words(words: Column, language: str = "english") -> Column:
-    """Remove one language's stop words from a word list, ignoring case."""
-    listed = [word.lower() for word in stop_words(language)]
-    return F.filter(words, lambda word: ~F.lower(word).isin(listed))
+@cache
+def _word_list(language: str) -> str:
+    """The words as SQL literals: one expression to parse instead of one call per word."""
+    quoted = (word.lower().replace("\\", "\\\\").replace("'", "\\'") for word in stop_words(language))
+    return ", ".join(f"'{word}'" for word in quoted)
+
+
+def drop_stop_words(words: str, language: str = "english") -> Column:
+    """Remove one language's stop words from a word-list column, ignoring case."""
+    return F.expr(f"filter(`{words}`, word -> lower(word) NOT IN ({_word_list(language)}))")
 
 
-def drop_stop_words_by_language(words: Column, lang: Column,
+def drop_stop_words_by_language(words: str, lang: Column,
                                 languages: dict[str, str] = LANGUAGES) -> Column:
     """Remove the stop words of each row's own language; unknown codes keep all words."""
     chosen = None
     for code, name in languages.items():
         kept = drop_stop_words(words, name)
         chosen = F.when(lang == code, kept) if chosen is None else chosen.when(lang == code, kept)
-    return chosen.otherwise(words)
+    return chosen.otherwise(F.col(words))

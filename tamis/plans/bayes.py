@@ -17,8 +17,8 @@ VOCAB_SIZE = 50_000
 MIN_DF = 5
 
 
-def filtered_words(message: str):
-    return stopwords.drop_stop_words(tx.tokenize(F.col(message)))
+def with_words(df: DataFrame, message: str) -> DataFrame:
+    return df.withColumn("words", tx.tokenize(F.col(message))).withColumn("words", stopwords.drop_stop_words("words"))
 
 
 def train_model(spark: SparkSession, folder: str) -> naive_bayes.TermModel:
@@ -228,7 +228,7 @@ _ALL_SCORED = f"WITH {sql.naive_bayes('SELECT doc_id, text FROM documents WHERE
 def score_distinct_messages(model: naive_bayes.TermModel, df: DataFrame) -> DataFrame:
     """``key, probability`` once per distinct message; copies are scored a single time."""
     distinct = df.groupBy("key").agg(F.first("message").alias("message"))
-    return naive_bayes.score(model, distinct.withColumn("words", filtered_words("message")), "words", ["key"])
+    return naive_bayes.score(model, with_words(distinct, "message"), "words", ["key"])
 
 
 @query("score_messages", f"""{_ALL_SCORED}
@@ -252,8 +252,7 @@ def score_stream(spark, folder):
     model = train_model(spark, folder)
 
     def score(batch: DataFrame) -> DataFrame:
-        words = batch.where(F.col("text").isNotNull()).select("doc_id", filtered_words("text").alias("words"))
-        return naive_bayes.score(model, words, "words", ["doc_id"])
+        return naive_bayes.score(model, with_words(batch.where(F.col("text").isNotNull()), "text"), "words", ["doc_id"])
 
     # A streaming source takes a folder or a glob; this one matches exactly the table.
     source, sink = f"{folder}/documents.{{parquet}}", scratch_path(spark, "stream-answers")

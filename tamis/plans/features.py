@@ -23,7 +23,7 @@ def tokenized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filtered(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenized(spark, folder).withColumn("words", stopwords.drop_stop_words(F.col("words")))
+    return tokenized(spark, folder).withColumn("words", stopwords.drop_stop_words("words"))
 
 
 def bagged(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,8 +32,8 @@ def bagged(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled_words(spark: SparkSession, folder: str) -> DataFrame:
     return labelled_documents(spark, folder).select(
-        "doc_id", "label", stopwords.drop_stop_words(tx.tokenize(F.col("text"))).alias("words")
-    )
+        "doc_id", "label", tx.tokenize(F.col("text")).alias("words")
+    ).withColumn("words", stopwords.drop_stop_words("words"))
 
 
 def _list_digest(df: DataFrame, words: str = "words") -> DataFrame:
@@ -69,7 +69,7 @@ def stopwords_en(spark, folder):
         for code, name in stopwords.LANGUAGES.items()
     ) + f" ELSE {sql.tokens('text')} END"))
 def stopwords_by_lang(spark, folder):
-    kept = stopwords.drop_stop_words_by_language(F.col("words"), F.col("lang"))
+    kept = stopwords.drop_stop_words_by_language("words", F.col("lang"))
     return _list_digest(tokenized(spark, folder).withColumn("words", kept))
 
 
