@@ -19,7 +19,7 @@ def frequency_vocabulary(df: DataFrame, words: str, size: int, min_df: int = 1)
     The order is total, so the result does not depend on partitioning.
     """
     stats = term_statistics(df, words).where(F.col("df") >= min_df)
-    return top_k(stats, size, [F.desc("tf"), F.asc("term")])
+    return top_k(stats, size, [F.desc("tf"), F.asc("term")]).select("idx", "term", "df", "tf")
 
 
 def first_seen_vocabulary(df: DataFrame, words: str, doc_id: str, size: int) -> DataFrame:
@@ -30,7 +30,8 @@ def first_seen_vocabulary(df: DataFrame, words: str, doc_id: str, size: int) ->
         .agg(F.sum("n").alias("freq"), F.min(doc_id).alias("first_doc"),
              F.min_by("first", doc_id).alias("first_at"))
     )
-    return top_k(stats, size, [F.desc("freq"), F.asc("first_doc"), F.asc("first_at")]).drop("first_doc", "first_at")
+    order = [F.desc("freq"), F.asc("first_doc"), F.asc("first_at")]
+    return top_k(stats, size, order).select("idx", "term", "freq")
 
 
 def count_vectorizer(vocabulary: DataFrame, words: str, features: str,
