@@ -18,7 +18,7 @@ from tamis.sources.tables import documents, labelled_documents, table
 # Tree and network models hold statistics per feature and bin, so they get fewer terms.
 TREE_VOCAB_SIZE = 1000
 LINEAR_VOCAB_SIZE = 100_000
-NETWORK = {"maxIter": 30, "blockSize": 128}
+NETWORK = {"maxIter": 15}
 
 SIX = ("bayes", "lr", "dt", "svm", "gbt", "rf")
 
