@@ -10,7 +10,7 @@ from tamis.plans import sql
 from tamis.plans.features import labelled_words
 from tamis.plans.registry import query
 from tamis.session import materialize, scratch_path
-from tamis.sources.tables import documents, labelled_documents, table
+from tamis.sources.tables import documents, labelled_documents, spread, table
 from tamis.streaming import scoring
 
 VOCAB_SIZE = 50_000
@@ -235,7 +235,7 @@ def score_distinct_messages(model: naive_bayes.TermModel, df: DataFrame) -> Data
 SELECT doc_id, {_ANSWER_SQL} AS answer FROM nb""")
 def score_messages(spark, folder):
     """JSON requests in, JSON answers out: parse, validate, score each distinct message, answer all."""
-    bodies = documents(spark, folder).select("doc_id", F.to_json(F.struct(F.col("text").alias("message"))).alias("body"))
+    bodies = spread(documents(spark, folder).select("doc_id", "text"), "doc_id").select("doc_id", F.to_json(F.struct(F.col("text").alias("message"))).alias("body"))
     parsed = answers.clean_request(
         bodies.select("doc_id", answers.parse_request(F.col("body")).alias("message")), "message"
     ).withColumn("key", answers.answer_key(F.col("message")))
@@ -252,7 +252,8 @@ def score_stream(spark, folder):
     model = train_model(spark, folder)
 
     def score(batch: DataFrame) -> DataFrame:
-        return naive_bayes.score(model, with_words(batch.where(F.col("text").isNotNull()), "text"), "words", ["doc_id"])
+        messages = spread(batch.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
+        return naive_bayes.score(model, with_words(messages, "text"), "words", ["doc_id"])
 
     # A streaming source takes a folder or a glob; this one matches exactly the table.
     source, sink = f"{folder}/documents.{{parquet}}", scratch_path(spark, "stream-answers")

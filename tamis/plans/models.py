@@ -13,7 +13,7 @@ from tamis.plans.bayes import MIN_DF, VOCAB_SIZE
 from tamis.plans.registry import query
 from tamis.session import materialize, scratch_path
 from tamis.sources import csv, exports, models
-from tamis.sources.tables import documents, labelled_documents, table
+from tamis.sources.tables import documents, labelled_documents, spread, table
 
 # Tree and network models hold statistics per feature and bin, so they get fewer terms.
 TREE_VOCAB_SIZE = 1000
@@ -151,7 +151,8 @@ SELECT doc_id, prediction, round(probability, 4) AS probability,
        CASE WHEN probability > 0.5 THEN 'SPAM' ELSE 'NOT SPAM' END AS result FROM nb""")
 def score_batch(spark, folder):
     model, _ = bayes_pipeline(spark, folder)
-    unlabelled = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left_anti")
+    messages = spread(documents(spark, folder).select("doc_id", "text"), "doc_id")
+    unlabelled = messages.join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_anti")
     scored = classifiers.score_batch(model, unlabelled, ["doc_id"])
     return scored.select("doc_id", "prediction", F.round("probability", 4).alias("probability"), "result")
 
