@@ -9,7 +9,7 @@ from tamis.operators import answer_cache, metrics, naive_bayes, splits, word_bay
 from tamis.plans import sql
 from tamis.plans.features import labelled_words
 from tamis.plans.registry import query
-from tamis.session import materialize, scratch_path
+from tamis.session import scratch_path
 from tamis.sources.tables import documents, labelled_documents, spread, table
 from tamis.streaming import scoring
 
@@ -225,25 +225,21 @@ def cache_ttl(spark, folder):
 _ALL_SCORED = f"WITH {sql.naive_bayes('SELECT doc_id, text FROM documents WHERE text IS NOT NULL')}"
 
 
-def score_distinct_messages(model: naive_bayes.TermModel, df: DataFrame) -> DataFrame:
-    """``key, probability`` once per distinct message; copies are scored a single time."""
-    distinct = df.groupBy("key").agg(F.first("message").alias("message"))
-    return naive_bayes.score(model, with_words(distinct, "message"), "words", ["key"])
-
-
 @query("score_messages", f"""{_ALL_SCORED}
 SELECT doc_id, {_ANSWER_SQL} AS answer FROM nb""")
 def score_messages(spark, folder):
-    """JSON requests in, JSON answers out: parse, validate, score each distinct message, answer all."""
-    bodies = spread(documents(spark, folder).select("doc_id", "text"), "doc_id").select("doc_id", F.to_json(F.struct(F.col("text").alias("message"))).alias("body"))
+    """JSON requests in, JSON answers out, in one pass over the texts.
+
+    Copies of a message are scored one by one: that is cheaper than moving every text to
+    find them. Stored answers, if there are any, are looked up as in ``cache_hits``.
+    """
+    bodies = spread(documents(spark, folder).select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.to_json(F.struct(F.col("text").alias("message"))).alias("body"))
     parsed = answers.clean_request(
-        bodies.select("doc_id", answers.parse_request(F.col("body")).alias("message")), "message"
-    ).withColumn("key", answers.answer_key(F.col("message")))
-    model = train_model(spark, folder)
-    valid = parsed.where(F.col("status") == "success").select("key", "message")
-    scores = materialize(score_distinct_messages(model, valid).select("key", "probability"), "answers")
-    joined = answer_cache.salted_join(parsed.select("doc_id", "key", "status", "error"), scores, "key", "left")
-    return joined.select("doc_id", _answer(F.col("status"), F.col("error")).alias("answer"))
+        bodies.select("doc_id", answers.parse_request(F.col("body")).alias("message")), "message")
+    scored = naive_bayes.score(
+        train_model(spark, folder), with_words(parsed, "message"), "words", ["doc_id", "status", "error"])
+    return scored.select("doc_id", _answer(F.col("status"), F.col("error")).alias("answer"))
 
 
 @query("score_stream", f"""{_ALL_SCORED}
