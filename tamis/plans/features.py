@@ -11,7 +11,7 @@ from tamis.plans import sql
 from tamis.plans.registry import query
 from tamis.session import scratch_path
 from tamis.sources import csv, exports
-from tamis.sources.tables import documents, labelled_documents, spread
+from tamis.sources.tables import documents, labelled_documents, spread, table
 
 BAG_SIZE = 1000
 VOCAB_SIZE = 10_000
@@ -205,7 +205,7 @@ def count_vectors(spark, folder):
 @query("hash_split", f"SELECT doc_id, CASE WHEN {sql.in_share()} THEN 'train' ELSE 'test' END AS part FROM documents")
 def hash_split(spark, folder):
     part = F.when(splits.in_share("doc_id"), "train").otherwise("test")
-    return documents(spark, folder).select("doc_id", part.alias("part"))
+    return table(spark, folder, "documents").select("doc_id", part.alias("part"))
 
 
 @query("exact_split", """
@@ -213,5 +213,5 @@ SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)
                       <= (SELECT CAST(floor(0.7 * count(*)) AS BIGINT) FROM documents)
                     THEN 'train' ELSE 'test' END AS part FROM documents""")
 def exact_split(spark, folder):
-    train, test = splits.exact_split(documents(spark, folder).select("doc_id"), "doc_id")
+    train, test = splits.exact_split(table(spark, folder, "documents").select("doc_id"), "doc_id")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))

@@ -53,7 +53,7 @@ def test_trees_evaluate(features, name, params):
     assert row.model == name and row.n_rows == len(TRAINING) and row.accuracy > 0.5
 
 
-def test_reference_parameters():
+def test_training_parameters():
     rf, svm, gbt = (classifiers.CLASSIFIERS[n]() for n in ("rf", "svm", "gbt"))
     assert rf.getNumTrees() == 50 and (svm.getMaxIter(), svm.getRegParam()) == (10, 0.1)
     assert (gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize(), gbt.getSubsamplingRate()) == (50, 5, 0.1, 0.8)
