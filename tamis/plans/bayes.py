@@ -9,7 +9,7 @@ from tamis.operators import answer_cache, metrics, naive_bayes, splits, word_bay
 from tamis.plans import sql
 from tamis.plans.features import labelled_words
 from tamis.plans.registry import query
-from tamis.session import scratch_path
+from tamis.session import materialize, scratch_path
 from tamis.sources.tables import documents, labelled_documents, spread, table
 from tamis.streaming import scoring
 
@@ -179,8 +179,9 @@ def answered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and keys, written once: the join reads them twice, the texts only need hashing once."""
     key = answers.answer_key(tx.strip_message(F.col("text")))
-    return documents(spark, folder).select("doc_id", key.alias("key"))
+    return materialize(documents(spark, folder).select("doc_id", key.alias("key")), "requests")
 
 
 _CACHE = f"""

@@ -10,7 +10,6 @@ from pathlib import Path
 
 import pyspark
 
-from tamis.functions.stopwords import LANGUAGES
 from tamis.functions.text import JAVA_SPACE, PYTHON_SPACE
 
 
