@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tamis.functions.answers import EMPTY_TEXT
 from tamis.functions.text import MAX_REQUEST_CHARS
@@ -62,13 +62,13 @@ def request_with_retry(text: str | None, send: Send, attempts: int, pause: float
 
 
 def enrich(df: DataFrame, send: Send, doc_id: str, label: str, text: str, *, attempts: int = MAX_ATTEMPTS,
-           in_flight: int = MAX_IN_FLIGHT, pause: float = PAUSE_SECONDS, tasks: int | None = None,
-           progress: Observation | None = None) -> DataFrame:
+           in_flight: int = MAX_IN_FLIGHT, pause: float = PAUSE_SECONDS,
+           tasks: int | None = None) -> DataFrame:
     """``(doc_id, label, translated, error, attempts)`` for every row.
 
     At most ``in_flight`` requests run per task; ``tasks`` spreads the rows over that many
     tasks, so ``tasks * in_flight`` bounds the whole job. Rows keep their id, because answers
-    come back in any order. ``progress`` observes processed and failed rows.
+    come back in any order.
     """
     fields = df.select(doc_id, label, text).schema
 
@@ -82,12 +82,12 @@ def enrich(df: DataFrame, send: Send, doc_id: str, label: str, text: str, *, att
     kinds = {name: fields[name].dataType.simpleString() for name in (doc_id, label)}
     schema = f"{doc_id} {kinds[doc_id]}, {label} {kinds[label]}, translated string, error string, attempts int"
     rows = df.select(doc_id, label, text)
-    result = (rows.repartition(tasks) if tasks else rows).mapInPandas(run, schema)
-    if progress is not None:
-        result = result.observe(
-            progress, F.count("*").alias("processed"), F.count_if(F.col("error") != "").alias("failed")
-        )
-    return result
+    return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, schema)
+
+
+def progress(written: DataFrame) -> DataFrame:
+    """Processed and failed rows of a written result; repeated tasks are not counted twice."""
+    return written.agg(F.count("*").alias("processed"), F.count_if(F.col("error") != "").alias("failed"))
 
 
 def error_code(error: str = "error"):

@@ -1,8 +1,7 @@
 import json
 
-from pyspark.sql import Observation
-
-from tamis.operators.enrichment import enrich, error_code, request_with_retry, split_dead_letters
+from tamis.operators.enrichment import enrich, error_code, progress, request_with_retry, split_dead_letters
+from tamis.session import materialize
 
 
 def make_send():
@@ -30,8 +29,8 @@ ROWS = [(1, 1, "good"), (2, 0, "third"), (3, 0, "down"), (4, 1, ""), (5, 1, None
 
 def test_every_outcome_keeps_its_row(spark):
     df = spark.createDataFrame(ROWS, "id long, label int, text string")
-    seen = Observation("progress")
-    done = enrich(df, make_send(), "id", "label", "text", pause=0.0, tasks=2, progress=seen)
+    done = enrich(df, make_send(), "id", "label", "text", pause=0.0, tasks=2)
+    done = materialize(done, "done")
     answered, dead = split_dead_letters(done)
     assert {r.id: (r.translated, r.attempts) for r in answered.collect()} == {
         1: ("<good>", 1), 2: ("<third>", 3), 10: (f"<{'y' * 4999}>", 1)}
@@ -39,7 +38,7 @@ def test_every_outcome_keeps_its_row(spark):
     assert codes == {
         3: ("client_error", 3), 4: ("empty_text", 0), 5: ("empty_text", 0), 6: ("http_503", 3), 7: ("bad_json", 3),
         8: ("no_translatedText_in_response", 3), 9: ("unexpected_error", 3)}
-    assert seen.get == {"processed": 10, "failed": 7}
+    assert progress(done).first().asDict() == {"processed": 10, "failed": 7}
 
 
 def test_pauses_grow_and_bodies_are_shortened(monkeypatch):
