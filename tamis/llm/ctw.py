@@ -173,7 +173,7 @@ def code_logs(chance: np.ndarray) -> np.ndarray:
     while out.shape[1] < CODES:
         width = out.shape[1]
         one = chance[:, at:at + width]
-        out = np.stack([out + np.log10(1 - one), out + np.log10(one)], axis=2).reshape(len(chance), -1)
+        out = np.stack([out + np.log10(1 - one), out + np.log10(one)], axis=2).reshape(len(chance), 2 * width)
         at += width
     return out
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import utf8
 
+LEAST_BLOCKS = 50
 MAX_TRAINING_PAGES = 4000  # bound of the sample the block classifier is fitted on
 
 # Elements of HTML by their use here.
@@ -172,8 +173,8 @@ def fit(pages: DataFrame) -> list[np.ndarray]:
     """Log odds of content for the classes of each feature, from pages that mark their content and boilerplate themselves.
 
     Blocks inside article or main elements are content, those inside navigation and the like
-    boilerplate. Only counts of feature combinations (240 at most) leave the tasks. Without such
-    pages the start values decide.
+    boilerplate. Only counts of feature combinations (240 at most) leave the tasks. Without
+    LEAST_BLOCKS blocks of either kind the start values decide.
     """
     chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(MAX_TRAINING_PAGES)
 
@@ -182,10 +183,11 @@ def fit(pages: DataFrame) -> list[np.ndarray]:
             rows = [(*features(b), int(b.good and not b.bad)) for page in batch.column(0).to_pylist() for b in blocks_of((page or b"").decode()) if b.good or b.bad]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(5)], names=["a", "b", "c", "d", "content"])
 
-    counts = [np.array(p, np.float64) for p in PRIOR]
     found = pages.join(F.broadcast(chosen), "page_id", "left_semi").select(utf8("html").alias("html")).mapInArrow(
         count, "a int, b int, c int, d int, content int").groupBy("a", "b", "c", "d", "content").count().collect()
-    for r in found:
+    seen = [sum(r["count"] for r in found if r["content"] == c) for c in (0, 1)]
+    counts = [np.array(p, np.float64) for p in PRIOR]
+    for r in found if min(seen) >= LEAST_BLOCKS else []:
         for table, value in zip(counts, r[:4], strict=True):
             table[value, 1 - r["content"]] += r["count"]
     return [np.log(t[:, 0] / t[:, 0].sum()) - np.log(t[:, 1] / t[:, 1].sum()) for t in counts]

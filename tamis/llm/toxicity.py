@@ -27,8 +27,8 @@ LEAST_DOCUMENTS = 5
 LEAST_Z = 5.0
 PREFIXES = (4, 5, 6)
 PENALTY = 5.0  # weight of the squared score difference of swapped pairs
-RIDGE = 1e-4
-STEPS = 250
+RIDGE = 1e-5
+STEPS = 500
 FOLDS = 5
 
 # Words for groups of people; those of one line replace each other.
