@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from tamis.session import materialize
 MAGIC = 0x5452414E4B303176
 SHARD_IDS = 1_000_000  # a shard is closed when it has so many ids
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]+")
 
@@ -45,7 +46,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cache = self.tokenizer.model, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.plain = self._is_word_model()
+        self.stops = {ord(c): array(self.kind, self._quick(c)).tobytes() for c in ".,;:?!|"} if self.plain else {}
 
     def _is_word_model(self) -> bool:
         """Whether the quick way gives the tokenizer's own ids on a line with all kinds of signs."""
@@ -57,32 +60,49 @@ class Encoder:
         return [t.id for w in text.lower().split() for piece in _PIECE.findall(w)
                 for t in tokens(piece if piece.isascii() else piece.encode().decode("latin-1").translate(table))]
 
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin letters alone, which is one piece for the model; None for any other."""
+        piece = word.decode()
+        if not word.isalpha():
+            piece = piece.lower()
+            if not piece.isalpha() or not _PLAIN.fullmatch(piece) or not unicodedata.is_normalized("NFC", piece):
+                return None
+            piece = piece.encode().decode("latin-1").translate(_byte_letters())
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _word(self, word: bytes) -> bytes:
+        """Ids of a word with A-Z in lower case."""
+        if self.plain:
+            body, stop = (word[:-1], self.stops[word[-1]]) if word[-1] in self.stops else (word, b"")
+            found = self.cache.get(body) if stop else None
+            if found is None and body:
+                found = self._letters(body)
+                if found is not None and stop:
+                    self.cache[body] = found
+            if found is not None:
+                return found + stop
         text = word.decode()
         if self.plain and b"<|" not in word and _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
             ids = self._quick(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.kind, ids).tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
+        """The ids of a text; only texts with a special token's brackets keep their capitals until they are cut into words."""
+        raw = text or b""
+        words = (raw if b"<|" in raw else raw.lower()).split()
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        cache = self.cache
+        cache, at = self.cache, -1
         found = list(map(cache.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    word = words[i]
-                    x = cache.get(word)
-                    if x is None:
-                        low = word if b"<|" in word else word.lower()
-                        x = cache.get(low)
-                        if x is None:
-                            x = cache[low] = self._word(low)
-                        cache[word] = x
-                    found[i] = x
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            word = words[at]
+            ids = cache.get(word)
+            if ids is None:
+                ids = cache[word] = self._word(word if b"<|" in word else word.lower())
+            found[at] = ids
         return b"".join(found)
 
 
@@ -179,8 +199,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     def tally(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(raw, f"<u{wide}"), minlength=size) if len(raw) > size * wide else _small(raw, wide, total)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{wide}"), minlength=size)
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
@@ -225,12 +244,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     return spark.read.schema(kind).parquet(path)
 
 
-def _small(raw: bytes, wide: int, total: np.ndarray) -> int:
-    """Adds a short document's ids to the totals in place."""
-    np.add.at(total, np.frombuffer(raw, f"<u{wide}"), 1)
-    return 0
-
-
 def read_token_files(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document of a table of shards.
 
