@@ -68,23 +68,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, sw
     """``cells`` with ``weight``, at most their ``tokens``, whose marginals come as near to the targets as that allows.
 
     Cells a target does not name weigh nothing. The loop ends when a sweep no longer changes
-    anything, or after ``sweeps``; every sweep is written, so a lost executor repeats one.
+    anything, or after ``sweeps``; every step is written, so its plan stays small and a lost
+    executor repeats one.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     rows = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for name, target in targets.items():
+        share = target.select(F.col(name).alias("key"), F.col("share").alias(f"{name}_share"))
+        rows = rows.join(share, F.col(name).eqNullSafe(F.col("key")), "left").drop("key")
+    rows = materialize(rows.withColumn("before", F.col("weight")), "raked")
     for _ in range(sweeps):
-        start = rows.withColumn("before", F.col("weight"))
-        for name, target in targets.items():
-            sums = start.groupBy(name).agg(F.sum("weight").alias("sum"))
-            scale = sums.join(target, sums[name].eqNullSafe(target[name])).select(
-                sums[name].alias("key"), F.when(F.col("sum") > 0, F.col("share") * keep * total / F.col("sum")).alias("scale"))
-            start = start.join(scale, start[name].eqNullSafe(scale["key"]), "left").withColumn(
-                "weight", F.least(F.col("tokens").cast("double"), F.coalesce(F.col("weight") * F.col("scale"), F.lit(0.0)))).drop("key", "scale")
-        rows = materialize(start.withColumn("change", F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-300))).drop("before"), "raked")
-        if (rows.agg(F.max("change")).first()[0] or 0) <= close:
+        for name in targets:
+            sums = rows.groupBy(F.col(name).alias("key")).agg(F.sum("weight").alias("sum"))
+            want = F.col("weight") * F.col(f"{name}_share") * F.lit(float(keep * total)) / F.col("sum")
+            rows = materialize(rows.join(sums, F.col(name).eqNullSafe(F.col("key"))).withColumn(
+                "weight", F.when(F.col("sum") > 0, F.least(F.col("tokens").cast("double"), F.coalesce(want, F.lit(0.0)))).otherwise(0.0)).drop("key", "sum"), "raked")
+        change = F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-300)))
+        if (rows.agg(change).first()[0] or 0) <= close:
             break
-        rows = rows.drop("change")
-    return rows.drop("change")
+        rows = rows.withColumn("before", F.col("weight"))
+    return rows.select(*cells.columns, "weight")
 
 
 def draw(key: Column) -> Column:
