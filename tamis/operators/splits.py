@@ -10,8 +10,8 @@ def _digest(key: str) -> Column:
 
 
 def in_share(key: str, share: float = 0.7) -> Column:
-    """True for about ``share`` of the keys; a pure row expression."""
-    return F.substring(_digest(key), 1, 8) < f"{int(share * 2**32):08x}"
+    """True for about ``share`` of the keys, false for a NULL key; a pure row expression."""
+    return F.coalesce(F.substring(_digest(key), 1, 8) < f"{int(share * 2**32):08x}", F.lit(False))
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def exact_cutoff(df: DataFrame, key: str, share: float = 0.7) -> str:
     Counts per four-digit digest prefix (65536 at most) find the prefix the cut falls in;
     only that prefix's keys are ordered. The text of the rows is never read or moved.
     """
-    digests = df.select(_digest(key).alias("digest"))
+    digests = df.select(_digest(key).alias("digest")).where("digest IS NOT NULL")
     buckets = (
         digests.groupBy(F.substring("digest", 1, 4).alias("prefix")).count().orderBy("prefix").collect()
     )
@@ -46,6 +46,6 @@ def exact_cutoff(df: DataFrame, key: str, share: float = 0.7) -> str:
 
 
 def exact_split(df: DataFrame, key: str, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Exactly ``int(share * n)`` rows on the left; keys must be unique."""
-    inside = _digest(key) <= exact_cutoff(df, key, share)
+    """Exactly ``int(share * n)`` rows of ``n`` with a key on the left; keys must be unique, rows without one go right."""
+    inside = F.coalesce(_digest(key) <= exact_cutoff(df, key, share), F.lit(False))
     return df.where(inside), df.where(~inside)

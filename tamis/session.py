@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_root: list[str] = []  # of this process, where the session names none
 
 
 def build_session(app: str = "tamis", cores: int | str = "*", shuffle_partitions: int = 8,
@@ -32,11 +34,11 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="tamis-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    if not _local_root:
+        _local_root.append(tempfile.mkdtemp(prefix="tamis-"))
+    return _local_root[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

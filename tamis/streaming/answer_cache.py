@@ -44,8 +44,3 @@ def cache_stream(requests: DataFrame, key: Column, at: Column, request_id: Colum
             "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
-
-
-def answers_once_per_day(requests: DataFrame, key: str, at: str) -> DataFrame:
-    """Approximation in built-in operators: the first request of a key within the watermark."""
-    return requests.withWatermark(at, "24 hours").dropDuplicatesWithinWatermark([key])

@@ -148,3 +148,13 @@ def test_concatenation_and_profile(spark):
     assert corpus.concat_same(a, a.select("text", "label")).count() == 4
     assert {(r.column_name, r.column_type, r.n_rows, r.n_null) for r in corpus.profile(a).collect()} == {
         ("label", "int", 2, 0), ("text", "string", 2, 1)}
+
+
+def test_rows_without_a_key_go_to_the_test_part(spark):
+    from tamis.operators.splits import exact_split, hash_split
+
+    df = spark.createDataFrame([(i if i % 3 else None,) for i in range(30)], "id long")
+    for split, size in ((hash_split, None), (exact_split, 14)):
+        train, test = split(df, "id")
+        assert train.count() + test.count() == 30 and train.where("id IS NULL").count() == 0
+        assert size is None or train.count() == size
