@@ -1,16 +1,15 @@
-"""Enrichment by an external service: retries, error codes, dead letters."""
+"""Enrichment by an external service: whole texts in pieces, rounds of retries, error codes, dead letters."""
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.functions.answers import EMPTY_TEXT
+from tamis.functions.answers import parse_translation, request_fault
 from tamis.functions.text import MAX_REQUEST_CHARS
 from tamis.session import materialize
 
@@ -18,71 +17,80 @@ from tamis.session import materialize
 MAX_ATTEMPTS = 3
 MAX_IN_FLIGHT = 4
 PAUSE_SECONDS = 0.5
-SHOWN_BODY_CHARS = 300
+SHOWN_BODY_CHARS = 300  # of a refused answer's body, for diagnosis only
 
 # Called with the text and the attempt number (from 1); returns HTTP status and body.
 Send = Callable[[str, int], tuple[int, str]]
 
 
-def read_answer(status: int, body: str) -> tuple[str | None, str]:
-    """Translation and error of one answer."""
-    shown = body[:SHOWN_BODY_CHARS]
-    if status != 200:
-        return None, f"http_{status}: {shown}"
-    try:
-        answer = json.loads(body)
-    except ValueError as problem:
-        return None, f"bad_json: {problem}; body={shown}"
-    translated = answer.get("translatedText")
-    if translated is None:
-        return None, f"no_translatedText_in_response: {answer}"
-    return translated, ""
-
-
-def request_with_retry(text: str | None, send: Send, attempts: int, pause: float) -> tuple[str, str, int]:
-    """``(translated, error, attempts used)``; waits longer after each failed connection."""
-    if not text:
-        return "", EMPTY_TEXT, 0
-    error = ""
-    for attempt in range(1, attempts + 1):
+def _one_try(pieces: DataFrame, send: Send, attempt: int, in_flight: int) -> DataFrame:
+    """Sends every piece once: ``row, piece, status, body, broken``; ``broken`` names what kept an answer away."""
+
+    def post(text: str) -> tuple[int | None, str, str]:
         try:
-            translated, error = read_answer(*send(text[:MAX_REQUEST_CHARS], attempt))
-            if translated is not None:
-                return translated, "", attempt
-            continue
-        except TimeoutError:
-            error = "timeout"
-        except OSError as problem:
-            error = f"client_error: {problem}"
+            return *send(text, attempt), ""
         except Exception as problem:
-            error = f"unexpected_error: {problem}"
-        if attempt < attempts:
-            time.sleep(pause * attempt)
-    return "", error, attempts
+            kind = "timeout" if isinstance(problem, TimeoutError) else "client_error" if isinstance(problem, OSError) else "unexpected_error"
+            return None, str(problem), kind
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), in_flight):
+                some = batch.iloc[k:k + in_flight]
+                with ThreadPoolExecutor(in_flight) as pool:
+                    found = pd.DataFrame(list(pool.map(post, some["text"])), columns=["status", "body", "broken"], index=some.index)
+                yield pd.concat([some[["row", "piece"]], found.astype({"status": "Int32"})], axis=1)
+
+    return pieces.select("row", "piece", "text").mapInPandas(run, "row long, piece int, status int, body string, broken string")
+
+
+def outcome() -> tuple[Column, Column]:
+    """Translation and error of one try; an error is its code, a colon and what was seen."""
+    translated, fault = parse_translation(F.col("body"))
+    shown = F.substring("body", 1, SHOWN_BODY_CHARS)
+    error = (F.when(F.col("broken") != "", F.concat_ws(": ", "broken", F.when(shown != "", shown)))
+             .when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status").cast("string"), F.lit(": "), shown))
+             .when(fault != "", F.concat(fault, F.lit(": "), shown)).otherwise(""))
+    return F.when(error == "", translated).otherwise(""), error
 
 
 def enrich(df: DataFrame, send: Send, doc_id: str, label: str, text: str, *, attempts: int = MAX_ATTEMPTS,
-           in_flight: int = MAX_IN_FLIGHT, pause: float = PAUSE_SECONDS,
-           tasks: int | None = None) -> DataFrame:
+           in_flight: int = 1, pause: float = PAUSE_SECONDS, tasks: int = MAX_IN_FLIGHT,
+           piece_chars: int = MAX_REQUEST_CHARS) -> DataFrame:
     """``(doc_id, label, translated, error, attempts)`` for every row.
 
-    At most ``in_flight`` requests run per task; ``tasks`` spreads the rows over that many
-    tasks, so ``tasks * in_flight`` bounds the whole job. Rows keep their id, because answers
-    come back in any order.
+    A text is sent whole, in consecutive pieces of at most ``piece_chars``, and its answers are joined; one
+    failed piece fails the row. ``tasks * in_flight`` bounds the requests under way in the whole job.
+    Each round is a written table: only pieces that failed are sent again, after a growing pause.
     """
-    fields = df.select(doc_id, label, text).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                answers = list(pool.map(lambda value: request_with_retry(value, send, attempts, pause), batch[text]))
-                done = pd.DataFrame(answers, columns=["translated", "error", "attempts"], index=batch.index)
-                yield pd.concat([batch[[doc_id, label]], done], axis=1)
-
-    kinds = {name: fields[name].dataType.simpleString() for name in (doc_id, label)}
-    schema = f"{doc_id} {kinds[doc_id]}, {label} {kinds[label]}, translated string, error string, attempts int"
-    rows = df.select(doc_id, label, text)
-    return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, schema)
+    rows = materialize(df.select(doc_id, label, text).withColumn("row", F.monotonically_increasing_id()), "requests")
+    sendable = rows.where(request_fault(F.col(text)) == "")
+    starts = F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / piece_chars).cast("int"))
+    pieces = sendable.select("row", F.posexplode(F.transform(
+        starts, lambda k: F.substring(F.col(text), k * piece_chars + 1, F.lit(piece_chars)))).alias("piece", "text"))
+    waiting, done = materialize(pieces.repartition(tasks), "pieces"), []
+    translated, error = outcome()
+    for attempt in range(1, attempts + 1):
+        tried = _one_try(waiting.coalesce(tasks), send, attempt, in_flight).select(
+            "row", "piece", translated.alias("translated"), error.alias("error"), F.lit(attempt).alias("attempt"))
+        tried = materialize(tried, "tried")
+        done.append(tried if attempt == attempts else tried.where("error = ''"))
+        if attempt < attempts:
+            failed = tried.where("error <> ''").select("row", "piece")
+            if failed.isEmpty():
+                break
+            waiting = materialize(waiting.join(failed, ["row", "piece"]).repartition(tasks), "pieces")
+            time.sleep(pause * attempt)
+    ended = done[0]
+    for tried in done[1:]:
+        ended = ended.unionByName(tried)
+    whole = ended.groupBy("row").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "translated"))), lambda p: p["translated"]), "").alias("joined"),
+        F.min(F.when(F.col("error") != "", F.struct("piece", "error")))["error"].alias("error"), F.max("attempt").alias("attempts"))
+    fault = F.coalesce("error", request_fault(F.col(text)))
+    return rows.join(whole, "row", "left").select(
+        doc_id, label, F.when(fault == "", F.coalesce("joined", F.lit(""))).otherwise("").alias("translated"),
+        fault.alias("error"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
 def progress(written: DataFrame) -> DataFrame:

@@ -34,18 +34,25 @@ def enriched(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ENRICHED = """
-WITH sent AS (
-  SELECT d.doc_id, CASE WHEN 1 - l.quality >= 1 THEN 1 ELSE 0 END AS label, substr(d.text, 1, 4999) AS payload
+WITH rows AS (
+  SELECT d.doc_id, CASE WHEN 1 - l.quality >= 1 THEN 1 ELSE 0 END AS label, d.text
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL),
+pieces AS (
+  SELECT doc_id, label, k, substr(text, k * 4999 + 1, 4999) AS payload
+  FROM (SELECT *, unnest(range(0, greatest((length(text) + 4998) // 4999, 1))) AS k FROM rows)),
 kinds AS (
-  SELECT *, CASE WHEN payload = '' THEN '' ELSE substr(md5(payload), 1, 1) END AS kind FROM sent),
-enriched AS (
-  SELECT doc_id, label,
+  SELECT *, CASE WHEN payload = '' THEN '' ELSE substr(md5(payload), 1, 1) END AS kind FROM pieces),
+tries AS (
+  SELECT doc_id, label, k,
          CASE kind WHEN '' THEN 'empty_text' WHEN '0' THEN 'http_500' WHEN '2' THEN 'no_translatedText_in_response'
               WHEN '3' THEN 'bad_json' WHEN '4' THEN 'client_error' ELSE '' END AS error,
          CASE WHEN kind = '' THEN 0 WHEN kind IN ('0', '1', '2', '3', '4') THEN 3 ELSE 1 END AS attempts,
          'ru:' || payload AS answer
-  FROM kinds)"""
+  FROM kinds),
+enriched AS (
+  SELECT doc_id, label, coalesce(arg_min(error, k) FILTER (error <> ''), '') AS error, max(attempts)::INT AS attempts,
+         string_agg(answer, '' ORDER BY k) AS answer
+  FROM tries GROUP BY doc_id, label)"""
 
 
 @query("enrich_retry", f"""{_ENRICHED}

@@ -1,6 +1,7 @@
 import json
+from types import SimpleNamespace
 
-from tamis.operators.enrichment import enrich, error_code, progress, request_with_retry, split_dead_letters
+from tamis.operators.enrichment import enrich, error_code, progress, split_dead_letters
 from tamis.session import materialize
 
 
@@ -33,7 +34,7 @@ def test_every_outcome_keeps_its_row(spark):
     done = materialize(done, "done")
     answered, dead = split_dead_letters(done)
     assert {r.id: (r.translated, r.attempts) for r in answered.collect()} == {
-        1: ("<good>", 1), 2: ("<third>", 3), 10: (f"<{'y' * 4999}>", 1)}
+        1: ("<good>", 1), 2: ("<third>", 3), 10: (f"<{'y' * 4999}><{'y' * 1001}>", 1)}
     codes = {r.id: (r.code, r.attempts) for r in dead.withColumn("code", error_code()).collect()}
     assert codes == {
         3: ("client_error", 3), 4: ("empty_text", 0), 5: ("empty_text", 0), 6: ("http_503", 3), 7: ("bad_json", 3),
@@ -41,9 +42,11 @@ def test_every_outcome_keeps_its_row(spark):
     assert progress(done).first().asDict() == {"processed": 10, "failed": 7}
 
 
-def test_pauses_grow_and_bodies_are_shortened(monkeypatch):
+def test_pauses_grow_and_bodies_are_shortened(spark, monkeypatch):
     slept = []
-    monkeypatch.setattr("tamis.operators.enrichment.time.sleep", slept.append)
-    assert request_with_retry("down", make_send(), 3, 0.5) == ("", "client_error: gone", 3)
-    assert slept == [0.5, 1.0]
-    assert len(request_with_retry("busy", make_send(), 3, 0.5)[1]) == len("http_503: ") + 300
+    monkeypatch.setattr("tamis.operators.enrichment.time", SimpleNamespace(sleep=slept.append))
+    df = spark.createDataFrame([(1, 0, "down"), (2, 0, "busy"), (3, 0, "good" * 3000)], "id long, label int, text string")
+    found = {r.id: r for r in enrich(df, make_send(), "id", "label", "text", pause=0.5, piece_chars=4000).collect()}
+    assert found[1].error == "client_error: gone" and slept == [0.5, 1.0]
+    assert len(found[2].error) == len("http_503: ") + 300
+    assert found[3].translated == f"<{'good' * 1000}>" * 3
