@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 from __spark_entry__ import entry, oracle_sql, queries
+from tamis.plans import ORACLES, QUERIES
 
 FAST = ["src_csv_labelled", "src_range", "label_repair", "validate_message", "tokenize", "stopwords_by_lang",
         "vocab_topk", "count_vectors", "hash_split", "exact_split", "sort_by_length", "nb_score", "metrics_weighted",
@@ -17,7 +18,8 @@ def duck(small):
 
 def test_registry_is_consistent():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+    assert set(QUERIES) - set(ORACLES) == {
         "lr_eval", "dt_eval", "rf_eval", "svm_eval", "gbt_eval", "mlp_eval", "lr_locale_eval", "svm_mixed_eval",
         "leaderboard", "model_timing"}
 
