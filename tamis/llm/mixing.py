@@ -21,6 +21,7 @@ KEEP = 0.8  # share of all tokens that the sample has in expectation
 SWEEPS = 30
 CLOSE = 1e-4  # a sweep that changes no cell by more than this share of it is the last
 SMALL_CELLS = 20_000  # up to so many cells (about 2 MB) are broadcast, beyond them the join is shuffled
+CELLS_PER_TASK = 20_000  # a raking step takes a task for so many cells
 
 
 _BLANK = np.zeros(256, bool)
@@ -69,9 +70,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, sw
 
     Cells a target does not name weigh nothing. The loop ends when a sweep no longer changes
     anything, or after ``sweeps``; every step is written, so its plan stays small and a lost
-    executor repeats one.
+    executor repeats one. Cells that fit one task are summed and joined without an exchange;
+    more of them are shuffled by the target's key.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, count = cells.agg(F.sum("tokens"), F.count("*")).first()
+    total, tasks = total or 0, -(-count // CELLS_PER_TASK) or 1
     rows = cells.withColumn("weight", F.col("tokens").cast("double"))
     for name, target in targets.items():
         share = target.select(F.col(name).alias("key"), F.col("share").alias(f"{name}_share"))
@@ -79,12 +82,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, sw
     rows = materialize(rows.withColumn("before", F.col("weight")), "raked")
     for _ in range(sweeps):
         for name in targets:
+            rows = rows.coalesce(tasks)
             sums = rows.groupBy(F.col(name).alias("key")).agg(F.sum("weight").alias("sum"))
             want = F.col("weight") * F.col(f"{name}_share") * F.lit(float(keep * total)) / F.col("sum")
             rows = materialize(rows.join(sums, F.col(name).eqNullSafe(F.col("key"))).withColumn(
                 "weight", F.when(F.col("sum") > 0, F.least(F.col("tokens").cast("double"), F.coalesce(want, F.lit(0.0)))).otherwise(0.0)).drop("key", "sum"), "raked")
         change = F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-300)))
-        if (rows.agg(change).first()[0] or 0) <= close:
+        if (rows.coalesce(tasks).agg(change).first()[0] or 0) <= close:
             break
         rows = rows.withColumn("before", F.col("weight"))
     return rows.select(*cells.columns, "weight")
