@@ -38,9 +38,9 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, small: bool,
         F.col(key).alias("__cold_key"), F.col("__value").alias("__cold")
     )
     marked = rows.join(F.broadcast(hot), key, "left")
-    # Rows already answered get scattered keys, so they do not pile up on one null key.
+    # Rows already answered, and NULL keys, which nothing answers, get scattered keys.
     scattered = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SPREAD)).cast("string"))
-    shuffle_key = F.when(F.col("__hot").isNotNull(), scattered).otherwise(F.col(key).cast("string"))
+    shuffle_key = F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), scattered).otherwise(F.col(key).cast("string"))
     value = F.coalesce("__hot", "__cold")
     return (
         marked.withColumn("__key", shuffle_key)
@@ -69,7 +69,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     spread: Column = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     salted_left = (
         left.join(hot, key, "left")
-        .withColumn("__salt", F.when(F.col("__is_hot"), spread).otherwise(0))
+        # NULL never matches, so its rows may lie anywhere.
+        .withColumn("__salt", F.when(F.col("__is_hot") | F.col(key).isNull(), spread).otherwise(0))
         .drop("__is_hot")
     )
     copies = F.when(F.col("__is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -25,13 +25,16 @@ def score_word_sets(train: DataFrame, train_words: str, label: str, df: DataFram
     )
     size = table.agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + 64).alias("bytes")).first()
     classes = class_counts(train, label).first()
-    spam_rows, ham_rows = classes.n_one, classes.n_rows - classes.n_one
+    spam_rows = classes.n_one or 0
+    ham_rows = (classes.n_rows or 0) - spam_rows
     rows = df.select(doc_id, F.explode_outer(F.array_distinct(words)).alias("word"))
     joined = lookup(rows, table, "word", fits_broadcast(size.n, size.bytes or 0), weight="seen")
     evidence = (
         F.log(word_probability(F.col("spam"), spam_rows)) - F.log(word_probability(F.col("ham"), ham_rows))
     )
-    prior = F.log(F.lit(spam_rows / classes.n_rows)) - F.log(F.lit(ham_rows / classes.n_rows))
+    # A class without rows gets the share of an unknown word, so every document has a score.
+    shares = [rows / classes.n_rows if rows else UNKNOWN_WORD for rows in (spam_rows, ham_rows)]
+    prior = F.log(F.lit(shares[0])) - F.log(F.lit(shares[1]))
     return (
         joined.groupBy(doc_id)
         .agg((F.sum(F.when(F.col("word").isNotNull(), evidence).otherwise(0.0)) + prior).alias("log_ratio"))

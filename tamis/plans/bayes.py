@@ -11,9 +11,9 @@ from tamis.plans.features import labelled_words
 from tamis.plans.registry import query
 from tamis.session import materialize, scratch_path
 from tamis.sources.tables import documents, labelled_documents, spread, table
-from tamis.streaming import scoring
+from tamis.streaming import answer_cache as cache_stream, scoring
 
-VOCAB_SIZE = 50_000
+VOCAB_SIZE = 500_000
 MIN_DF = 5
 
 
@@ -32,6 +32,12 @@ def test_scores(spark: SparkSession, folder: str) -> DataFrame:
     return naive_bayes.score(model, test, "words", ["doc_id", "label"])
 
 
+def all_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The functions of a single message are shown on every document."""
+    words = with_words(spread(documents(spark, folder).select("doc_id", "text"), "doc_id"), "text")
+    return naive_bayes.score(train_model(spark, folder), words, "words", ["doc_id"])
+
+
 def _probability():
     return F.round("probability", 4).alias("probability")
 
@@ -104,18 +110,21 @@ def metrics_weighted(spark, folder):
     return row.select("n_rows", *[F.round(c, 6).alias(c) for c in row.columns[1:]])
 
 
-@query("verdict", f"""{_SCORED}
+_ALL_SCORED = f"WITH {sql.naive_bayes('SELECT doc_id, text FROM documents WHERE text IS NOT NULL')}"
+
+
+@query("verdict", f"""{_ALL_SCORED}
 SELECT doc_id, CASE WHEN probability > 0.5 THEN 'SPAM' ELSE 'NOT SPAM' END AS result FROM nb""")
 def verdict(spark, folder):
-    return test_scores(spark, folder).select("doc_id", answers.verdict(F.col("probability")).alias("result"))
+    return all_scores(spark, folder).select("doc_id", answers.verdict(F.col("probability")).alias("result"))
 
 
-@query("confidence_pct", f"""{_SCORED}, percents AS (
+@query("confidence_pct", f"""{_ALL_SCORED}, percents AS (
   SELECT doc_id, round(probability, 4) * 100 AS percent FROM nb)
 SELECT doc_id, printf('%.2f%%', percent + CASE WHEN percent * 8 = floor(percent * 8) THEN 0.001 ELSE 0 END)
   AS confidence FROM percents""")
 def confidence_pct(spark, folder):
-    return test_scores(spark, folder).select(
+    return all_scores(spark, folder).select(
         "doc_id", answers.confidence_percent(F.round("probability", 4)).alias("confidence")
     )
 
@@ -131,9 +140,9 @@ def _answer(status=None, error=None):
     )
 
 
-@query("verdict_json", f"{_SCORED} SELECT doc_id, {_ANSWER_SQL} AS answer FROM nb")
+@query("verdict_json", f"{_ALL_SCORED} SELECT doc_id, {_ANSWER_SQL} AS answer FROM nb")
 def verdict_json(spark, folder):
-    return test_scores(spark, folder).select("doc_id", _answer().alias("answer"))
+    return all_scores(spark, folder).select("doc_id", _answer().alias("answer"))
 
 
 def _wordset_sql() -> str:
@@ -203,7 +212,7 @@ def cache_misses(spark, folder):
     return answer_cache.uncached_requests(requests(spark, folder), answered(spark, folder), "key").select("doc_id", "key")
 
 
-@query("cache_ttl", """
+_CACHE_TTL = """
 WITH RECURSIVE requests AS (
   SELECT event_id, user_id || ':' || event_type AS key, epoch_us(ts) AS micros,
          row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
@@ -214,7 +223,10 @@ replay AS (
          CASE WHEN q.micros >= r.expires THEN q.micros + 86400000000 ELSE r.expires END,
          CASE WHEN q.micros >= r.expires THEN 0 ELSE 1 END
   FROM replay r JOIN requests q ON q.key = r.key AND q.n = r.n + 1)
-SELECT event_id, key, hit FROM replay""")
+SELECT event_id, key, hit FROM replay"""
+
+
+@query("cache_ttl", _CACHE_TTL)
 def cache_ttl(spark, folder):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
     replayed = answer_cache.replay_cache(
@@ -223,18 +235,31 @@ def cache_ttl(spark, folder):
     return replayed.select(F.col("id").alias("event_id"), "key", F.col("hit").cast("int").alias("hit"))
 
 
-_ALL_SCORED = f"WITH {sql.naive_bayes('SELECT doc_id, text FROM documents WHERE text IS NOT NULL')}"
-
-
-@query("score_messages", f"""{_ALL_SCORED}
-SELECT doc_id, {_ANSWER_SQL} AS answer FROM nb""")
+@query("cache_ttl_stream", _CACHE_TTL)
+def cache_ttl_stream(spark, folder):
+    """The same log as a stream: every request is answered, late ones too."""
+    schema = table(spark, folder, "events").schema
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    requests = spark.readStream.schema(schema).parquet(f"{folder}/events.{{parquet}}")
+    replayed = cache_stream.cache_stream(requests, key, F.col("ts"), F.col("event_id"))
+    sink = scratch_path(spark, "stream-cache")
+    cache_stream.write_available(replayed, sink, scratch_path(spark, "stream-checkpoint"))
+    answered = spark.read.schema(replayed.schema).parquet(sink)
+    return answered.select(F.col("id").alias("event_id"), "key", F.col("hit").cast("int").alias("hit"))
+
+
+@query("score_messages", f"""
+WITH {sql.naive_bayes("SELECT doc_id, coalesce(text, '') AS text FROM documents")}
+SELECT doc_id, CASE WHEN trim(coalesce(text, ''), {sql.ANY_SPACE}) = ''
+  THEN '{{"status":"error","error":"{answers.EMPTY_MESSAGE}"}}' ELSE {_ANSWER_SQL} END AS answer
+FROM nb JOIN documents USING (doc_id)""")
 def score_messages(spark, folder):
     """JSON requests in, JSON answers out, in one pass over the texts.
 
     Copies of a message are scored one by one: that is cheaper than moving every text to
     find them. Stored answers, if there are any, are looked up as in ``cache_hits``.
     """
-    bodies = spread(documents(spark, folder).select("doc_id", "text"), "doc_id").select(
+    bodies = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.to_json(F.struct(F.col("text").alias("message"))).alias("body"))
     parsed = answers.clean_request(
         bodies.select("doc_id", answers.parse_request(F.col("body")).alias("message")), "message")

@@ -69,7 +69,7 @@ REPLIES = """replies AS (
   FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)"""
 
 
-def naive_bayes(scored: str, vocab_size: int = 50_000, min_df: int = 5) -> str:
+def naive_bayes(scored: str, vocab_size: int = 500_000, min_df: int = 5) -> str:
     """CTEs ``theta(term, n0, n1, theta0, theta1)``, ``priors`` and ``nb(doc_id, ...)``.
 
     ``scored`` is a select of ``doc_id, text`` for the documents to score.

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tamis.functions.labels import repair_label
-from tamis.session import materialize
 
 _DIALECT = {"header": True, "sep": ",", "quote": '"', "escape": '"'}
 _KEEP_SPACE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 RECORDS_PER_FILE = 1_000_000
-
-# Files above this size are read by many tasks even when records hold line breaks.
-SPLIT_FILE_BYTES = 1 << 30
 # An unquoted empty field is NULL, a quoted one is an empty text.
 _NULLS = {"nullValue": "\0"}
-_PARSE = {**_NULLS, "sep": ",", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
-          "ignoreTrailingWhiteSpace": "false", "multiLine": "true", "maxCharsPerColumn": "-1"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Read CSV records; without a schema Spark infers one in an extra pass.
 
-    With ``multi_line`` a file is read by one task, which suits many files of ordinary
-    size, as ``write_csv`` makes them. ``read_labelled`` also splits large files.
+    With ``multi_line`` a file is read by one task: ``write_csv`` bounds the records of a file, and a
+    larger file from elsewhere is one task. Every file's header must name the schema's columns in
+    their order, or the job fails.
     """
-    reader = spark.read.options(**_DIALECT, **_KEEP_SPACE, **_NULLS, multiLine=multi_line, mode="PERMISSIVE")
+    reader = spark.read.options(**_DIALECT, **_KEEP_SPACE, **_NULLS, multiLine=multi_line, mode="PERMISSIVE",
+                                enforceSchema=False)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -34,60 +30,16 @@ def read_labelled(spark: SparkSession, path: str, text: str = "text", label: str
     """``(label, email)`` with repaired labels, columns found by their header name."""
     # Names hold no line breaks, so the first line is enough.
     header = spark.read.options(**_DIALECT).csv(path).columns
-    schema = ", ".join(f"`{name}` {'double' if name == label else 'string'}" for name in header)
-    if _largest_file(spark, path) > SPLIT_FILE_BYTES:
-        records = _split_records(spark, path, schema, header)
-    else:
-        records = read_csv(spark, path, schema)
+    schema = T.StructType([T.StructField(name, T.DoubleType() if name == label else T.StringType()) for name in header])
+    records = read_csv(spark, path, schema)
     return records.select(repair_label(F.col(label)).alias("label"), F.col(text).alias("email"))
 
 
-def _largest_file(spark: SparkSession, path: str) -> int:
-    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()
-    return sizes[0] or 0
-
-
-def _split_records(spark: SparkSession, path: str, schema: str, header: list[str]) -> DataFrame:
-    """Read large files with quoted line breaks in parallel.
-
-    A line break ends a record exactly when an even number of quotes precedes it in the
-    file. Blocks of a file are read by different tasks; one small table of quote counts per
-    block says whether a block starts inside quotes and which record it continues.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), "value", quotes.alias("quotes"),
-    )
-    # Written once: line numbers must not change between the two passes.
-    lines = materialize(lines, "csv-lines")
-    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
-    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    opens = blocks.select("file", "block", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2).alias("open"))
-    inside = W.partitionBy("file", "block").orderBy("line")
-    # A block is at most maxPartitionBytes of text, so its window is a bounded group.
-    before = F.coalesce(F.sum("quotes").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.join(F.broadcast(opens), ["file", "block"]).withColumn("starts", (before + F.col("open")) % 2 == 0)
-    started = placed.withColumn("record", F.max(F.when(F.col("starts"), F.col("line"))).over(
-        inside.rowsBetween(W.unboundedPreceding, 0)))
-    # Lines before a block's first record belong to the last record started in an earlier block.
-    lasts = started.groupBy("file", "block").agg(F.max("record").alias("last"))
-    carried = lasts.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    joined = (
-        started.join(F.broadcast(carried), ["file", "block"])
-        .groupBy("file", F.coalesce("record", "carried").alias("record"))
-        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"))
-        .select(F.array_join(F.transform("parts", lambda part: part["value"]), "\n").alias("text"))
-        .where((F.col("text") != ",".join(header)) & (F.col("text") != ""))
-    )
-    return joined.select(F.from_csv("text", F.lit(schema), _PARSE).alias("record")).select("record.*")
-
-
 def read_inferred(spark: SparkSession, path: str, text: str = "text", label: str = "label") -> DataFrame:
-    """Same result with inferred types."""
-    return read_csv(spark, path).select(
-        repair_label(F.col(label)).alias("label"), F.col(text).cast("string").alias("email")
-    )
+    """Same result with inferred types; a message that looks like a number stays as it is written."""
+    inferred = read_csv(spark, path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text else f for f in inferred])
+    return read_csv(spark, path, schema).select(repair_label(F.col(label)).alias("label"), F.col(text).alias("email"))
 
 
 def write_csv(df: DataFrame, path: str) -> str:

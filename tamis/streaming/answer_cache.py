@@ -13,17 +13,23 @@ from tamis.operators.answer_cache import mark_hits
 
 
 def cache_stream(requests: DataFrame, key: Column, at: Column, request_id: Column,
-                 ttl: int = ANSWER_TTL_SECONDS) -> DataFrame:
-    """``(id, key, micros, hit)`` for a stream of requests.
+                 ttl: int = ANSWER_TTL_SECONDS, lateness: str = "1 hour") -> DataFrame:
+    """``(id, key, micros, hit)`` for a stream of requests, one row for each however late it is.
 
-    The state of a key is the expiry of its stored answer. It is dropped once the watermark
-    has passed it, so keys that fall silent cost nothing. Requests of one key must arrive in
-    time order from batch to batch; inside a batch they are ordered here. The source's batch
-    size bounds how many requests of one key a task holds.
+    The state of a key is the expiry of its stored answer. A key that stays silent for ``ttl``
+    loses it if the newest request less ``lateness`` has passed the expiry, else it waits
+    again; ``lateness`` bounds the state kept and drops no request. Requests of one key are
+    ordered inside a batch; one that comes in a later batch than a newer one is answered from the
+    state there is. The source's batch size bounds how many requests of one key a task holds.
     """
+    wait = ttl * 1000
+
     def replay(group: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            if state.get[0] // 1000 <= state.getCurrentWatermarkMs():
+                state.remove()
+            else:
+                state.setTimeoutDuration(wait)
             return
         rows = pd.concat(list(batches)).sort_values(["micros", "id"])
         name, expires = (group[0], state.get[0]) if state.exists else (None, 0)
@@ -31,16 +37,33 @@ def cache_stream(requests: DataFrame, key: Column, at: Column, request_id: Colum
             rows["key"].to_numpy(), rows["micros"].to_numpy(), ttl * 1_000_000, name, expires
         )
         state.update((int(expires),))
-        state.setTimeoutTimestamp(max(int(expires) // 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutDuration(wait)
         yield rows.assign(hit=hits)[["id", "key", "micros", "hit"]]
 
     return (
         requests.select(request_id.alias("id"), key.alias("key"), at.cast("timestamp").alias("at"))
         .withColumn("micros", F.unix_micros("at"))
-        .withWatermark("at", "1 hour")
+        .withWatermark("at", lateness)
         .groupBy("key")
         .applyInPandasWithState(
             replay, "id long, key string, micros long, hit boolean", "expires long",
-            "append", GroupStateTimeout.EventTimeTimeout,
+            "append", GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
+
+
+def write_available(replayed: DataFrame, sink: str, checkpoint: str) -> None:
+    """Answer what the source holds now and end.
+
+    Timeouts by the clock would ask for one empty batch after the other, so batches without data
+    are off for this query; the session's setting is put back once it has started.
+    """
+    spark, setting = replayed.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        query = (replayed.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start(sink))
+    finally:
+        spark.conf.set(setting, before)
+    query.awaitTermination()

@@ -71,3 +71,12 @@ def test_word_sets(spark, tiny):
     assert got[0].log_ratio == pytest.approx(prior + win + lunch)
     assert got[1].log_ratio == pytest.approx(prior) == got[2].log_ratio
     assert got[2].probability == pytest.approx(1 / (1 + exp(-prior)))
+
+
+def test_word_sets_with_one_class_or_none(spark):
+    df = spark.createDataFrame([(1, ["win", "odd"]), (2, [])], "id long, words array<string>")
+    train = spark.createDataFrame([(1, ["win"]), (1, ["cash"])], "label int, words array<string>")
+    one = {r.id: r.probability for r in word_bayes.score_word_sets(train, "words", "label", df, "words", "id").collect()}
+    assert one[1] > one[2] > 0.5
+    none = word_bayes.score_word_sets(train.limit(0), "words", "label", df, "words", "id").collect()
+    assert {r.probability for r in none} == {0.5}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tamis.sources import csv, exports
@@ -24,18 +25,21 @@ def test_columns_are_found_by_name(spark, tmp_path):
     assert rows(csv.read_labelled(spark, str(tmp_path))) == [(1, "a\nb")]
 
 
-def test_split_reading_gives_the_same_records(spark, tmp_path, monkeypatch):
-    body = "".join(f'{i % 3},"row {i}\nwith ""break"" {"x" * (i % 90)}\n\ntail"\n{i % 2},plain {i}\n' for i in range(400))
-    (tmp_path / "corpus.csv").write_text("label,text\n" + body)
-    want = rows(csv.read_labelled(spark, str(tmp_path)))
-    monkeypatch.setattr(csv, "SPLIT_FILE_BYTES", 0)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
-        assert csv.physical_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 5
-        assert rows(csv.read_labelled(spark, str(tmp_path))) == want and len(want) == 800
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+def test_stray_quotes_and_header_texts_stay_records(spark, tmp_path):
+    (tmp_path / "corpus.csv").write_text('label,text\n1,say 5" once\n"label","text"\n0,next\n1,last\n')
+    assert [r.email for r in csv.read_labelled(spark, str(tmp_path)).collect()] == ['say 5" once', "text", "next", "last"]
+
+
+def test_files_with_other_headers_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("label,text\n1,a\n")
+    (tmp_path / "b.csv").write_text("text,label\nb,0\n")
+    with pytest.raises(Exception, match="CSV"):
+        csv.read_labelled(spark, str(tmp_path)).collect()
+
+
+def test_inference_leaves_messages_alone(spark, tmp_path):
+    (tmp_path / "corpus.csv").write_text("label,text\n1,007\n0,1.50\n")
+    assert rows(csv.read_inferred(spark, str(tmp_path))) == [(0, "1.50"), (1, "007")]
 
 
 def test_round_trip_and_long_fields(spark, tmp_path):

@@ -33,20 +33,15 @@ def test_cache_state_lives_across_batches(spark, tmp_path):
     source = tmp_path / "requests"
     schema = "number long, name string, at timestamp"
     batches = [[(1, "a", 0), (2, "a", 86_399), (3, "b", 5)], [(4, "a", 86_400), (5, "b", 86_404)],
-               [(6, "b", 86_405), (7, "a", 172_799), (8, "a", 172_800)]]
+               [(6, "b", 86_405), (7, "a", 172_799), (8, "a", 172_800)], [(9, "a", 90_000), (10, "c", 10)]]
     source.mkdir()
     stream = spark.readStream.schema(schema).parquet(str(source))
     replayed = answer_cache.cache_stream(stream, F.col("name"), F.col("at"), F.col("number"))
-    query = (
-        replayed.writeStream.format("memory").queryName("cache_replay").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "checkpoint")).start()
-    )
-    try:
-        for batch in batches:
-            rows = [(n, k, START + timedelta(seconds=s)) for n, k, s in batch]
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-            query.processAllAvailable()
-        hits = {r.id: r.hit for r in spark.table("cache_replay").collect()}
-    finally:
-        query.stop()
-    assert hits == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: False}
+    sink = str(tmp_path / "answers")
+    for batch in batches:
+        rows = [(n, k, START + timedelta(seconds=s)) for n, k, s in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        answer_cache.write_available(replayed, sink, str(tmp_path / "checkpoint"))
+    answers = spark.read.schema(replayed.schema).parquet(sink)
+    hits = {r.id: r.hit for r in answers.collect()}
+    assert hits == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: False, 9: True, 10: False}
