@@ -5,6 +5,10 @@ are first given 64 codes, the 63 most frequent ones their own; a code is six bin
 each with a tree of contexts (the last six codes, the nearest at the root). In every context a
 decision has a Krichevsky-Trofimov estimate, and the weights of all depths follow from the training
 counts, bottom-up: half for stopping, half for the product of the longer contexts.
+
+No task holds the whole model. It lies in rows of one group of three codes each; texts are cut into
+pieces of bounded size, every piece asks once for each of its distinct grams, the questions meet
+the groups in a shuffle, and the answers go back to their pieces.
 """
 
 from __future__ import annotations
@@ -27,11 +31,18 @@ CODES = 1 << BITS
 NODES = CODES - 1
 ESCAPE = CODES - 1
 HELD_OUT = 10
-MAX_CONTEXTS = 150_000  # contexts of three codes and more that scoring has at hand; the others use their shorter ones
 MAX_WORDS = 300_000  # words whose counts scoring has at hand; the others are looked up by a join
 PIECE_BYTES = 2_000_000
+SCORE_BYTES = 8_000_000  # bytes of text that ask for their grams together
 RUN_ROWS = 50_000  # gram counts whose trees are weighted in one go
+ASK_ROWS = 500_000  # questions answered in one go
+SALT_BYTES = 256 << 20  # questions to a group of three codes beyond this are shared out over copies of the group
 END = b"\n"
+SUFFIX = BITS * (DEPTH - SHORT)  # bits of a gram after its first three codes
+_CODE = np.arange(CODES)[:, None]
+_DEEP = np.arange(BITS)[None]
+PATH = (1 << _DEEP) - 1 + (_CODE >> (BITS - _DEEP))  # the six decisions that lead to each code
+BIT = (_CODE >> (BITS - 1 - _DEEP) & 1).astype(bool)  # and how they fall
 
 
 def in_training(doc_id: Column) -> Column:
@@ -47,7 +58,7 @@ def _padded(words: list[bytes]) -> bytes:
     return END * DEPTH + b" ".join(words) + END
 
 
-def grams(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def grams(text: np.ndarray, lengths: np.ndarray, width: int = 8) -> np.ndarray:
     """For each byte of padded texts: the byte before, the one before that, ... and the byte, packed."""
     keep = np.ones(len(text), bool)
     starts = np.cumsum(lengths) - lengths
@@ -56,8 +67,8 @@ def grams(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at, packed = np.nonzero(keep)[0], None
     for k in range(1, DEPTH + 1):
         near = text[at - k].astype(np.uint64)
-        packed = near if packed is None else (packed << np.uint64(8)) | near
-    return (packed << np.uint64(8)) | text[at].astype(np.uint64)
+        packed = near if packed is None else (packed << np.uint64(width)) | near
+    return (packed << np.uint64(width)) | text[at].astype(np.uint64)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,17 +178,6 @@ def descend(down: tuple[np.ndarray, np.ndarray, np.ndarray], at: Level, full: bo
     return settled + open_ * stop * p, open_ * (1 - stop), np.where(seen, settled + open_ * p, before)
 
 
-def code_logs(chance: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 64 codes ``[row, 64]`` from the chances of a one ``[row, 63]``."""
-    out, at = np.zeros((len(chance), 1)), 0
-    while out.shape[1] < CODES:
-        width = out.shape[1]
-        one = chance[:, at:at + width]
-        out = np.stack([out + np.log10(1 - one), out + np.log10(one)], axis=2).reshape(len(chance), 2 * width)
-        at += width
-    return out
-
-
 class Subtrees:
     """All contexts of three codes and more that some whole groups of three codes have, each level under its parents."""
 
@@ -195,54 +195,34 @@ class Subtrees:
         self.pairs, self.counts, self.below = keys, counts, below
 
 
-@dataclass
-class Model:
-    codes: np.ndarray  # code of each byte
-    escape: np.ndarray  # log10 probability of each byte among those without a code of their own, 0 for the others
-    logs: np.ndarray  # log10 probabilities of the codes in each known context; those of two codes come first
-    rows: dict[int, np.ndarray]  # for each depth over two: the row for a row of the depth before and a further code, or -1
-    bases: dict[int, int]  # the first row of each depth
-
-    def score(self, text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each padded text."""
-        code = self.codes[text].astype(np.int32)
-        starts = np.cumsum(lengths) - lengths
-        row = np.roll(code, 1) * CODES + np.roll(code, 2)
-        at = row + 1  # place in the depth before, counted from 1; 0 where the context is unknown
-        for depth in range(SHORT + 1, DEPTH + 1):
-            longer = self.rows[depth][at * CODES + np.roll(code, depth)]
-            row = np.where(longer >= 0, longer, row)
-            at = np.where(longer >= 0, longer - (self.bases[depth] - 1), 0)
-        value = self.logs[row, code].astype(np.float64) + self.escape[text]
-        for k in range(DEPTH):
-            value[starts + k] = 0
-        return np.add.reduceat(value, starts)
+def packed_rows(rows: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values that hold so many of the values each."""
+    offsets = np.concatenate(([0], np.cumsum(rows) * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _whole_pairs(batches, use):
-    """Calls ``use(context, code, n)`` on runs of rows sorted by context that hold whole groups of three codes."""
-    held, size = [], 0
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.nonzero(np.concatenate(([True], values[1:] != values[:-1])))[0]
 
-    def packed(parts):
-        return [np.concatenate([p[i] for p in parts]) for i in range(3)]
 
-    for batch in batches:
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4)])
-        size += batch.num_rows
-        if size >= RUN_ROWS:
-            rows = packed(held)
-            triple = rows[0] >> BITS * (DEPTH - SHORT - 1)
-            cut = int(np.searchsorted(triple, triple[-1]))
-            if cut:
-                for k in use(*[r[:cut] for r in rows]):
-                    yield k
-            held, size = [[r[cut:] for r in rows]], len(triple) - cut
-    if size:
-        yield from use(*packed(held))
+def subtrees(groups: list[tuple[int, bytes, bytes]]) -> Subtrees:
+    """The contexts of whole groups of three codes as they are stored."""
+    low = [np.frombuffer(k, np.int32) for _, k, _ in groups]
+    gram = np.repeat(np.array([t for t, _, _ in groups], np.int64), [len(k) for k in low]) << SUFFIX | np.concatenate(low)
+    return Subtrees(gram >> BITS, gram & ESCAPE, np.frombuffer(b"".join(c for _, _, c in groups), np.int64))
+
+
+@dataclass
+class Model:
+    codes: np.ndarray  # code of each byte
+    escape: np.ndarray  # log10 probability of each byte among those without a code of their own, 0 for the others
+    groups: DataFrame  # ``triple, keys, counts``: the grams of a group of three codes, without these, and their counts
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]  # what ``descend`` gives for each context of two codes
 
 
 def fit(counts: DataFrame) -> Model:
-    """The model of a table of gram counts; its weights use every count, its size is bounded by MAX_CONTEXTS."""
+    """The model of a table of gram counts; all of them, however rare, are part of it."""
     rows = counts.where("gram IS NOT NULL")
     seen = np.zeros(256, np.int64)
     for r in rows.groupBy(F.col("gram").bitwiseAND(F.lit(255).cast("long")).alias("byte")).agg(F.sum("n").alias("n")).collect():
@@ -255,66 +235,164 @@ def fit(counts: DataFrame) -> Model:
 
     def recode(batches):
         for batch in batches:
-            packed, context = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for k in range(DEPTH, 0, -1):
-                context = context << BITS | codes[packed >> 8 * k & 255].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((context >> BITS * (DEPTH - SHORT)).astype(np.int32)), pa.array(context),
-                                              pa.array(codes[packed & 255].astype(np.int32)), batch.column(1)], names=["pair", "context", "code", "n"])
+            packed, gram = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for k in range(DEPTH, -1, -1):
+                gram = gram << BITS | codes[packed >> 8 * k & 255].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((gram >> SUFFIX).astype(np.int32)), pa.array((gram & ((1 << SUFFIX) - 1)).astype(np.int32)), batch.column(1)],
+                                             names=["triple", "low", "n"])
 
-    coded = rows.select("gram", "n").mapInArrow(recode, "pair int, context long, code int, n long").groupBy("pair", "context", "code").agg(F.sum("n").alias("n"))
-    coded = materialize(coded.repartition("pair").sortWithinPartitions("context", "code"), "lm-codes")
-    coded = coded.repartition("pair").sortWithinPartitions("context", "code")
+    def pack(batches):
+        """One row for each group of three codes; the rows come in order, and a batch may end inside a group."""
+        held = None
 
-    def roots(batches):
-        def use(context, code, n):
-            t = Subtrees(context, code, n)
-            sizes = np.concatenate([x.counts.sum(1) for x in t.levels.values()])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(t.pairs.astype(np.int32)), pa.array(t.counts.tolist(), pa.list_(pa.int64())), pa.array(t.below.tolist(), pa.list_(pa.float64())),
-                pa.array([sizes.tolist()] + [[]] * (len(t.pairs) - 1), pa.list_(pa.int64()))], names=["pair", "counts", "below", "sizes"])
+        def rows_of(triple, low, n):
+            first = _runs(triple)
+            size = np.diff(np.append(first, len(triple)))
+            return pa.RecordBatch.from_arrays([pa.array(triple[first]), packed_rows(size, low), packed_rows(size, n)], names=["triple", "keys", "counts"])
 
-        yield from _whole_pairs(batches, use)
+        for batch in batches:
+            if batch.num_rows:
+                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                part = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+                cut = int(np.searchsorted(part[0], part[0][-1]))
+                if cut:
+                    yield rows_of(*[x[:cut] for x in part])
+                held = [x[cut:] for x in part]
+        if held is not None:
+            yield rows_of(*held)
+
+    # Bytes that share a code are few, so the counts are summed after the one exchange that brings a group together.
+    coded = rows.select("gram", "n").mapInArrow(recode, "triple int, low int, n long").repartition("triple").groupBy("triple", "low").agg(F.sum("n").alias("n"))
+    groups = materialize(coded.sortWithinPartitions("triple", "low").mapInArrow(pack, "triple int, keys binary, counts binary"), "lm-groups")
+
+    def roots(batches):
+        def sums(held):
+            t = subtrees(held)
+            return pa.RecordBatch.from_arrays([pa.array(t.pairs.astype(np.int32)), pa.array(t.counts.tolist(), pa.list_(pa.int64())),
+                                               pa.array(t.below.tolist(), pa.list_(pa.float64()))], names=["pair", "counts", "below"])
 
-    top = materialize(coded.mapInArrow(roots, "pair int, counts array<long>, below array<double>, sizes array<long>"), "lm-roots")
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.append(row)
+                size += len(row[1]) // 4
+                if size >= RUN_ROWS:
+                    yield sums(held)
+                    held, size = [], 0
+        if held:
+            yield sums(held)
+
+    top = groups.mapInArrow(roots, "pair int, counts array<long>, below array<double>")
     counts2, below2 = np.zeros((CODES**SHORT, CODES), np.int64), np.zeros((CODES**SHORT, NODES))
     sums = top.select("pair", *[F.col("counts")[i].alias(f"c{i}") for i in range(CODES)], *[F.col("below")[i].alias(f"b{i}") for i in range(NODES)])
     for r in sums.groupBy("pair").sum().collect():  # 4096 at most
         counts2[r["pair"]], below2[r["pair"]] = r[2:2 + CODES], r[2 + CODES:]
-    largest = top.select(F.explode("sizes").alias("n")).orderBy(F.desc("n")).limit(MAX_CONTEXTS + 1).agg(F.count("*"), F.min("n")).first()
-    least = largest[1] + 1 if largest[0] > MAX_CONTEXTS else 0
     level2 = level(counts2, below2)
     level1 = level(counts2.reshape(CODES, CODES, CODES).sum(1), level2.weighted.reshape(CODES, CODES, NODES).sum(1))
     level0 = level(level1.counts.sum(0)[None], level1.weighted.sum(0)[None])
     start = (np.zeros((1, NODES)), np.ones((1, NODES)), np.full((1, NODES), 0.5))
     down1 = descend(descend(start, level0, False), level1, False)
-    down2 = descend(tuple(np.repeat(x, CODES, axis=0) for x in down1), level2, False)
-    shared = coded.sparkSession.sparkContext.broadcast(down2)  # three tables of 4096 x 63 numbers
-
-    def contexts(batches):
-        def use(context, code, n):
-            t = Subtrees(context, code, n)
-            down = tuple(x[t.pairs] for x in shared.value)
-            for depth in range(SHORT + 1, DEPTH + 1):
-                down = descend(tuple(x[t.parents[depth]] for x in down), t.levels[depth], depth == DEPTH)
-                big = np.nonzero(t.levels[depth].counts.sum(1) >= least)[0]
-                logs = code_logs(down[2][big]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(big), depth, np.int32)), pa.array(t.keys[depth][big]),
-                                                  pa.array([row.tobytes() for row in logs], pa.binary())], names=["depth", "context", "logs"])
-
-        yield from _whole_pairs(batches, use)
-
-    found = coded.mapInArrow(contexts, "depth int, context long, logs binary").toArrow()  # MAX_CONTEXTS at most
-    depth, context, raw = found.column(0).to_numpy(), found.column(1).to_numpy(), found.column(2).to_pylist()
-    order = np.lexsort((context, depth))
-    logs = np.concatenate([code_logs(down2[2]).astype(np.float32), np.frombuffer(b"".join([raw[i] for i in order]), np.float32).reshape(-1, CODES)])
-    depth, context = depth[order], context[order]
-    before, first, tables, bases = np.arange(CODES**SHORT), CODES**SHORT, {}, {}
-    for d in range(SHORT + 1, DEPTH + 1):
-        keys = context[depth == d]
-        tables[d] = np.full((len(before) + 1) * CODES, -1, np.int32)
-        tables[d][(np.searchsorted(before, keys >> BITS) + 1) * CODES + (keys & ESCAPE)] = first + np.arange(len(keys))
-        bases[d], before, first = first, keys, first + len(keys)
-    return Model(codes, escape, logs, tables, bases)
+    return Model(codes, escape, groups, descend(tuple(np.repeat(x, CODES, axis=0) for x in down1), level2, False))
+
+
+def answers(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], groups: list[tuple[int, bytes, bytes]], gram: np.ndarray) -> np.ndarray:
+    """log10 probability of the last code of each gram after its longest known context; ``groups`` are those the grams belong to."""
+    context, path = gram >> BITS, PATH[gram & ESCAPE]
+    one = pairs[2][(context >> BITS * (DEPTH - SHORT))[:, None], path]
+    if groups:
+        t = subtrees(groups)
+        down, todo = tuple(x[t.pairs] for x in pairs), np.arange(len(gram))
+        for depth in range(SHORT + 1, DEPTH + 1):
+            down = descend(tuple(x[t.parents[depth]] for x in down), t.levels[depth], depth == DEPTH)
+            keys, wanted = t.keys[depth], context[todo] >> BITS * (DEPTH - depth)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            known = keys[at] == wanted  # a longer context is only known where this one is
+            todo, at = todo[known], at[known]
+            one[todo] = down[2][at[:, None], path[todo]]
+    return np.log10(np.where(BIT[gram & ESCAPE], one, 1 - one)).sum(1)
+
+
+def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
+    """``row, score`` from ``row, codes, rows, lengths, escape``: a piece's number, its coded segments, the row each is part of and their lengths."""
+    def asking(batches):
+        for batch in batches:
+            for piece, codes, lengths in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                gram = np.sort(grams(np.frombuffer(codes, np.uint8), np.frombuffer(lengths, np.int64), BITS).astype(np.int64))
+                gram = gram[_runs(gram)]
+                triple = (gram >> SUFFIX).astype(np.int32)
+                first = _runs(triple)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), piece)), pa.array(triple[first]), packed_rows(
+                    np.diff(np.append(first, len(triple))), (gram & ((1 << SUFFIX) - 1)).astype(np.int32))], names=["piece", "triple", "keys"])
+
+    asked = materialize(pieces.select("row", "codes", "lengths").mapInArrow(asking, "piece long, triple int, keys binary"), "lm-asked")
+    shares = materialize(asked.groupBy("triple").agg(F.ceil(F.sum(F.octet_length("keys")) / F.lit(SALT_BYTES)).cast("int").alias("shares")), "lm-shares")
+    shares = F.broadcast(shares.where("shares > 1"))  # fewer than 64 * 64 * 64
+    own = F.coalesce("shares", F.lit(1))
+    questions = asked.join(shares, "triple", "left").select("triple", F.pmod(F.xxhash64("piece"), own).cast("int").alias("share"), "piece", "keys", F.lit(None).cast("binary").alias("counts"))
+    groups = model.groups.join(shares, "triple", "left").select("triple", F.explode(F.sequence(F.lit(0), own - 1)).alias("share"), F.lit(None).cast("long").alias("piece"), "keys", "counts")
+    pairs = asked.sparkSession.sparkContext.broadcast(model.pairs)  # three tables of 4096 x 63 numbers
+
+    def answering(batches):
+        def close(known, asks):
+            sizes = np.array([len(k) // 4 for _, _, k in asks])
+            gram = np.repeat(np.array([t for t, _, _ in asks], np.int64), sizes) << SUFFIX | np.frombuffer(b"".join(k for _, _, k in asks), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([p for _, p, _ in asks], pa.int64()), pa.array([t for t, _, _ in asks], pa.int32()),
+                                              packed_rows(sizes, answers(pairs.value, known, gram).astype(np.float32))], names=["piece", "triple", "logs"])
+
+        known, asks, size, open_ = [], [], 0, 0
+        for batch in batches:
+            for triple, _, piece, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if piece is None:
+                    if asks and (size >= RUN_ROWS or open_ >= ASK_ROWS):
+                        yield from close(known, asks)
+                    if size >= RUN_ROWS or open_ >= ASK_ROWS:
+                        known, asks, size, open_ = [], [], 0, 0
+                    if not known or known[-1][0] != triple:  # copies of a group may follow one another
+                        known.append((triple, keys, counts))
+                        size += len(keys) // 4
+                    continue
+                if open_ >= ASK_ROWS:
+                    yield from close(known, asks)
+                    known, asks, open_ = [g for g in known[-1:] if g[0] == triple], [], 0
+                    size = sum(len(k) // 4 for _, k, _ in known)
+                asks.append((triple, piece, keys))
+                open_ += len(keys) // 4
+        if asks:
+            yield from close(known, asks)
+
+    # A group comes before its questions, as NULL sorts first.
+    met = groups.unionByName(questions).repartition("triple", "share").sortWithinPartitions("triple", "share", "piece")
+    told = met.mapInArrow(answering, "piece long, triple int, logs binary")
+
+    def adding(batches):
+        def close(piece, logs):
+            codes, rows, lengths, escape = piece
+            rows, lengths = np.frombuffer(rows, np.int64), np.frombuffer(lengths, np.int64)
+            at = np.repeat(np.arange(len(rows), dtype=np.uint64), lengths - DEPTH)
+            both = np.sort(grams(np.frombuffer(codes, np.uint8), lengths, BITS) << np.uint64(64 - BITS * (DEPTH + 1)) | at)
+            gram = both >> np.uint64(64 - BITS * (DEPTH + 1))
+            value = np.frombuffer(b"".join(logs), np.float32)
+            value = np.repeat(value, np.diff(np.append(_runs(gram), len(gram))))
+            at = (both & np.uint64((1 << (64 - BITS * (DEPTH + 1))) - 1)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, value, len(rows)) + np.frombuffer(escape, np.float64))], names=["row", "score"])
+
+        piece, logs = None, []
+        for batch in batches:
+            for _, _, own, log in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own is not None:
+                    if piece is not None:
+                        yield close(piece, logs)
+                    piece, logs = list(own.values()), []
+                else:
+                    logs.append(log)
+        if piece is not None:
+            yield close(piece, logs)
+
+    # The answers of a piece, ordered by group, stand in the order of its sorted grams.
+    whole = pieces.select(F.col("row").alias("piece"), F.lit(-1).alias("triple"), F.struct("codes", "rows", "lengths", "escape").alias("own"), F.lit(None).cast("binary").alias("logs"))
+    told = told.select("piece", "triple", F.lit(None).cast(whole.schema["own"].dataType).alias("own"), "logs")
+    rows = whole.unionByName(told).repartition("piece").sortWithinPartitions("piece", "triple").mapInArrow(adding, "row long, score double")
+    return rows.groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -325,7 +403,8 @@ def scored(docs: DataFrame) -> DataFrame:
     knows no token. Only doc_id and text are read.
     """
     counts = counts_of(docs)
-    model = docs.sparkSession.sparkContext.broadcast(fit(counts))
+    model = fit(counts)
+    codes_of, escape_of = model.codes, model.escape
     ends = docs.where(in_training(F.col("doc_id"))).count()
     words = counts.where("word IS NOT NULL").select("word", "n")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
@@ -339,41 +418,59 @@ def scored(docs: DataFrame) -> DataFrame:
     top = docs.sparkSession.sparkContext.broadcast({w: log(n) for w, n in zip(common.column(0).to_pylist(), common.column(1).to_pylist(), strict=True)})
     end_log = log(ends)
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ["row", "doc_id", "n_tokens", "rare", "partial", "n_bytes", "codes", "rows", "lengths", "escape"]
+
     def run(batches):
         from pyspark import TaskContext
 
         get, serial = top.value.get, TaskContext.get().partitionId() << 33
+        piece, rows, held, doc_type, number = [], [], 0, pa.null(), serial
+
+        def close():
+            text, lengths = np.frombuffer(b"".join(piece), np.uint8), np.fromiter(map(len, piece), np.int64, len(piece))
+            starts, extra = np.cumsum(lengths) - lengths, escape_of[text]
+            for k in range(DEPTH):
+                extra[starts + k] = 0
+            values = [codes_of[text].tobytes(), np.array(rows, np.int64).tobytes(), lengths.tobytes(), np.add.reduceat(extra, starts).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, doc_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.binary())), pa.nulls(1, pa.float64()),
+                                               pa.nulls(1, pa.int64()), *[pa.array([x], pa.binary()) for x in values]], names=fields)
+
         for batch in batches:
             columns: list[list] = [[], [], [], []]
-            scores, sizes, piece, held = [], [], [], 0
-            for text in batch.column(1).to_pylist():
+            doc_type = batch.column(0).type
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 own = tokens_of(text)
                 known = list(map(get, own))
+                padded = _padded(own)
                 columns[0].append(len(own) + 1)
                 columns[1].append([w for w, x in zip(own, known, strict=True) if x is None] if None in known else [])
                 columns[2].append(sum(filter(None, known)) + end_log)
-                piece.append(_padded(own))
-                sizes.append(len(piece[-1]) - DEPTH)
-                held += len(piece[-1])
-                if held >= PIECE_BYTES:
-                    scores.append(model.value.score(np.frombuffer(b"".join(piece), np.uint8), np.fromiter(map(len, piece), np.int64, len(piece))))
-                    piece, held = [], 0
-            if piece:
-                scores.append(model.value.score(np.frombuffer(b"".join(piece), np.uint8), np.fromiter(map(len, piece), np.int64, len(piece))))
+                columns[3].append(len(padded) - DEPTH)
+                # A text of more than a piece is cut; a segment begins with the last bytes of the one before.
+                for begin in range(0, len(padded) - DEPTH, SCORE_BYTES):
+                    piece.append(padded[begin:begin + SCORE_BYTES + DEPTH])
+                    rows.append(serial + k)
+                    held += len(piece[-1])
+                    if held >= SCORE_BYTES:
+                        yield close()
+                        piece, rows, held, number = [], [], 0, number + 1
             n = batch.num_rows
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(serial, serial + n)), batch.column(0), pa.array(columns[0], pa.int64()),
                                                   pa.array(columns[1], pa.list_(pa.binary())), pa.array(columns[2], pa.float64()),
-                                                  pa.array(np.concatenate(scores)), pa.array(sizes, pa.int64())],
-                                                 names=["row", "doc_id", "n_tokens", "rare", "partial", "score", "n_bytes"])
+                                                  pa.array(columns[3], pa.int64()), *[pa.nulls(n, pa.binary())] * 4], names=fields)
             serial += n
+        if piece:
+            yield close()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(
-        run, f"row long, doc_id {kind}, n_tokens long, rare array<binary>, partial double, score double, n_bytes long"), "lm-scores")
+    both = materialize(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(
+        run, f"row long, doc_id {kind}, n_tokens long, rare array<binary>, partial double, n_bytes long, codes binary, rows binary, lengths binary, escape binary"), "lm-pieces")
+    rows = both.where("codes IS NULL").select(*fields[:6])
+    scores = text_scores(both.where("codes IS NOT NULL").select("row", *fields[6:]), model)
     rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left").groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(total + floor))).alias("rest"), F.sum(F.col("n").isNull().cast("long")).alias("unknown"))
-    both = rows.drop("rare").join(rare, "row", "left")
+    both = rows.drop("rare").join(rare, "row", "left").join(scores, "row", "left")
     return both.select(
         "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens",
         (F.col("n_tokens") - F.coalesce("unknown", F.lit(0)) - F.lit(0 if ends else 1)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

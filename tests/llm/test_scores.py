@@ -93,6 +93,9 @@ def slow_ctw(train, text, codes):
 @pytest.mark.parametrize("run", [50_000, 3])
 def test_scores_match_the_definition(spark, monkeypatch, run):
     monkeypatch.setattr(ctw, "RUN_ROWS", run)
+    if run == 3:  # many questions, segments and copies of a group
+        for name, value in (("ASK_ROWS", 4), ("SCORE_BYTES", 9), ("SALT_BYTES", 8)):
+            monkeypatch.setattr(ctw, name, value)
     texts = ["the cat sat on the mat", "The dog sat", "a cat and a dog", "dogs sat on cats", "", "the the the cat", "sat at that"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     train = [ctw._padded(ctw.tokens_of(t.encode())) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
@@ -105,7 +108,13 @@ def test_scores_match_the_definition(spark, monkeypatch, run):
 
 def test_the_model_is_a_distribution(spark, small):
     model = ctw.fit(ctw.counts_of(spark.read.parquet(f"{small}/documents.parquet")))
-    assert np.allclose((10.0 ** model.logs).sum(1), 1, atol=1e-4)
+    groups = [tuple(r) for r in model.groups.orderBy("triple").limit(40).collect()]
+    known = np.concatenate([(np.int64(t) << ctw.SUFFIX | np.frombuffer(k, np.int32)) >> ctw.BITS for t, k, _ in groups])
+    context = np.concatenate([known, known ^ 1, known ^ (1 << 12)])  # known ones, and others with a known ending at most
+    gram = (context[:, None] << ctw.BITS | np.arange(ctw.CODES)).ravel()
+    of = {t for t, _, _ in groups}
+    assert set((gram >> ctw.SUFFIX).tolist()) <= of
+    assert np.allclose((10.0 ** ctw.answers(model.pairs, groups, gram)).reshape(-1, ctw.CODES).sum(1), 1)
     rare = model.codes == ctw.ESCAPE
     assert (10.0 ** model.escape[rare]).sum() == pytest.approx(1)
 
@@ -113,7 +122,6 @@ def test_the_model_is_a_distribution(spark, small):
 @pytest.mark.parametrize("top", [300_000, 5])
 def test_base_scores_match_brute_force(spark, small, monkeypatch, top):
     monkeypatch.setattr(ctw, "MAX_WORDS", top)
-    monkeypatch.setattr(ctw, "MAX_CONTEXTS", 500)
     docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(edge.documents(spark).where("doc_id IN (3, 4, 7) OR doc_id IS NULL"))
     rows = docs.collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
