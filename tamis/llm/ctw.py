@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ ESCAPE = CODES - 1
 HELD_OUT = 10
 MAX_WORDS = 300_000  # words whose counts scoring has at hand; the others are looked up by a join
 PIECE_BYTES = 2_000_000
-SCORE_BYTES = 8_000_000  # bytes of text that ask for their grams together
+SCORE_BYTES = 16_000_000  # bytes of text that ask for their grams together
 RUN_ROWS = 50_000  # gram counts whose trees are weighted in one go
 ASK_ROWS = 500_000  # questions answered in one go
 SALT_BYTES = 256 << 20  # questions to a group of three codes beyond this are shared out over copies of the group
@@ -79,50 +80,121 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _counted(batches):
-    """Gram and word counts of a task; both are sent on whenever they grow large."""
-    names = ["gram", "word", "n"]
+def packed_rows(rows: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values that hold so many of the values each."""
+    offsets = np.concatenate(([0], np.cumsum(rows) * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.nonzero(np.concatenate(([True], values[1:] != values[:-1])))[0]
+
+
+def by_triple(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted grams as groups of their first three codes: these, how many grams each has, and the rest of all grams."""
+    triple = (gram >> SUFFIX).astype(np.int32)
+    first = _runs(triple)
+    return triple[first], np.diff(np.append(first, len(triple))), (gram & ((1 << SUFFIX) - 1)).astype(np.int32)
+
+
+COUNTS = "triple int, keys binary, counts binary, word binary, n long"
+
+
+def _counts_batch(words: list, numbers: list, triples=(), keys=(), counts=()) -> pa.RecordBatch:
+    n, m = len(words), len(triples)
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    joined = [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t) if not isinstance(x, pa.Array) else x]) for t, x in ((pa.int32(), triples), (pa.binary(), keys), (pa.binary(), counts))]
+    return pa.RecordBatch.from_arrays([*joined, pa.concat_arrays([words, pa.nulls(m, pa.binary())]),
+                                       pa.concat_arrays([pa.array(numbers, pa.int64()), pa.nulls(m, pa.int64())])], names=["triple", "keys", "counts", "word", "n"])
+
+
+def byte_counts(texts: DataFrame) -> np.ndarray:
+    """How often each byte is in the texts as they are scored."""
+    def run(batches):
+        seen = np.zeros(256, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen += np.bincount(np.frombuffer(_padded(tokens_of(text))[DEPTH:], np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(seen)], names=["byte", "n"])
+
+    seen = np.zeros(256, np.int64)
+    for r in texts.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        seen[r["byte"]] = r["n"]
+    return seen
+
+
+def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
+    """Counts over all training texts: a row for each word (``word, n``) and for each group of three codes (``triple, keys, counts``).
+
+    A task counts what it has and sends one row a group; a group's rows are added up as they come in.
+    """
+    def counted(batches):
+        words, parts, piece, held = Counter(), [], [], 0
+
+        def sums():
+            found, numbers = list(words), list(words.values())
+            for k in range(0, len(found), 100_000):
+                yield _counts_batch(found[k:k + 100_000], numbers[k:k + 100_000])
+            if parts:
+                gram, n = _merged(parts)
+                triple, size, low = by_triple(gram)
+                yield _counts_batch([], [], triple, packed_rows(size, low), packed_rows(size, n))
+
+        def close():
+            raw = codes[np.frombuffer(b"".join(piece), np.uint8)]
+            found = np.sort(grams(raw, np.fromiter(map(len, piece), np.int64, len(piece)), BITS).astype(np.int64))
+            first = _runs(found)
+            parts.append((found[first], np.diff(np.append(first, len(found)))))
 
-    def sums(words: Counter, parts: list):
-        found, numbers = list(words), list(words.values())
-        for k in range(0, len(found), 100_000):
-            some = found[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array(numbers[k:k + 100_000], pa.int64())], names=names)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = tokens_of(text)
+                words.update(own)
+                piece.append(_padded(own))
+                held += len(piece[-1])
+                if held >= PIECE_BYTES:
+                    close()
+                    piece, held = [], 0
+                    if len(words) > 600_000 or sum(len(k) for k, _ in parts) > 4_000_000:
+                        yield from sums()
+                        words, parts = Counter(), []
+        if piece:
+            close()
+        yield from sums()
+
+    def adding(batches):
+        """Rows come ordered, words first; the last word or group of a batch may go on in the next."""
+        last, triple, parts = None, None, []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            own = rows.filter(pc.is_null(rows["triple"])).select(["word", "n"])
+            if own.num_rows:
+                own = own if last is None else pa.concat_tables([last, own])
+                own = own.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                last, own = own.slice(own.num_rows - 1), own.slice(0, own.num_rows - 1).combine_chunks()
+                if own.num_rows:
+                    yield _counts_batch(own["word"].combine_chunks(), own["n"].to_pylist())
+            rows = rows.filter(pc.is_valid(rows["triple"]))
+            done: list[list] = [[], [], []]
+            for t, keys, counts in zip(*[rows[c].to_pylist() for c in ("triple", "keys", "counts")], strict=True):
+                if parts and t != triple:
+                    for x, y in zip(done, (triple, *[a.tobytes() for a in _merged(parts)]), strict=True):
+                        x.append(y)
+                    parts = []
+                triple = t
+                parts.append((np.frombuffer(keys, np.int32), np.frombuffer(counts, np.int64)))
+                if len(parts) % 64 == 0:
+                    parts = [_merged(parts)]
+            if done[0]:
+                yield _counts_batch([], [], *done)
+        if last is not None:
+            yield _counts_batch(last["word"].combine_chunks(), last["n"].to_pylist())
         if parts:
-            keys, counts = _merged(parts)
-            for k in range(0, len(keys), 100_000):
-                some = keys[k:k + 100_000].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.binary()), pa.array(counts[k:k + 100_000])], names=names)
-
-    words, parts, piece, held = Counter(), [], [], 0
-
-    def close():
-        raw = np.frombuffer(b"".join(piece), np.uint8)
-        found = np.sort(grams(raw, np.fromiter(map(len, piece), np.int64, len(piece))))
-        first = np.nonzero(np.concatenate(([True], found[1:] != found[:-1])))[0]
-        parts.append((found[first], np.diff(np.append(first, len(found)))))
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            own = tokens_of(text)
-            words.update(own)
-            piece.append(_padded(own))
-            held += len(piece[-1])
-            if held >= PIECE_BYTES:
-                close()
-                piece, held = [], 0
-                if len(words) > 600_000 or sum(len(k) for k, _ in parts) > 4_000_000:
-                    yield from sums(words, parts)
-                    words, parts = Counter(), []
-    if piece:
-        close()
-    yield from sums(words, parts)
-
-
-def counts_of(docs: DataFrame) -> DataFrame:
-    """``gram, word, n``: counts over all training texts, one of gram and word NULL."""
-    rows = docs.where(in_training(F.col("doc_id"))).select(utf8("text").alias("text"))
-    return materialize(rows.mapInArrow(_counted, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n")), "lm-counts")
+            yield _counts_batch([], [], [triple], *[[a.tobytes()] for a in _merged(parts)])
+
+    rows = texts.mapInArrow(counted, COUNTS).repartition("triple", "word").sortWithinPartitions("triple", "word")
+    return materialize(rows.mapInArrow(adding, COUNTS), "lm-counts")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -195,17 +267,6 @@ class Subtrees:
         self.pairs, self.counts, self.below = keys, counts, below
 
 
-def packed_rows(rows: np.ndarray, values: np.ndarray) -> pa.Array:
-    """Binary values that hold so many of the values each."""
-    offsets = np.concatenate(([0], np.cumsum(rows) * values.itemsize)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Where the runs of equal values begin."""
-    return np.nonzero(np.concatenate(([True], values[1:] != values[:-1])))[0]
-
-
 def subtrees(groups: list[tuple[int, bytes, bytes]]) -> Subtrees:
     """The contexts of whole groups of three codes as they are stored."""
     low = [np.frombuffer(k, np.int32) for _, k, _ in groups]
@@ -217,53 +278,22 @@ def subtrees(groups: list[tuple[int, bytes, bytes]]) -> Subtrees:
 class Model:
     codes: np.ndarray  # code of each byte
     escape: np.ndarray  # log10 probability of each byte among those without a code of their own, 0 for the others
+    words: DataFrame  # ``word, n`` of all words
     groups: DataFrame  # ``triple, keys, counts``: the grams of a group of three codes, without these, and their counts
     pairs: tuple[np.ndarray, np.ndarray, np.ndarray]  # what ``descend`` gives for each context of two codes
 
 
-def fit(counts: DataFrame) -> Model:
-    """The model of a table of gram counts; all of them, however rare, are part of it."""
-    rows = counts.where("gram IS NOT NULL")
-    seen = np.zeros(256, np.int64)
-    for r in rows.groupBy(F.col("gram").bitwiseAND(F.lit(255).cast("long")).alias("byte")).agg(F.sum("n").alias("n")).collect():
-        seen[r["byte"]] = r["n"]
+def fit(docs: DataFrame) -> Model:
+    """The model of the training rows; all their contexts, however rare, are part of it."""
+    texts = docs.where(in_training(F.col("doc_id"))).select(utf8("text").alias("text"))
+    seen = byte_counts(texts)
     own = np.argsort(-seen, kind="stable")[:ESCAPE]
     codes = np.full(256, ESCAPE, np.uint8)
     codes[own] = np.arange(ESCAPE)
     rare = codes == ESCAPE
     escape = np.where(rare, np.log10((seen + 0.5) / (seen[rare].sum() + 0.5 * rare.sum())), 0.0)
-
-    def recode(batches):
-        for batch in batches:
-            packed, gram = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for k in range(DEPTH, -1, -1):
-                gram = gram << BITS | codes[packed >> 8 * k & 255].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((gram >> SUFFIX).astype(np.int32)), pa.array((gram & ((1 << SUFFIX) - 1)).astype(np.int32)), batch.column(1)],
-                                             names=["triple", "low", "n"])
-
-    def pack(batches):
-        """One row for each group of three codes; the rows come in order, and a batch may end inside a group."""
-        held = None
-
-        def rows_of(triple, low, n):
-            first = _runs(triple)
-            size = np.diff(np.append(first, len(triple)))
-            return pa.RecordBatch.from_arrays([pa.array(triple[first]), packed_rows(size, low), packed_rows(size, n)], names=["triple", "keys", "counts"])
-
-        for batch in batches:
-            if batch.num_rows:
-                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-                part = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-                cut = int(np.searchsorted(part[0], part[0][-1]))
-                if cut:
-                    yield rows_of(*[x[:cut] for x in part])
-                held = [x[cut:] for x in part]
-        if held is not None:
-            yield rows_of(*held)
-
-    # Bytes that share a code are few, so the counts are summed after the one exchange that brings a group together.
-    coded = rows.select("gram", "n").mapInArrow(recode, "triple int, low int, n long").repartition("triple").groupBy("triple", "low").agg(F.sum("n").alias("n"))
-    groups = materialize(coded.sortWithinPartitions("triple", "low").mapInArrow(pack, "triple int, keys binary, counts binary"), "lm-groups")
+    counts = counts_of(texts, codes)
+    words, groups = counts.where("word IS NOT NULL").select("word", "n"), counts.where("triple IS NOT NULL").select("triple", "keys", "counts")
 
     def roots(batches):
         def sums(held):
@@ -292,7 +322,7 @@ def fit(counts: DataFrame) -> Model:
     level0 = level(level1.counts.sum(0)[None], level1.weighted.sum(0)[None])
     start = (np.zeros((1, NODES)), np.ones((1, NODES)), np.full((1, NODES), 0.5))
     down1 = descend(descend(start, level0, False), level1, False)
-    return Model(codes, escape, groups, descend(tuple(np.repeat(x, CODES, axis=0) for x in down1), level2, False))
+    return Model(codes, escape, words, groups, descend(tuple(np.repeat(x, CODES, axis=0) for x in down1), level2, False))
 
 
 def answers(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], groups: list[tuple[int, bytes, bytes]], gram: np.ndarray) -> np.ndarray:
@@ -318,15 +348,13 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for piece, codes, lengths in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 gram = np.sort(grams(np.frombuffer(codes, np.uint8), np.frombuffer(lengths, np.int64), BITS).astype(np.int64))
-                gram = gram[_runs(gram)]
-                triple = (gram >> SUFFIX).astype(np.int32)
-                first = _runs(triple)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), piece)), pa.array(triple[first]), packed_rows(
-                    np.diff(np.append(first, len(triple))), (gram & ((1 << SUFFIX) - 1)).astype(np.int32))], names=["piece", "triple", "keys"])
-
-    asked = materialize(pieces.select("row", "codes", "lengths").mapInArrow(asking, "piece long, triple int, keys binary"), "lm-asked")
-    shares = materialize(asked.groupBy("triple").agg(F.ceil(F.sum(F.octet_length("keys")) / F.lit(SALT_BYTES)).cast("int").alias("shares")), "lm-shares")
-    shares = F.broadcast(shares.where("shares > 1"))  # fewer than 64 * 64 * 64
+                triple, size, low = by_triple(gram[_runs(gram)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triple), piece)), pa.array(triple), packed_rows(size, low)], names=["piece", "triple", "keys"])
+
+    asked = pieces.select("row", "codes", "lengths").mapInArrow(asking, "piece long, triple int, keys binary")
+    # A piece asks a group for about the grams it has at most, so this many bytes come to a group.
+    share = F.ceil(F.octet_length("keys") * F.lit(pieces.count() / SALT_BYTES)).cast("int")
+    shares = F.broadcast(model.groups.select("triple", share.alias("shares")).where("shares > 1"))  # fewer than 64 * 64 * 64
     own = F.coalesce("shares", F.lit(1))
     questions = asked.join(shares, "triple", "left").select("triple", F.pmod(F.xxhash64("piece"), own).cast("int").alias("share"), "piece", "keys", F.lit(None).cast("binary").alias("counts"))
     groups = model.groups.join(shares, "triple", "left").select("triple", F.explode(F.sequence(F.lit(0), own - 1)).alias("share"), F.lit(None).cast("long").alias("piece"), "keys", "counts")
@@ -402,11 +430,10 @@ def scored(docs: DataFrame) -> DataFrame:
     twice get equal scores. Without training rows every byte has an even chance and the base
     knows no token. Only doc_id and text are read.
     """
-    counts = counts_of(docs)
-    model = fit(counts)
+    model = fit(docs)
     codes_of, escape_of = model.codes, model.escape
     ends = docs.where(in_training(F.col("doc_id"))).count()
-    words = counts.where("word IS NOT NULL").select("word", "n")
+    words = model.words
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (total or 0) + ends, distinct + bool(ends)
     floor = 0.1 * (distinct + 1)

@@ -107,7 +107,7 @@ def test_scores_match_the_definition(spark, monkeypatch, run):
 
 
 def test_the_model_is_a_distribution(spark, small):
-    model = ctw.fit(ctw.counts_of(spark.read.parquet(f"{small}/documents.parquet")))
+    model = ctw.fit(spark.read.parquet(f"{small}/documents.parquet"))
     groups = [tuple(r) for r in model.groups.orderBy("triple").limit(40).collect()]
     known = np.concatenate([(np.int64(t) << ctw.SUFFIX | np.frombuffer(k, np.int32)) >> ctw.BITS for t, k, _ in groups])
     context = np.concatenate([known, known ^ 1, known ^ (1 << 12)])  # known ones, and others with a known ending at most
