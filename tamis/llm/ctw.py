@@ -35,7 +35,7 @@ HELD_OUT = 10
 MAX_WORDS = 300_000  # words whose counts scoring has at hand; the others are looked up by a join
 PIECE_BYTES = 2_000_000
 SCORE_BYTES = 6_000_000  # bytes of text that ask for their grams together
-RUN_ROWS = 50_000  # gram counts whose trees are weighted in one go
+RUN_ROWS = 20_000  # gram counts whose trees are weighted in one go
 ASK_ROWS = 500_000  # questions answered in one go
 SALT_BYTES = 256 << 20  # questions to a group of three codes beyond this are shared out over copies of the group
 END = b"\n"
