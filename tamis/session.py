@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_root: list[str] = []  # of this process, where the session names none
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # paths of this process's tables
 
 
 def build_session(app: str = "tamis", cores: int | str = "*", shuffle_partitions: int = 8,
@@ -54,4 +56,23 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned, once nothing reads them any more.
+
+    Only a table written by this process goes, by its own path; other frames are left alone.
+    """
+    for table in tables:
+        path = _written.pop(table, None)
+        if path is not None:
+            remove(table.sparkSession, path)
