@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import ctw, decontaminate, html_text, licences, mixing, quality, simhash, token_files, toxicity, transcripts
+from tamis.llm import (ctw, decontaminate, html_text, licences, mixing, quality, simhash, token_files, toxicity,
+                       transcripts, vector_codes)
 from tamis.llm.common import table
 
 
@@ -55,6 +56,11 @@ def op10_ctw(spark: SparkSession, folder: str) -> DataFrame:
     return ctw.scored(table(spark, folder, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_licences, op3_decontamination, op4_mixing, op5_toxicity, op6_transcripts, op7_quality,
-                                   op8_token_files, op9_html, op10_ctw)}
-ORACLES = {"op2_licences": licences.sql(), "op3_decontamination": decontaminate.SQL, "op7_quality": quality.SQL}
+                                   op8_token_files, op9_html, op10_ctw, op11_vector_codes)}
+ORACLES = {"op2_licences": licences.sql(), "op3_decontamination": decontaminate.SQL, "op7_quality": quality.SQL,
+           "op11_vector_codes": vector_codes.sql()}
