@@ -78,7 +78,7 @@ def _assigned(state: DataFrame, shape: str, books: np.ndarray, before: np.ndarra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = matrix(batch.column(2), parts * width).reshape(-1, parts, width)
+            own = matrix(batch.column(2), parts * width).reshape(batch.num_rows, parts, width)
             code, distance = np.empty((2, len(own), parts), np.int64)
             if moved is not None:
                 old, far = matrix(batch.column(3), parts, np.int64), matrix(batch.column(4), parts, np.int64)
@@ -98,7 +98,7 @@ def _totals(state: DataFrame, parts: int, entries: int, width: int) -> tuple[np.
         sums = np.zeros((parts, entries, width + 1), np.int64)
         for batch in batches:
             if batch.num_rows:
-                own = matrix(batch.column(0), parts * width, np.int64).reshape(-1, parts, width)
+                own = matrix(batch.column(0), parts * width, np.int64).reshape(batch.num_rows, parts, width)
                 code = matrix(batch.column(1), parts, np.int64)
                 for p in range(parts):
                     np.add.at(sums[p, :, :width], code[:, p], own[:, p])
