@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import (ctw, decontaminate, html_text, licences, mixing, quality, simhash, token_files, toxicity,
+from tamis.llm import (ctw, decontaminate, exact_dedup, html_text, licences, mixing, quality, simhash, token_files, toxicity,
                        transcripts, vector_codes)
 from tamis.llm.common import table
 
@@ -60,7 +60,12 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.compressed(table(spark, folder, "embeddings"))
 
 
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.marked(table(spark, folder, "documents")).drop("row")
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_licences, op3_decontamination, op4_mixing, op5_toxicity, op6_transcripts, op7_quality,
-                                   op8_token_files, op9_html, op10_ctw, op11_vector_codes)}
+                                   op8_token_files, op9_html, op10_ctw, op11_vector_codes,
+                                   op12_exact_dedup)}
 ORACLES = {"op2_licences": licences.sql(), "op3_decontamination": decontaminate.SQL, "op7_quality": quality.SQL,
-           "op11_vector_codes": vector_codes.sql()}
+           "op11_vector_codes": vector_codes.sql(), "op12_exact_dedup": exact_dedup.SQL}
