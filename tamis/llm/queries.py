@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamis.llm import (ctw, decontaminate, exact_dedup, html_text, licences, mixing, quality, simhash, token_files, toxicity,
+from tamis.llm import (ctw, decontaminate, exact_dedup, hard_negatives, html_text, licences, mixing, quality, simhash, token_files, toxicity,
                        transcripts, vector_codes)
 from tamis.llm.common import table
 
@@ -64,8 +65,15 @@ def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.marked(table(spark, folder, "documents")).drop("row")
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mined(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_licences, op3_decontamination, op4_mixing, op5_toxicity, op6_transcripts, op7_quality,
                                    op8_token_files, op9_html, op10_ctw, op11_vector_codes,
-                                   op12_exact_dedup)}
+                                   op12_exact_dedup, op13_hard_negatives)}
 ORACLES = {"op2_licences": licences.sql(), "op3_decontamination": decontaminate.SQL, "op7_quality": quality.SQL,
-           "op11_vector_codes": vector_codes.sql(), "op12_exact_dedup": exact_dedup.SQL}
+           "op11_vector_codes": vector_codes.sql(), "op12_exact_dedup": exact_dedup.SQL,
+           "op13_hard_negatives": hard_negatives.SQL}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.vectors import matrix, scaled, usable, width_of
+from tamis.llm.vectors import lists, matrix, scaled, usable, width_of
 from tamis.operators.joins import fits_broadcast, lookup
 from tamis.session import discard, materialize
 
@@ -64,11 +64,6 @@ def updated(books: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarr
     return np.where(counts[:, :, None] > 0, means, books)
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), kind))
-
-
 def _assigned(state: DataFrame, shape: str, books: np.ndarray, before: np.ndarray | None) -> DataFrame:
     """The rows with the codes and distances for ``books``; without a codebook ``before``, by full scans."""
     parts, _, width = books.shape
@@ -86,7 +81,7 @@ def _assigned(state: DataFrame, shape: str, books: np.ndarray, before: np.ndarra
                 entries = books[p].astype(np.float64)
                 code[:, p], distance[:, p] = nearest(own[:, p], entries) if moved is None else reassign(
                     own[:, p], entries, moved[p], old[:, p], far[:, p])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(code, pa.int32()), _lists(distance, pa.int64())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(code, pa.int32()), lists(distance, pa.int64())],
                                              ["vec_id", "label", "whole", "code", "distance"])
 
     return state.mapInArrow(step, shape)

@@ -44,3 +44,9 @@ def matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
     out = np.zeros((len(sizes), width), kind)
     out[np.arange(width) < sizes[:, None]] = flat
     return out
+
+
+def lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The rows of a matrix as a list column."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), kind))
