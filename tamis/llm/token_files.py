@@ -37,14 +37,15 @@ class Encoder:
     """Ids of whole texts by a word tokenizer that drops white space.
 
     White space always ends a word, so words are encoded on their own and kept in a cache of
-    bounded size; words in plain Latin letters go straight to the tokenizer's model.
+    bounded size; words in plain Latin letters go straight to the tokenizer's model. Only such a
+    word can be cut off from a stop behind it: ``letters`` holds those and nothing else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.cache = self.tokenizer.model, {}
+        self.model, self.cache, self.letters = self.tokenizer.model, {}, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.plain = self._is_word_model()
@@ -74,11 +75,11 @@ class Encoder:
         """Ids of a word with A-Z in lower case."""
         if self.plain:
             body, stop = (word[:-1], self.stops[word[-1]]) if word[-1] in self.stops else (word, b"")
-            found = self.cache.get(body) if stop else None
+            found = self.letters.get(body)
             if found is None and body:
                 found = self._letters(body)
-                if found is not None and stop:
-                    self.cache[body] = found
+                if found is not None:
+                    self.letters[body] = found
             if found is not None:
                 return found + stop
         text = word.decode()
@@ -92,8 +93,9 @@ class Encoder:
         """The ids of a text; only texts with a special token's brackets keep their capitals until they are cut into words."""
         raw = text or b""
         words = (raw if b"<|" in raw else raw.lower()).split()
-        if len(self.cache) > CACHED_WORDS:
+        if len(self.cache) + len(self.letters) > CACHED_WORDS:
             self.cache.clear()
+            self.letters.clear()
         cache, at = self.cache, -1
         found = list(map(cache.get, words))
         for _ in range(found.count(None)):

@@ -28,6 +28,20 @@ def test_words_alone_give_the_ids_of_the_whole_text(spark, small, direct):
         assert np.frombuffer(code.encode(text.encode()), code.dtype).tolist() == direct(text), text[:80]
 
 
+def test_random_strings_in_any_order(direct):
+    draw = random.Random(8)
+    signs = ".,;:?!|@#<>()'\"-_/&%*+=~`^$[]{}\\"
+    alphabet = ["a", "b", "The", "é", "ß", "日", "1", "42", "don't", "'ll", "<|", "|>", "ﬁ", "İ", "e\u0301", "\u00a0", "\u200b", "...", *signs, *signs]
+    words = ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 4))) for _ in range(20_000)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 5))) for _ in range(20_000)]
+    texts += ["! !,", "wait ... then ...;", "@ @?", "a < b <| c", "word word. word; word!", "...; ..."]
+    expected = [direct(t) for t in texts]
+    code = token_files.Encoder(tokenizer_path())
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        for k in order:
+            assert np.frombuffer(code.encode(texts[k].encode()), code.dtype).tolist() == expected[k], texts[k]
+
+
 def test_cache_may_be_emptied_at_any_time(monkeypatch, direct):
     monkeypatch.setattr(token_files, "CACHED_WORDS", 3)
     code = token_files.Encoder(tokenizer_path())
