@@ -28,8 +28,9 @@ from tamis.session import materialize
 MAGIC = 0x5452414E4B303176
 SHARD_IDS = 1_000_000  # a shard is closed when it has so many ids
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())  # ASCII punctuation
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]+")
 
 
@@ -38,18 +39,17 @@ class Encoder:
 
     White space always ends a word, so words are encoded on their own and kept in a cache of
     bounded size; words in plain Latin letters go straight to the tokenizer's model. Only such a
-    word can be cut off from a stop behind it: ``letters`` holds those and nothing else.
+    word can be cut off from the signs behind it: ``letters`` holds those and nothing else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.cache, self.letters = self.tokenizer.model, {}, {}
+        self.model, self.cache, self.letters, self.runs = self.tokenizer.model, {}, {}, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.plain = self._is_word_model()
-        self.stops = {ord(c): array(self.kind, self._quick(c)).tobytes() for c in ".,;:?!|"} if self.plain else {}
 
     def _is_word_model(self) -> bool:
         """Whether the quick way gives the tokenizer's own ids on a line with all kinds of signs."""
@@ -73,15 +73,15 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         """Ids of a word with A-Z in lower case."""
-        if self.plain:
-            body, stop = (word[:-1], self.stops[word[-1]]) if word[-1] in self.stops else (word, b"")
+        if self.plain and b"<|" not in word:
+            body = word.rstrip(_SIGNS)
             found = self.letters.get(body)
             if found is None and body:
                 found = self._letters(body)
                 if found is not None:
                     self.letters[body] = found
             if found is not None:
-                return found + stop
+                return found + self._signs(word[len(body):]) if len(body) < len(word) else found
         text = word.decode()
         if self.plain and b"<|" not in word and _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
             ids = self._quick(text)
@@ -89,13 +89,19 @@ class Encoder:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array(self.kind, ids).tobytes()
 
+    def _signs(self, run: bytes) -> bytes:
+        """Ids of a run of signs behind letters, which is one piece for the model."""
+        found = self.runs.get(run)
+        if found is None:
+            found = self.runs[run] = array(self.kind, self._quick(run.decode())).tobytes()
+        return found
+
     def encode(self, text: bytes | None) -> bytes:
         """The ids of a text; only texts with a special token's brackets keep their capitals until they are cut into words."""
         raw = text or b""
         words = (raw if b"<|" in raw else raw.lower()).split()
-        if len(self.cache) + len(self.letters) > CACHED_WORDS:
-            self.cache.clear()
-            self.letters.clear()
+        if len(self.cache) > CACHED_WORDS or len(self.runs) > CACHED_WORDS:
+            self.cache, self.letters, self.runs = {}, {}, {}
         cache, at = self.cache, -1
         found = list(map(cache.get, words))
         for _ in range(found.count(None)):
@@ -133,23 +139,31 @@ def encoder(path: str) -> Encoder:
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks: one to four bytes a rank, four lengths a control byte."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    lengths = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[:len(ranks)] = lengths - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    more = codes[:len(ranks)]  # bytes of each rank besides the first
+    more[:] = ranks > 0xFF
+    wide = np.nonzero(ranks > 0xFFFF)[0]
+    more[wide] = 2 + (ranks[wide] > 0xFFFFFF)
+    quads = codes.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    starts = np.cumsum(more, dtype=np.int64) - more + np.arange(len(ranks))
+    data = np.empty(len(ranks) + int(more.sum(dtype=np.int64)), np.uint8)
+    data[starts] = ranks.astype(np.uint8)
+    for k in (1, 2, 3):
+        here = np.nonzero(more >= k)[0]
+        data[starts[here] + k] = (ranks[here] >> np.uint32(8 * k)).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
 
-_LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
+_LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     lengths = _LENGTHS[control].ravel()[:n]
-    starts = np.cumsum(lengths) - lengths
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        here = lengths > k
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = data[starts].astype(np.uint32)
+    for k in (1, 2, 3):
+        here = np.nonzero(lengths > k)[0]
         out[here] |= data[starts[here] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -179,7 +193,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     """Shards of all texts in ascending doc_id order: ``part, seq, before, n_ids, shard``, written and read back.
 
     NULL is an empty text, which has the end id alone; documents without an id come first,
-    rows with one id follow each other. ``path`` is the folder of the table, by default one below
+    rows with one id follow each other. Document ids are whole numbers of 64 bits without -2^63,
+    which stands for a missing id in a shard; an id that is no number fails the job. ``path`` is the folder of the table, by default one below
     the shared scratch folder. The tokenizer file must be at ``tokenizer`` on every executor.
     """
     spark = docs.sparkSession
