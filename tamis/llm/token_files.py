@@ -199,28 +199,37 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     """
     spark = docs.sparkSession
 
+    wide = encoder(tokenizer).dtype.itemsize
+    size = encoder(tokenizer).tokenizer.get_vocab_size()
+
     def encode(batches):
-        code = encoder(tokenizer)
+        code, total = encoder(tokenizer), np.zeros(size, np.int64)
         end = np.array([end_id], code.dtype).tobytes()
+        names = ["doc_id", "check", "ids", "tally"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = [code.encode(t) + end for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t or b"") for t in texts], pa.int64()), pa.array(ids, pa.binary())],
-                                             names=["doc_id", "check", "ids"])
-
-    wide = encoder(tokenizer).dtype.itemsize
-    size = encoder(tokenizer).tokenizer.get_vocab_size()
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
-        encode, "doc_id long, check long, ids binary"), "ids")
-
-    def tally(batches):
+            total += np.bincount(np.frombuffer(b"".join(ids), code.dtype), minlength=size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t or b"") for t in texts], pa.int64()), pa.array(ids, pa.binary()),
+                                              pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                          pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+    # The last row of a task holds how often it met each id.
+    written = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
+        encode, "doc_id long, check long, ids binary, tally binary"), "ids")
+    rows = written.where("tally IS NULL")
+
+    def tallied(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{wide}"), minlength=size)
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw, "<i8")
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
-    ranking = rows.select("ids").mapInArrow(tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
+    ranking = written.where("tally IS NOT NULL").select("tally").mapInArrow(tallied, "id int, n long").groupBy("id").agg(
+        F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
     by_rank = np.array([r["id"] for r in ranking.collect()], np.int64)  # the vocabulary at most
     rank_of = np.zeros(size, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
