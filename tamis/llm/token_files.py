@@ -28,7 +28,7 @@ from tamis.session import materialize
 MAGIC = 0x5452414E4B303176
 SHARD_IDS = 1_000_000  # a shard is closed when it has so many ids
 END_ID = 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())  # ASCII punctuation
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]+")
@@ -75,11 +75,12 @@ class Encoder:
         """Ids of a word with A-Z in lower case."""
         if self.plain and b"<|" not in word:
             body = word.rstrip(_SIGNS)
-            found = self.letters.get(body)
+            known = self.cache if body.isalpha() else self.letters  # a word of ASCII letters is such a word itself
+            found = known.get(body)
             if found is None and body:
                 found = self._letters(body)
                 if found is not None:
-                    self.letters[body] = found
+                    known[body] = found
             if found is not None:
                 return found + self._signs(word[len(body):]) if len(body) < len(word) else found
         text = word.decode()
@@ -100,7 +101,7 @@ class Encoder:
         """The ids of a text; only texts with a special token's brackets keep their capitals until they are cut into words."""
         raw = text or b""
         words = (raw if b"<|" in raw else raw.lower()).split()
-        if len(self.cache) > CACHED_WORDS or len(self.runs) > CACHED_WORDS:
+        if len(self.cache) + len(self.letters) + len(self.runs) > CACHED_WORDS:
             self.cache, self.letters, self.runs = {}, {}, {}
         cache, at = self.cache, -1
         found = list(map(cache.get, words))
