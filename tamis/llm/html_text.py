@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,19 +25,25 @@ MAX_TRAINING_PAGES = 4000  # bound of the sample the block classifier is fitted
 # Elements of HTML by their use here.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
              "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = set("audio button canvas datalist embed head iframe math noscript object option script select style svg template textarea title video".split())
+# Left out with all they hold: machinery, form fields, and what a page shows only where sound, pictures or scripts do not work.
+SKIPPED = set("audio button canvas datalist embed head iframe noscript option script select style svg template textarea title video".split())
 RAW = set("script style textarea title iframe noscript".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = set("nav footer aside form dialog menu".split())
+BOILERPLATE = set("nav footer aside dialog menu".split())
 CONTENT = set("article main".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Parts of class names, ids and roles that speak for boilerplate or content.
+# Words in class names, ids and roles that speak for boilerplate or content, and words that say nothing beside them.
 BAD_NAMES = set("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie "
                 "cookies dialog discussion disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notification overlay pager pagination "
                 "paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor "
                 "sponsored subscribe subscription toc toolbar warning widget".split())
+HARD_NAMES = set("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments disqus discussion footer menu nav navbar navigation "
+                 "promoted recommended related replies reply respond sidebar sponsor sponsored widget".split())
 GOOD_NAMES = set("article articlebody content entry main post story text".split())
+NEUTRAL_NAMES = set("area bar block body bottom box center col column container desktop fixed global group inner item items left link links list mobile module "
+                    "outer page panel posts primary right row secondary section site stories top unit wrap wrapper".split())
 HEADS = set("header masthead topbar".split())
+NO_HINT, GOOD, BAD, HARD = 0, 1, 2, 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
@@ -51,39 +57,57 @@ class Block:
     tag: str
     parent: int
     grand: int
-    good: bool
-    bad: bool
+    hint: int
 
 
 @dataclass
 class _Open:
     tag: str
     number: int
-    good: bool
-    bad: bool
+    hint: int
     skipped: bool
+    inline: Counter | None  # of a block element: the open inline elements right inside it, by tag
 
 
-def _hints(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element by itself speaks for content or for boilerplate."""
-    good, bad = tag in CONTENT, tag in BOILERPLATE or tag == "header" and not inside
+def _name_hint(name: str, inside: bool) -> int:
+    """What one class name says. It must consist of known words only: ``no-sidebar`` and ``widget-review`` say nothing."""
+    parts = {p.lower() for p in _NAME_PART.findall(name)}
+    bad = parts & (BAD_NAMES if inside else BAD_NAMES | HEADS)
+    if not parts <= bad | GOOD_NAMES | NEUTRAL_NAMES:
+        return NO_HINT
+    return HARD if bad & HARD_NAMES else BAD if bad else GOOD if parts & GOOD_NAMES else NO_HINT
+
+
+def _own_hint(tag: str, attributes: str, inside: bool) -> int:
+    """What an element says by itself; ``inside`` an article a header belongs to it."""
+    found = {GOOD if tag in CONTENT else HARD if tag in BOILERPLATE else BAD if tag == "form" or tag == "header" and not inside else NO_HINT}
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name = (m[1] or m[5]).lower()
             value = html.unescape(m[2] or m[3] or m[4] or "")
             if name in ("class", "id", "role"):
-                parts = {p.lower() for p in _NAME_PART.findall(value)}
-                bad = bad or bool(parts & BAD_NAMES) or bool(parts & HEADS) and not inside
-                good = good or bool(parts & GOOD_NAMES)
+                found |= {_name_hint(token, inside) for token in value.split()}
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                bad = True
-    return good, bad
+                found.add(HARD)
+    if HARD in found:
+        return HARD
+    return GOOD if tag in CONTENT else max(found)
+
+
+def _hint(outer: int, own: int) -> int:
+    """The nearest element that says something decides, except inside comments, menus and the like."""
+    return outer if outer == HARD or own == NO_HINT else own
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, white space collapsed; hidden machinery is left out."""
+    """The text blocks of a page in order, white space collapsed; hidden machinery is left out.
+
+    Open elements are looked at only if an end tag or a new block closes them, so the work is
+    proportional to the page, however broken it is.
+    """
     out: list[Block] = []
-    stack = [_Open("", 0, False, False, False)]
+    stack = [_Open("", 0, NO_HINT, False, Counter())]
+    holders, open_blocks = [0], Counter()  # places of open block elements in the stack, and how many there are of each tag
     parts: list[str] = []
     linked, links, serial, raw, at = 0, 0, 0, "", 0
 
@@ -91,9 +115,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            holders = [o for o in stack if o.tag in BLOCKS or not o.tag]
-            out.append(Block(text, links, holders[-1].tag, holders[-2].number if len(holders) > 1 else 0,
-                             holders[-3].number if len(holders) > 2 else 0, stack[-1].good, stack[-1].bad))
+            own = [stack[k] for k in holders[-3:]]
+            out.append(Block(text, links, own[-1].tag, own[-2].number if len(own) > 1 else 0, own[-3].number if len(own) > 2 else 0, stack[-1].hint))
         parts.clear()
         links = 0
 
@@ -105,6 +128,18 @@ def blocks_of(page: str) -> list[Block]:
             if linked:
                 links += len("".join(run.split()))
 
+    def close(block: bool, tag: str) -> None:
+        """Close the innermost open element of this tag, and all inside it."""
+        while True:
+            last = stack.pop()
+            if last.inline is not None:
+                holders.pop()
+                open_blocks[last.tag] -= 1
+            else:
+                stack[holders[-1]].inline[last.tag] -= 1
+            if last.tag == tag and (last.inline is not None) == block:
+                return
+
     while at < len(page):
         if raw:
             end = re.compile(rf"</{raw}\b[^>]*(?:>|$)", re.I).search(page, at)
@@ -119,27 +154,17 @@ def blocks_of(page: str) -> list[Block]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
+        block = tag in BLOCKS
+        if block:
+            flush()
         if m[1] or m[4]:
-            if tag in BLOCKS:
-                flush()
             if tag == "a":
                 linked = max(0, linked - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS and tag not in BLOCKS:
-                    break
+            if open_blocks[tag] > 0 if block else stack[holders[-1]].inline[tag] > 0:
+                close(block, tag)
             continue
-        if tag in BLOCKS:
-            flush()
-            if tag != "hr":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CLOSES.get(tag, {"p"}) and stack[k].tag in BLOCKS:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCKS:
-                        break
+        if block and tag != "hr" and stack[holders[-1]].tag in CLOSES.get(tag, {"p"}):
+            close(True, stack[holders[-1]].tag)
         elif tag == "br":
             parts.append(" ")
         if tag in RAW:
@@ -148,9 +173,14 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "a":
                 linked += 1
             top = stack[-1]
-            good, bad = _hints(tag, m[3] or m[6] or "", top.good)
             serial += 1
-            stack.append(_Open(tag, serial, top.good or good, top.bad or bad, top.skipped or tag in SKIPPED))
+            if block:
+                holders.append(len(stack))
+                open_blocks[tag] += 1
+            else:
+                stack[holders[-1]].inline[tag] += 1
+            hint = _hint(top.hint, _own_hint(tag, m[3] or m[6] or "", top.hint == GOOD))
+            stack.append(_Open(tag, serial, hint, top.skipped or tag in SKIPPED, Counter() if block else None))
     flush()
     return out
 
@@ -173,14 +203,15 @@ def fit(pages: DataFrame) -> list[np.ndarray]:
     """Log odds of content for the classes of each feature, from pages that mark their content and boilerplate themselves.
 
     Blocks inside article or main elements are content, those inside navigation and the like
-    boilerplate. Only counts of feature combinations (240 at most) leave the tasks. Without
+    boilerplate. NULL pages have no blocks; repeated pages count as often as they occur, pages of
+    one page_id are chosen or left out together. Only counts of feature combinations (240 at most) leave the tasks. Without
     LEAST_BLOCKS blocks of either kind the start values decide.
     """
     chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(MAX_TRAINING_PAGES)
 
     def count(batches):
         for batch in batches:
-            rows = [(*features(b), int(b.good and not b.bad)) for page in batch.column(0).to_pylist() for b in blocks_of((page or b"").decode()) if b.good or b.bad]
+            rows = [(*features(b), int(b.hint == GOOD)) for page in batch.column(0).to_pylist() for b in blocks_of((page or b"").decode()) if b.hint]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(5)], names=["a", "b", "c", "d", "content"])
 
     found = pages.join(F.broadcast(chosen), "page_id", "left_semi").select(utf8("html").alias("html")).mapInArrow(
@@ -258,7 +289,7 @@ def labels_of(blocks: list[Block], odds: list[np.ndarray]) -> list[bool]:
     excess, edges, last, older = [], [], {}, {}
     for i, b in enumerate(blocks):
         cost = float(np.clip(sum(t[f] for t, f in zip(odds, features(b), strict=True)), -LIMIT, LIMIT))
-        excess.append(cost + LANDMARK * b.good - HINT * b.bad)
+        excess.append(cost + (LANDMARK if b.hint == GOOD else -HINT if b.hint else 0.0))
         if i:
             edges.append((i - 1, i, SAME_PARENT if b.parent == blocks[i - 1].parent else NEXT))
         if last.get(b.parent, i - 1) != i - 1:

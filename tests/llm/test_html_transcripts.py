@@ -1,6 +1,7 @@
 import html as markup
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -43,6 +44,43 @@ def test_a_page_without_landmarks(spark):
                    "Third paragraph closes the story with enough words to be called a real one."]
 
 
+PROSE = [f"Paragraph {k} of this article has a good number of words, so that anyone would call it prose." for k in range(4)]
+PROBE = "<body><nav><a href=/>Home</a></nav>{}" + "".join(f"<p>{p}</p>" for p in PROSE) + "{}<footer>Copyright and more</footer></body>"
+
+
+def test_one_word_of_a_class_name_loses_no_article(spark):
+    whole = [('<article class="post no-sidebar">', "</article>"), ('<article class="entry social-policy">', "</article>"), ('<article id="widget-review">', "</article>"),
+             ('<main class="form-friendly">', "</main>"), ('<div class="layout-with-menu"><article>', "</article></div>"), ('<article class="post">', "</article>"),
+             ('<form action="/"><article>', "</article></form>"), ('<article class="post share">', "</article>")]
+    none = [('<section class="comments"><article>', "</article></section>"), ('<div class="site-footer">', "</div>"), ('<div id="related-posts"><article>', "</article></div>"),
+            ("<div hidden>", "</div>"), ('<section class="cookie-notice">', "</section>")]
+    pages = [(k, "u", PROBE.format(*around)) for k, around in enumerate(whole + none)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(len(whole))] == ["\n".join(PROSE)] * len(whole)
+    assert [got[k] for k in range(len(whole), len(pages))] == [""] * len(none)
+
+
+def test_the_fitted_cut_needs_no_landmarks(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    odds = html_text.fit(pages)
+    for r in pages.collect():
+        bare = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", r.html).replace(' class="ad"', "")
+        assert html_text.main_text(bare, odds) == plain_article(r.html)
+
+
+def test_broken_pages_take_time_in_proportion():
+    for page in ("<b>" * 32_000 + "x</i>" * 32_000, "<i><p>" + "<b>" * 32_000 + "x</i>" * 32_000, "<div>" * 32_000 + "t</div>x" * 32_000,
+                 "<div>" + "<b>" * 32_000 + "<p>t</p>" * 32_000):
+        begin = time.process_time()
+        html_text.blocks_of(page)
+        assert time.process_time() - begin < 1
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> of <object>two</object> values.</p><p>Next <b>one</p><p>unclosed</b> here.</p></article>"
+    assert [b.text for b in html_text.blocks_of(page)] == ["The sum a+b of two values.", "Next one", "unclosed here."]
+
+
 def test_minimum_cut_is_minimal():
     draw = random.Random(2)
     for _ in range(60):
