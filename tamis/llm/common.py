@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +27,17 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema,
-            use: Callable[[pa.RecordBatch], list]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches from a function that turns a batch into columns."""
-    for batch in rows:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x
-                                              for x, t in zip(use(batch), schema.types, strict=True)], schema=schema)
+def bitmap(cells: DataFrame, cell: str) -> DataFrame:
+    """``block, bits``: the numbers in a column, from 0 on, as bitmaps of 32 768 bits; a number may come often."""
+    place = F.col(cell) + 1  # the functions count from 1
+    return cells.groupBy((F.bitmap_bucket_number(place) - 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def bit_set(bits: Column, cell: Column) -> Column:
+    """Whether a number's bit is set in the bitmap of its block; false where there is none."""
+    place = F.pmod(cell, F.lit(32_768))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
 
 
 def utf8(name: str) -> Column:

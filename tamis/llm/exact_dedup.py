@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import own_name, utf8
+from tamis.llm.common import bitmap, own_name, utf8
 from tamis.session import discard, materialize
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -90,13 +90,11 @@ def _shared_cells(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     keys = materialize(docs.select("text").mapInArrow(hashed, "key long"), "keys")
     bits = min(CELL_BITS, max(15, (16 * keys.count()).bit_length()))
-    cells = keys.groupBy((F.shiftrightunsigned("key", 64 - bits) + 1).alias("cell")).count().where("count > 1")
-    blocks = cells.groupBy(F.bitmap_bucket_number("cell").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()  # 2^bits bits at most
+    cells = keys.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("cell")).count().where("count > 1")
     shared = np.zeros(1 << (bits - 3), np.uint8)
-    for row in blocks:
+    for row in bitmap(cells, "cell").collect():  # 2^bits bits at most
         part = np.frombuffer(row["bits"], np.uint8)
-        shared[(row["block"] - 1) * 4096:][:len(part)] = part
+        shared[row["block"] * 4096:][:len(part)] = part
     discard(keys)
     return shared, bits
 

@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.common import batches, own_name, utf8
+from tamis.llm.common import bit_set, bitmap, own_name, utf8
 from tamis.llm.components import connected_components
 from tamis.session import materialize
 
 BITS = 64
 HEAD = 16  # bits of a partition that its histogram tells apart: 65 536 counts a partition at most
+MARK_BITS = 27  # of the bitmap of ids that are compared again, at most: 16 MB
 SPLIT_ROWS = 4096  # index rows of one partition value that share a salt
 
 
@@ -245,11 +246,29 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each group; a row given twice stays once.
 
     A group whose documents have no doc_id keeps one of them for each fingerprint.
+
+    Who stays is found on narrow rows. A bitmap of bounded size marks the ids of rows that go
+    and ids that occur twice; rows of unmarked ids stay where they are. Only marked rows, and
+    the few that share a bit with one, are compared again and cross an exchange with their texts.
     """
-    mark, lead = own_name(docs, "fingerprint"), own_name(docs, "lead")
-    rows = materialize(with_fingerprint(docs, name=mark), "fingerprinted")
-    narrow = rows.select("doc_id", F.col(mark).alias("fingerprint"))
-    stay = narrow.join(groups_of(narrow, distance), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("component_id").agg(F.min("fingerprint").alias(mark)).withColumnRenamed("component_id", lead)
-    keys = [rows["doc_id"].eqNullSafe(stay[lead]), rows[mark] == stay[mark]]
-    return rows.join(stay, keys, "left_semi").dropDuplicates(["doc_id", mark]).select(*[f"`{c}`" for c in docs.columns])
+    mark, lead, block = own_name(docs, "fingerprint"), own_name(docs, "lead"), own_name(docs, "block")
+    rows = materialize(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fingerprint"), "fingerprints")
+    grouped = rows.join(groups_of(rows, distance), "fingerprint")
+    stay = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("fingerprint"))
+    ids = grouped.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("leads"))
+    ids = materialize(ids, "ids")
+    bits = min(MARK_BITS, max(15, (16 * ids.count()).bit_length()))
+
+    def cell(doc_id: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - bits)
+
+    marked = ids.where("n > 1 OR NOT leads OR doc_id IS NULL").select(cell(F.col("doc_id")).alias("cell"))
+    marks = materialize(bitmap(marked, "cell"), "marks")  # 2^MARK_BITS bits at most
+    marks = marks.select(F.col("block").alias(block), F.col("bits").alias(mark))
+    flagged = docs.join(F.broadcast(marks), F.floor(cell(docs["doc_id"]) / 32_768) == marks[block], "left").withColumn(
+        mark, bit_set(F.col(mark), cell(docs["doc_id"]))).drop(block)
+    columns = [f"`{c}`" for c in docs.columns]
+    again = with_fingerprint(flagged.where(F.col(mark)).select(*columns), name=mark)
+    stay = stay.select(F.col("component_id").alias(lead), F.col("fingerprint").alias(block))
+    again = again.join(stay, again["doc_id"].eqNullSafe(stay[lead]) & (again[mark] == stay[block]), "left_semi").dropDuplicates(["doc_id", mark])
+    return flagged.where(~F.col(mark)).select(*columns).unionByName(again.select(*columns))

@@ -6,8 +6,8 @@ from tests.llm import edge
 
 def test_registered():
     names = queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
-    assert {"op2_licences", "op3_decontamination", "op7_quality"} <= oracle_sql().keys()
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
+    assert {"op2_licences", "op3_decontamination", "op7_quality", "op11_vector_codes", "op12_exact_dedup", "op13_hard_negatives"} <= oracle_sql().keys()
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, small):
