@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_root: list[str] = []  # of this process, where the session names none
-_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # paths of this process's tables
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # where a frame was written to
+_paths: dict[str, None] = {}  # of all tables this process has written and not removed, in order
 
 
 def build_session(app: str = "tamis", cores: int | str = "*", shuffle_partitions: int = 8,
@@ -57,14 +58,29 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     path = scratch_path(spark, label)
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    _written[table] = path
+    _tables[table] = path
+    _paths[path] = None
     return table
 
 
+def written() -> set[str]:
+    """Paths of the tables this process has written and not removed."""
+    return set(_paths)
+
+
+def discard_unread(paths: set[str], still_read: DataFrame) -> None:
+    """Remove written tables by their paths, without those a frame reads."""
+    read = still_read.inputFiles()
+    for path in paths:
+        if path in _paths and not any(path.rpartition("/")[2] in file for file in read):
+            remove(still_read.sparkSession, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote, in whatever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _paths.pop(path, None)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -73,6 +89,6 @@ def discard(*tables: DataFrame) -> None:
     Only a table written by this process goes, by its own path; other frames are left alone.
     """
     for table in tables:
-        path = _written.pop(table, None)
+        path = _tables.pop(table, None)
         if path is not None:
             remove(table.sparkSession, path)
