@@ -7,6 +7,8 @@ the fit is also a table of sampling probabilities.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.llm.common import own_name, utf8
-from tamis.session import materialize
+from tamis.session import discard, materialize
 
 TEMPERATURES = {"source": 0.7, "lang": 0.85, "topic": 1.0}
 KEEP = 0.8  # share of all tokens that the sample has in expectation
@@ -69,8 +71,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, sw
     """``cells`` with ``weight``, at most their ``tokens``, whose marginals come as near to the targets as that allows.
 
     Cells a target does not name weigh nothing. The loop ends when a sweep no longer changes
-    anything, or after ``sweeps``; every step is written, so its plan stays small and a lost
-    executor repeats one. Cells that fit one task are summed and joined without an exchange;
+    anything, or after ``sweeps`` with a warning; every sweep is written, so its plan stays small
+    and a lost executor repeats one. Cells that fit one task are summed and joined without an exchange;
     more of them are shuffled by the target's key.
     """
     total, count = cells.agg(F.sum("tokens"), F.count("*")).first()
@@ -79,19 +81,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, sw
     for name, target in targets.items():
         share = target.select(F.col(name).alias("key"), F.col("share").alias(f"{name}_share"))
         rows = rows.join(share, F.col(name).eqNullSafe(F.col("key")), "left").drop("key")
-    rows = materialize(rows.withColumn("before", F.col("weight")), "raked")
+    held = materialize(rows, "raked")
     for _ in range(sweeps):
+        rows = held.coalesce(tasks).withColumn("before", F.col("weight"))
         for name in targets:
-            rows = rows.coalesce(tasks)
             sums = rows.groupBy(F.col(name).alias("key")).agg(F.sum("weight").alias("sum"))
             want = F.col("weight") * F.col(f"{name}_share") * F.lit(float(keep * total)) / F.col("sum")
-            rows = materialize(rows.join(sums, F.col(name).eqNullSafe(F.col("key"))).withColumn(
-                "weight", F.when(F.col("sum") > 0, F.least(F.col("tokens").cast("double"), F.coalesce(want, F.lit(0.0)))).otherwise(0.0)).drop("key", "sum"), "raked")
+            rows = rows.join(sums, F.col(name).eqNullSafe(F.col("key"))).withColumn(
+                "weight", F.when(F.col("sum") > 0, F.least(F.col("tokens").cast("double"), F.coalesce(want, F.lit(0.0)))).otherwise(0.0)).drop("key", "sum")
+        rows = materialize(rows, "raked")
+        discard(held)
+        held = rows
         change = F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-300)))
         if (rows.coalesce(tasks).agg(change).first()[0] or 0) <= close:
             break
-        rows = rows.withColumn("before", F.col("weight"))
-    return rows.select(*cells.columns, "weight")
+    else:
+        warnings.warn(f"raking still changed cells by more than {close:g} after {sweeps} sweeps", stacklevel=2)
+    return held.select(*cells.columns, "weight")
 
 
 def draw(key: Column) -> Column:
