@@ -47,17 +47,20 @@ def measure(text: bytes | None) -> tuple[int, str]:
 
 
 def measured(docs: DataFrame, names: dict[str, str], keep_text: bool) -> DataFrame:
-    """``docs`` with tokens and topic."""
-    through, source = [c for c in docs.columns if keep_text or c != "text"], own_name(docs, "utf8")
-    schema = T.StructType([docs.schema[c] for c in through] + [T.StructField(names["n_tokens"], T.LongType()), T.StructField(names["topic"], T.StringType())])
+    """``docs`` with tokens and topic. A text goes to a task's Python and back once, as bytes."""
+    rest, raw = [c for c in docs.columns if c != "text"], own_name(docs, "utf8")
+    sent = [docs.schema[c] for c in rest] + [T.StructField(raw, T.BinaryType())] * keep_text
+    schema = T.StructType([*sent, T.StructField(names["n_tokens"], T.LongType()), T.StructField(names["topic"], T.StringType())])
 
     def run(batches):
         for batch in batches:
-            found = [measure(t) for t in batch.column(len(through)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(batch.columns[:len(through)] + [pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())],
+            found = [measure(t) for t in batch.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(sent)] + [pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())],
                                              names=schema.names)
 
-    return docs.select(*[f"`{c}`" for c in through], utf8("text").alias(source)).mapInArrow(run, schema)
+    done = docs.select(*[f"`{c}`" for c in rest], utf8("text").alias(raw)).mapInArrow(run, schema)
+    text = F.col(raw).cast("string").cast(docs.schema["text"].dataType).alias("text")
+    return done.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"], names["n_tokens"], names["topic"])
 
 
 def tempered(cells: DataFrame, name: str, temperature: float) -> DataFrame:
@@ -71,7 +74,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, sw
     """``cells`` with ``weight``, at most their ``tokens``, whose marginals come as near to the targets as that allows.
 
     Cells a target does not name weigh nothing. The loop ends when a sweep no longer changes
-    anything, or after ``sweeps`` with a warning; every sweep is written, so its plan stays small
+    anything, or after ``sweeps`` with a warning; every step is written, so its plan stays small
     and a lost executor repeats one. Cells that fit one task are summed and joined without an exchange;
     more of them are shuffled by the target's key.
     """
@@ -81,19 +84,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, sw
     for name, target in targets.items():
         share = target.select(F.col(name).alias("key"), F.col("share").alias(f"{name}_share"))
         rows = rows.join(share, F.col(name).eqNullSafe(F.col("key")), "left").drop("key")
-    held = materialize(rows, "raked")
+    held = materialize(rows.withColumn("before", F.col("weight")), "raked")
     for _ in range(sweeps):
-        rows = held.coalesce(tasks).withColumn("before", F.col("weight"))
-        for name in targets:
+        for place, name in enumerate(targets):
+            rows = held.coalesce(tasks)
+            rows = rows if place else rows.withColumn("before", F.col("weight"))
             sums = rows.groupBy(F.col(name).alias("key")).agg(F.sum("weight").alias("sum"))
             want = F.col("weight") * F.col(f"{name}_share") * F.lit(float(keep * total)) / F.col("sum")
-            rows = rows.join(sums, F.col(name).eqNullSafe(F.col("key"))).withColumn(
-                "weight", F.when(F.col("sum") > 0, F.least(F.col("tokens").cast("double"), F.coalesce(want, F.lit(0.0)))).otherwise(0.0)).drop("key", "sum")
-        rows = materialize(rows, "raked")
-        discard(held)
-        held = rows
+            rows = materialize(rows.join(sums, F.col(name).eqNullSafe(F.col("key"))).withColumn(
+                "weight", F.when(F.col("sum") > 0, F.least(F.col("tokens").cast("double"), F.coalesce(want, F.lit(0.0)))).otherwise(0.0)).drop("key", "sum"), "raked")
+            discard(held)
+            held = rows
         change = F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-300)))
-        if (rows.coalesce(tasks).agg(change).first()[0] or 0) <= close:
+        if (held.coalesce(tasks).agg(change).first()[0] or 0) <= close:
             break
     else:
         warnings.warn(f"raking still changed cells by more than {close:g} after {sweeps} sweeps", stacklevel=2)

@@ -45,10 +45,10 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big", signed=True)
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """All columns and the fingerprint as a long; NULL and wordless texts get 0."""
+def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
+    """All columns, or those of ``keep``, and the fingerprint as a long; NULL and wordless texts get 0."""
     source = own_name(docs, "utf8")
-    kept = [c for c in docs.columns if c != name]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.LongType())])
 
     def run(rows):
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     NULL and wordless texts share the fingerprint zero, which is linked like any other.
     Repeated rows stay repeated, other columns are not read, no rows give no rows.
     """
-    rows = materialize(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fingerprint"), "fingerprints")
+    rows = materialize(with_fingerprint(docs, keep=["doc_id"]), "fingerprints")
     return rows.join(groups_of(rows, distance), "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -252,7 +252,7 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     the few that share a bit with one, are compared again and cross an exchange with their texts.
     """
     mark, lead, block = own_name(docs, "fingerprint"), own_name(docs, "lead"), own_name(docs, "block")
-    rows = materialize(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fingerprint"), "fingerprints")
+    rows = materialize(with_fingerprint(docs, keep=["doc_id"]), "fingerprints")
     grouped = rows.join(groups_of(rows, distance), "fingerprint")
     stay = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("fingerprint"))
     ids = grouped.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("leads"))
