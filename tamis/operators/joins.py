@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.operators.bitmaps import possible_members
+
 # A lookup table within both bounds may be broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+WIDEST_KEY_ROW = 48  # bytes of a row of a table of keys and marks
 
 # Hot keys are broadcast apart from the rest; both limits keep that piece small.
 HOT_KEYS = 10_000
@@ -78,3 +83,23 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         right.join(hot, key, "left").withColumn("__salt", F.explode(copies)).drop("__is_hot")
     )
     return salted_left.join(salted_right, [key, "__salt"], how).drop("__salt")
+
+
+def derived_join(wide: DataFrame, table: DataFrame, key: str, derive: Callable[[DataFrame], DataFrame], how: str = "inner") -> DataFrame:
+    """``derive(wide)`` joined to ``table`` on ``key``, without texts in an exchange.
+
+    ``derive`` turns wide rows into narrow ones that keep the key, one for each. A table that
+    fits is broadcast to the wide rows; beyond that only rows derived from them are shuffled, and
+    for an inner join only from those that a bitmap of the table's keys lets through. Keys of
+    ``table`` must be unique. ``how`` is ``inner``, ``left`` or ``left_anti``.
+    """
+    rows = table.count()
+    if fits_broadcast(rows, rows * WIDEST_KEY_ROW):
+        small = F.broadcast(table)
+        if how == "left":
+            return derive(wide).join(small, key, "left")
+        if how == "left_anti":
+            return derive(wide.join(small, key, "left_anti"))
+        return derive(wide.join(F.broadcast(table.select(key)), key, "left_semi")).join(small, key)
+    members = possible_members(wide, key, table.select(key)) if how == "inner" else wide
+    return derive(members).join(table.hint("merge"), key, how)

@@ -60,7 +60,12 @@ def _totals(stats: DataFrame) -> Row:
 def fit(df: DataFrame, words: str, label: str, vocab_size: int, min_df: int = 1,
         smoothing: float = 1.0) -> TermModel:
     """Count terms per class in one pass; keep the ``vocab_size`` most frequent terms."""
-    counted = with_term_counts(df.select(label, words), words)
+    return fit_counted(with_term_counts(df.select(label, words), words), "terms", label, vocab_size, min_df, smoothing)
+
+
+def fit_counted(counted: DataFrame, terms: str, label: str, vocab_size: int, min_df: int = 1, smoothing: float = 1.0) -> TermModel:
+    """The same from rows that hold their ``(term, n)`` counts already."""
+    counted = counted.select(label, F.col(terms).alias("terms"))
     # One extra row per document, under the NULL term, carries the class sizes along.
     document_mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("n")))
     stats = (

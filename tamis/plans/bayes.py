@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamis.functions import answers, stopwords, text as tx
-from tamis.operators import answer_cache, metrics, naive_bayes, splits, word_bayes
+from tamis.operators import answer_cache, counting, metrics, naive_bayes, splits, word_bayes
 from tamis.plans import sql
 from tamis.plans.features import labelled_words
 from tamis.plans.registry import query
 from tamis.session import materialize, scratch_path
-from tamis.sources.tables import documents, labelled_documents, spread, table
+from tamis.sources.tables import documents, labelled, labelled_documents, spread, table
 from tamis.streaming import answer_cache as cache_stream, scoring
 
 VOCAB_SIZE = 500_000
@@ -22,14 +22,22 @@ def with_words(df: DataFrame, message: str) -> DataFrame:
 
 
 def train_model(spark: SparkSession, folder: str) -> naive_bayes.TermModel:
-    train, _ = splits.hash_split(labelled_words(spark, folder), "doc_id")
-    return naive_bayes.fit(train, "words", "label", VOCAB_SIZE, MIN_DF)
+    """Term counts of the training documents get their label; their texts and words stay where they are."""
+    def counted(texts: DataFrame) -> DataFrame:
+        words = with_words(texts.where(splits.in_share("doc_id")), "text").select("doc_id", "words")
+        return counting.with_term_counts(words, "words")
+
+    return naive_bayes.fit_counted(labelled(spark, folder, counted), "terms", "label", VOCAB_SIZE, MIN_DF)
 
 
 def test_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the test documents, then their labels."""
     model = train_model(spark, folder)
-    _, test = splits.hash_split(labelled_words(spark, folder), "doc_id")
-    return naive_bayes.score(model, test, "words", ["doc_id", "label"])
+
+    def score(texts: DataFrame) -> DataFrame:
+        return naive_bayes.score(model, with_words(texts.where(~splits.in_share("doc_id")), "text"), "words", ["doc_id"])
+
+    return labelled(spark, folder, score)
 
 
 def all_scores(spark: SparkSession, folder: str) -> DataFrame:

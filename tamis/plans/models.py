@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamis.operators import classifiers, corpus, splits
+from tamis.operators.joins import derived_join
 from tamis.plans import sql
 from tamis.plans.bayes import MIN_DF, VOCAB_SIZE
 from tamis.plans.registry import query
@@ -148,8 +149,8 @@ SELECT doc_id, prediction, round(probability, 4) AS probability,
 def score_batch(spark, folder):
     model, _ = bayes_pipeline(spark, folder)
     messages = spread(documents(spark, folder).select("doc_id", "text"), "doc_id")
-    unlabelled = messages.join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_anti")
-    scored = classifiers.score_batch(model, unlabelled, ["doc_id"])
+    scored = derived_join(messages, table(spark, folder, "labels").select("doc_id"), "doc_id",
+                          lambda texts: classifiers.score_batch(model, texts, ["doc_id"]), "left_anti")
     return scored.select("doc_id", "prediction", F.round("probability", 4).alias("probability"), "result")
 
 

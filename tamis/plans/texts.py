@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tamis.functions import answers, text as tx
 from tamis.functions.labels import repair_label
 from tamis.operators import corpus
+from tamis.operators.joins import derived_join
 from tamis.operators.ranking import global_rank
 from tamis.plans import sql
 from tamis.plans.registry import query
@@ -214,14 +215,15 @@ WITH mixed AS (
 SELECT {sql.REPAIR.format('label')} AS label, CASE WHEN text IS NULL THEN 1 ELSE 0 END AS would_drop,
        md5(coalesce(text, translated)) AS message_md5 FROM mixed""")
 def concat_mixed(spark, folder):
+    """Only what is kept of a text, here its digest, meets the label."""
     marks = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    original = table(spark, folder, "documents").join(marks, "doc_id", "left").select("label", "text")
+    original = derived_join(table(spark, folder, "documents").select("doc_id", "text"), marks, "doc_id",
+                            lambda rows: rows.select("doc_id", F.md5("text").alias("text_md5")), "left").select("label", "text_md5")
     translated = table(spark, folder, "conversations").select(
-        F.when(F.col("role") == "user", 1).otherwise(0).alias("label"), F.col("text").alias("translated")
+        F.when(F.col("role") == "user", 1).otherwise(0).alias("label"), F.md5("text").alias("translated_md5")
     )
-    mixed = corpus.concat_mixed(original, translated, "message", "text", "translated")
-    return mixed.select(repair_label(F.col("label")).alias("label"), F.col("text").isNull().cast("int").alias("would_drop"),
-                        F.md5("message").alias("message_md5"))
+    mixed = corpus.concat_mixed(original, translated, "message_md5", "text_md5", "translated_md5")
+    return mixed.select(repair_label(F.col("label")).alias("label"), F.col("text_md5").isNull().cast("int").alias("would_drop"), "message_md5")
 
 
 @query("corpus_reconcile", """
