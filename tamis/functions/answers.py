@@ -10,6 +10,7 @@ from tamis.functions.text import strip_message
 # Wording of the answers, key prefix and lifetime of a stored answer.
 SPAM, NOT_SPAM = "SPAM", "NOT SPAM"
 EMPTY_MESSAGE = "Empty message"
+MALFORMED = "Malformed request"
 EMPTY_TEXT = "empty_text"
 KEY_PREFIX = "spam:"
 ANSWER_TTL_SECONDS = 86400
@@ -28,19 +29,50 @@ def confidence_percent(probability: Column) -> Column:
     return F.concat(F.format_number(nudged, 2), F.lit("%"))
 
 
+def is_json_object(body: Column) -> Column:
+    """Whether a body is one whole JSON object without repeated names; false for NULL, other JSON values and broken text.
+
+    The parser ignores what follows a value, so the body is read as the one element of a list
+    and as a field before another field: text behind it breaks at least one of them.
+    """
+    body = F.coalesce(body, F.lit(""))
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    followed = F.try_parse_json(F.concat(F.lit('{"body":'), body, F.lit(',"end":1}')))
+    return F.coalesce(
+        F.schema_of_variant(listed).startswith("ARRAY<OBJECT") & F.try_variant_get(listed, "$[1]", "variant").isNull()
+        & (F.try_variant_get(followed, "$.end", "int") == 1), F.lit(False))
+
+
+def read_request(body: Column) -> Column:
+    """``message, error`` of a JSON request: the field, empty if it is missing or null, and an error for a malformed body.
+
+    A message that is a number or another value counts as its JSON text.
+    """
+    message = F.coalesce(F.get_json_object(body, "$.message"), F.lit(""))
+    ok = is_json_object(body)
+    return F.struct(F.when(ok, message).otherwise("").alias("message"), F.when(~ok, MALFORMED).alias("error"))
+
+
 def parse_request(body: Column) -> Column:
-    """The message of a JSON request; a missing field counts as empty."""
-    return F.coalesce(F.from_json(body, "message string")["message"], F.lit(""))
+    """The message of a JSON request alone."""
+    return read_request(body)["message"]
 
 
-def clean_request(df: DataFrame, message: str) -> DataFrame:
-    """Strip the message and add ``status`` and ``error``."""
+def clean_request(df: DataFrame, message: str = "message", error: str = "error") -> DataFrame:
+    """Strip the message, and add an error where it is empty and none is there yet, and ``status``."""
     stripped = strip_message(F.coalesce(F.col(message), F.lit("")))
-    empty = F.col(message) == ""
-    return df.withColumn(message, stripped).withColumns({
-        "status": F.when(empty, "error").otherwise("success"),
-        "error": F.when(empty, EMPTY_MESSAGE),
-    })
+    fault = F.col(error) if error in df.columns else F.lit(None).cast("string")
+    return df.withColumn(message, stripped).withColumn(error, F.coalesce(fault, F.when(F.col(message) == "", EMPTY_MESSAGE))).withColumn(
+        "status", F.when(F.col(error).isNull(), "success").otherwise("error"))
+
+
+def score_answer(probability: Column) -> Column:
+    """The JSON answer of a scored message, the probability with four decimals."""
+    return answer_json(F.lit("success"), verdict(probability), F.round(probability, 4).cast("decimal(5,4)"), F.lit(None).cast("string"))
+
+
+def error_answer(error: Column) -> Column:
+    return F.to_json(F.struct(F.lit("error").alias("status"), error.alias("error")))
 
 
 def answer_json(status: Column, result: Column, probability: Column, error: Column) -> Column:
@@ -67,12 +99,11 @@ def request_fault(text: Column) -> Column:
 
 def parse_translation(body: Column) -> tuple[Column, Column]:
     """Translated text and error code of an enrichment answer."""
-    parsed = F.from_json(body, "translatedText string")["translatedText"]
-    is_object = F.json_object_keys(body).isNotNull()
+    parsed = F.get_json_object(body, "$.translatedText")
     error = (
-        F.when(~is_object, "bad_json").when(parsed.isNull(), "no_translatedText_in_response").otherwise("")
+        F.when(~is_json_object(body), "bad_json").when(parsed.isNull(), "no_translatedText_in_response").otherwise("")
     )
-    return F.coalesce(parsed, F.lit("")), error
+    return F.when(error == "", parsed).otherwise(""), error
 
 
 def spam_probability(df: DataFrame) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamis.functions import answers, stopwords, text as tx
-from tamis.operators import answer_cache, counting, metrics, naive_bayes, splits, word_bayes
+from tamis.operators import answer_cache, counting, messages, metrics, naive_bayes, splits, word_bayes
 from tamis.plans import sql
 from tamis.plans.features import labelled_words
 from tamis.plans.registry import query
 from tamis.session import materialize, scratch_path
+from tamis.sources.answer_store import AnswerStore
 from tamis.sources.tables import documents, labelled, labelled_documents, spread, table
 from tamis.streaming import answer_cache as cache_stream, scoring
 
@@ -256,24 +259,44 @@ def cache_ttl_stream(spark, folder):
     return answered.select(F.col("id").alias("event_id"), "key", F.col("hit").cast("int").alias("hit"))
 
 
-@query("score_messages", f"""
-WITH {sql.naive_bayes("SELECT doc_id, coalesce(text, '') AS text FROM documents")}
-SELECT doc_id, CASE WHEN trim(coalesce(text, ''), {sql.ANY_SPACE}) = ''
-  THEN '{{"status":"error","error":"{answers.EMPTY_MESSAGE}"}}' ELSE {_ANSWER_SQL} END AS answer
-FROM nb JOIN documents USING (doc_id)""")
+_MESSAGES = f"""
+WITH {sql.naive_bayes("SELECT doc_id, coalesce(text, '') AS text FROM documents")},
+messages AS (SELECT doc_id, trim(coalesce(text, ''), {sql.ANY_SPACE}) AS message FROM documents),
+answers AS (
+  SELECT doc_id, CASE WHEN message = '' THEN '{{"status":"error","error":"{answers.EMPTY_MESSAGE}"}}' ELSE {_ANSWER_SQL} END AS answer,
+         message <> '' AS valid, CASE WHEN message <> '' AND row_number() OVER (PARTITION BY message ORDER BY doc_id) > 1 THEN 1 ELSE 0 END AS repeated
+  FROM nb JOIN messages USING (doc_id))"""
+
+
+def _answer_all(spark: SparkSession, folder: str, store: AnswerStore, model: naive_bayes.TermModel, now: Column) -> DataFrame:
+    """Every document's text as a JSON request."""
+    requests = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
+        F.col("doc_id").alias("id"), F.to_json(F.struct(F.col("text").alias("message"))).alias("body"))
+
+    def score(rows: DataFrame) -> DataFrame:
+        return naive_bayes.score(model, with_words(rows, "message"), "words", ["id"])
+
+    return messages.answer_requests(requests, store, score, now).withColumnRenamed("id", "doc_id")
+
+
+@query("score_messages", f"{_MESSAGES} SELECT doc_id, answer, repeated AS cached FROM answers")
 def score_messages(spark, folder):
-    """JSON requests in, JSON answers out, in one pass over the texts.
+    """JSON requests in, JSON answers out, with an answer store that is empty at first."""
+    store = AnswerStore(spark, scratch_path(spark, "answer-store"))
+    return _answer_all(spark, folder, store, train_model(spark, folder), F.lit("2024-01-01").cast("timestamp"))
+
 
-    Copies of a message are scored one by one: that is cheaper than moving every text to
-    find them. Stored answers, if there are any, are looked up as in ``cache_hits``.
-    """
-    bodies = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
-        "doc_id", F.to_json(F.struct(F.col("text").alias("message"))).alias("body"))
-    parsed = answers.clean_request(
-        bodies.select("doc_id", answers.parse_request(F.col("body")).alias("message")), "message")
-    scored = naive_bayes.score(
-        train_model(spark, folder), with_words(parsed, "message"), "words", ["doc_id", "status", "error"])
-    return scored.select("doc_id", _answer(F.col("status"), F.col("error")).alias("answer"))
+@query("score_messages_cached", f"""{_MESSAGES}
+SELECT hours, doc_id, answer, CASE WHEN hours = 23 THEN CAST(valid AS INTEGER) ELSE repeated END AS cached
+FROM answers, (VALUES (0), (23), (24)) AS calls(hours)""")
+def score_messages_cached(spark, folder):
+    """The same requests at once, after 23 hours, when every answer is still there, and after 24, when none is."""
+    store, model = AnswerStore(spark, scratch_path(spark, "answer-store")), train_model(spark, folder)
+    calls = []
+    for hours in (0, 23, 24):
+        now = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.lit(hours))
+        calls.append(_answer_all(spark, folder, store, model, now).select(F.lit(hours).alias("hours"), "*"))
+    return reduce(DataFrame.unionByName, calls)
 
 
 @query("score_stream", f"""{_ALL_SCORED}
@@ -282,8 +305,8 @@ def score_stream(spark, folder):
     model = train_model(spark, folder)
 
     def score(batch: DataFrame) -> DataFrame:
-        messages = spread(batch.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
-        return naive_bayes.score(model, with_words(messages, "text"), "words", ["doc_id"])
+        rows = spread(batch.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
+        return naive_bayes.score(model, with_words(rows, "text"), "words", ["doc_id"])
 
     # A streaming source takes a folder or a glob; this one matches exactly the table.
     source, sink = f"{folder}/documents.{{parquet}}", scratch_path(spark, "stream-answers")

@@ -151,21 +151,30 @@ def validate_message(spark, folder):
                           F.coalesce("error", F.lit("")).alias("error"))
 
 
+def _bodies(spark: SparkSession, folder: str, field: str) -> DataFrame:
+    """Replies as JSON bodies; by the length of a reply some are cut off, in a list, or followed by other text."""
+    body, kind = F.to_json(F.struct(F.col("reply").alias(field))), F.length("reply") % 5
+    return replies(spark, folder).withColumn("body", F.when(kind == 0, F.substring(body, F.lit(1), F.length(body) - 1)).when(
+        kind == 1, F.concat(F.lit("["), body, F.lit("]"))).when(kind == 2, F.concat(body, F.lit(" x"))).otherwise(body))
+
+
 @query("parse_request", f"""
-WITH {sql.REPLIES} SELECT conv_id, turn, md5(coalesce(reply, '')) AS message_md5 FROM replies""")
+WITH {sql.REPLIES}
+SELECT conv_id, turn, md5(CASE WHEN length(reply) % 5 < 3 THEN '' ELSE coalesce(reply, '') END) AS message_md5,
+       CASE WHEN length(reply) % 5 < 3 THEN '{answers.MALFORMED}' ELSE '' END AS error FROM replies""")
 def parse_request(spark, folder):
-    bodies = replies(spark, folder).withColumn("body", F.to_json(F.struct(F.col("reply").alias("message"))))
-    return bodies.select("conv_id", "turn", F.md5(answers.parse_request(F.col("body"))).alias("message_md5"))
+    requests = _bodies(spark, folder, "message").select("conv_id", "turn", answers.read_request(F.col("body")).alias("request"))
+    return requests.select("conv_id", "turn", F.md5("request.message").alias("message_md5"), F.coalesce("request.error", F.lit("")).alias("error"))
 
 
 @query("parse_translation", f"""
 WITH {sql.REPLIES}
-SELECT conv_id, turn, md5(coalesce(reply, '')) AS translated_md5,
-       CASE WHEN reply IS NULL THEN 'no_translatedText_in_response' ELSE '' END AS error FROM replies""")
+SELECT conv_id, turn, md5(CASE WHEN length(reply) % 5 < 3 THEN '' ELSE coalesce(reply, '') END) AS translated_md5,
+       CASE WHEN length(reply) % 5 < 3 THEN 'bad_json' WHEN reply IS NULL THEN 'no_translatedText_in_response' ELSE '' END AS error
+FROM replies""")
 def parse_translation(spark, folder):
-    bodies = replies(spark, folder).withColumn("body", F.to_json(F.struct(F.col("reply").alias("translatedText"))))
     translated, error = answers.parse_translation(F.col("body"))
-    return bodies.select("conv_id", "turn", F.md5(translated).alias("translated_md5"), error.alias("error"))
+    return _bodies(spark, folder, "translatedText").select("conv_id", "turn", F.md5(translated).alias("translated_md5"), error.alias("error"))
 
 
 @query("cache_key", f"""

@@ -70,16 +70,25 @@ def test_confidence_rounds_like_a_browser(spark):
 
 def test_requests_and_answers(spark):
     bodies = ['{"message": "  hi "}', "{}", '{"message": " \\n"}', "broken"]
-    parsed = column(spark, bodies).withColumn("message", answers.parse_request(F.col("x")))
-    checked = answers.clean_request(parsed, "message")
+    checked = answers.clean_request(column(spark, bodies).select(answers.read_request(F.col("x")).alias("r")).select("r.*"))
     assert values(checked, "message") == ["hi", "", "", ""]
     assert values(checked, "status") == ["success", "error", "error", "error"]
+    assert values(checked, "error") == [None, "Empty message", "Empty message", "Malformed request"]
     shown = checked.withColumn("y", answers.answer_json(
         F.col("status"), answers.verdict(F.lit(0.75)), F.lit(0.75), F.col("error")))
     assert values(shown)[:2] == [
         '{"status":"success","result":"SPAM","probability":0.75}', '{"status":"error","error":"Empty message"}']
 
 
+def test_malformed_bodies(spark):
+    good = ['{"message":"a"}', ' {"message":null} ', '{"other":1}', '{"message":{"deep":[1,{}]}}', '{"message":7}']
+    bad = [None, "", " ", "[1]", '"s"', "7", "null", '{"message":"a"', "{'message':'a'}", '{"message":"a"} x', '{"a":1},{"b":2}', '{} ] x', '{},"end":1} x',
+           '{},"end":1', '{"message":"a","message":"b"}', "{}]"]
+    assert values(column(spark, good).withColumn("y", answers.is_json_object(F.col("x")))) == [True] * len(good)
+    assert values(column(spark, bad).withColumn("y", answers.is_json_object(F.col("x")))) == [False] * len(bad)
+    assert values(column(spark, good).withColumn("y", answers.parse_request(F.col("x")))) == ["a", "", "", '{"deep":[1,{}]}', "7"]
+
+
 def test_verdict_is_strict_and_keys_name_the_model(spark):
     df = column(spark, [0.5, 0.5000001], "double").withColumn("y", answers.verdict(F.col("x")))
     assert values(df) == ["NOT SPAM", "SPAM"]
