@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.functions.answers import ANSWER_TTL_SECONDS
 from tamis.operators.joins import salted_join
+from tamis.operators.ranking import global_rank
 from tamis.session import materialize
 
-# A key with more requests than this is replayed period by period instead of in one task.
-LARGE_KEY_ROWS = 1_000_000
-
 
 def cached_answers(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Requests whose key is stored, with the stored columns. Cache keys must be unique."""
@@ -29,87 +23,70 @@ def unexpired(cache: DataFrame, stored_at: str, now: Column, ttl: int = ANSWER_T
     return cache.where(F.col(stored_at) + F.make_dt_interval(secs=F.lit(ttl)) > now)
 
 
-def mark_hits(keys: np.ndarray, micros: np.ndarray, ttl_micros: int,
-              last_key: object = None, expires: int = 0) -> tuple[np.ndarray, object, int]:
-    """Hit flags for rows sorted by key and time, continuing from an earlier batch.
+def _successors(nodes: DataFrame, length: int) -> DataFrame:
+    """``n, next``: for each numbered request the first one of its key at or after its expiry, if there is one.
 
-    The first request of a key stores an answer; requests before its expiry hit and do
-    not extend it; the first one at or after the expiry stores again.
+    Requests and their expiries are numbered in one order. An expiry's place in it, less the
+    expiries before it, is the number of requests before it, which is the number of the request
+    that follows. Expiries are in the order of their requests, so that is a subtraction.
     """
-    hits = np.ones(len(keys), dtype=bool)
-    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    for begin, end in zip(firsts, np.append(firsts[1:], len(keys))):
-        if keys[begin] != last_key:
-            last_key, expires = keys[begin], micros[begin]
-        at = begin + np.searchsorted(micros[begin:end], expires)
-        while at < end:
-            hits[at] = False
-            expires = micros[at] + ttl_micros
-            at = begin + np.searchsorted(micros[begin:end], expires)
-    return hits, last_key, expires
-
-
-def _replay_sorted(rows: DataFrame, ttl: int) -> DataFrame:
-    """Replay all keys of a partition in one streaming pass over Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, expires = None, 0
-        for batch in batches:
-            if len(batch):
-                hits, last_key, expires = mark_hits(
-                    batch["key"].to_numpy(), batch["micros"].to_numpy(), ttl * 1_000_000, last_key, expires
-                )
-                yield batch.assign(hit=hits)
-
-    return (
-        rows.repartition("key").sortWithinPartitions("key", "micros", "id")
-        .mapInPandas(run, "id long, key string, micros long, hit boolean")
-    )
+    requests = nodes.select("key", "micros", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("n"), "id")
+    expiries = nodes.select("key", (F.col("micros") + length).alias("micros"), F.lit(0).alias("kind"), "n", F.lit(None).cast(nodes.schema["id"].dataType).alias("id"))
+    placed = global_rank(requests.unionByName(expiries), [F.asc(c) for c in ("key", "micros", "kind", "n", "id")], "place").where("kind = 0")
+    following = placed.select("n", "key", (F.col("place") - F.col("n")).alias("next"))
+    same = nodes.select(F.col("n").alias("next"), F.col("key").alias("next_key"))
+    return following.join(same, "next").where(F.col("key").eqNullSafe(F.col("next_key"))).select("n", "next")
 
 
-def _replay_by_period(rows: DataFrame, ttl: int) -> DataFrame:
-    """Replay very large keys one lifetime-long period at a time.
+def _stores(nodes: DataFrame, length: int) -> DataFrame:
+    """``n`` of the requests that store: the first of each key, its successor, that one's successor and so on.
 
-    A period holds at most one store per key: the earliest request at or after the expiry,
-    and only a store of the period before can still be alive. Both are minima and lookups,
-    so a key's rows are never gathered; each row is read in its own period only.
+    With links of 1, 2, 4 ... successors the requests reached double in each round; two joins on
+    unique numbers a round, and as many rounds as the longest chain has binary digits.
     """
-    spark, length = rows.sparkSession, ttl * 1_000_000
-    placed = materialize(
-        rows.withColumn("period", F.floor(F.col("micros") / length)), "periods", ["period"]
-    )
-    stored, before = [], None
-    for period in [row.period for row in placed.select("period").distinct().orderBy("period").collect()]:
-        here = placed.where(F.col("period") == period)
-        if before is not None and before[0] == period - 1:
-            expiry = before[1].select("key", (F.col("micros") + length).alias("expires"))
-            here = here.join(expiry, "key", "left").where(
-                F.col("expires").isNull() | (F.col("micros") >= F.col("expires"))
-            )
-        earliest = here.groupBy("key").agg(F.min(F.struct("micros", "id")).alias("at"))
-        before = (period, materialize(earliest.select("key", "at.micros", "at.id"), "stores"))
-        stored.extend(before[1].inputFiles())
-    if not stored:
-        return placed.select("id", "key", "micros", F.lit(True).alias("hit"))
-    stores = spark.read.schema("key string, micros long, id long").parquet(*stored)
-    # The request id is part of the join key, so a large key spreads over all tasks.
-    return (
-        placed.join(stores.withColumn("stored", F.lit(True)), ["key", "micros", "id"], "left")
-        .select("id", "key", "micros", F.col("stored").isNull().alias("hit"))
-    )
+    links = materialize(_successors(nodes, length), "links")
+    stores = materialize(nodes.groupBy("key").agg(F.min("n").alias("n")).select("n"), "stores")
+    while True:
+        reached = materialize(links.join(stores, "n", "left_semi").select(F.col("next").alias("n")), "reached")
+        if reached.isEmpty():
+            return stores
+        stores = materialize(stores.unionByName(reached), "stores")
+        further = links.select(F.col("n").alias("next"), F.col("next").alias("after"))
+        links = materialize(links.join(further, "next").select("n", F.col("after").alias("next")), "links")
+
+
+def _covered(nodes: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """``rows`` with ``hit``: whether the last store of the key before a row, by the order of requests, is still alive."""
+    stored = materialize(global_rank(nodes.select("key", "micros", "id"), [F.asc(c) for c in ("key", "micros", "id")], "n"), "stored")
+    asked = global_rank(rows, [F.asc(c) for c in ("key", "micros", "id")], "n")
+    asked = materialize(asked, "asked")
+    both = stored.select("key", "micros", "id", F.lit(None).cast("long").alias("n")).unionByName(asked.select("key", "micros", "id", "n"))
+    placed = global_rank(both, [F.asc(c) for c in ("key", "micros", "id", "n")], "place").where("n IS NOT NULL")
+    last = stored.select(F.col("n").alias("last"), F.col("key").alias("last_key"), F.col("micros").alias("since"))
+    alive = F.col("key").eqNullSafe(F.col("last_key")) & (F.col("micros") < F.col("since") + length)
+    return placed.withColumn("last", F.col("place") - F.col("n") - 1).join(last, "last", "left").select(
+        "id", "key", "micros", F.coalesce(alive, F.lit(False)).alias("hit"))
 
 
 def replay_cache(requests: DataFrame, key: Column, at: Column, request_id: Column,
-                 ttl: int = ANSWER_TTL_SECONDS, large_key_rows: int = LARGE_KEY_ROWS) -> DataFrame:
-    """``(id, key, micros, hit)`` for a request log, ordered per key by time, then id."""
+                 ttl: int = ANSWER_TTL_SECONDS, ok: Column | None = None) -> DataFrame:
+    """``(id, key, micros, hit)`` for a request log, ordered per key by time, then id; ids must be unique.
+
+    The first request of a key stores an answer; requests before its expiry hit and do not
+    extend it; the first one at or after the expiry stores again. A request that is not ``ok``
+    hits like any other, but stores nothing. NULL is a key of its own. Requests are numbered in
+    parallel and joined on their numbers, so no key's requests meet in one task.
+    """
+    length = ttl * 1_000_000
     rows = requests.select(
-        request_id.alias("id"), key.alias("key"), F.unix_micros(at.cast("timestamp")).alias("micros")
+        request_id.alias("id"), key.alias("key"), F.unix_micros(at.cast("timestamp")).alias("micros"),
+        (F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))).alias("ok")
     )
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large_key_rows).select("key")
-    large = materialize(large, "large-keys")
-    if large.isEmpty():
-        return _replay_sorted(rows, ttl)
-    # Bounded by rows / large_key_rows.
-    usual = rows.join(F.broadcast(large), "key", "left_anti")
-    heavy = rows.join(F.broadcast(large), "key", "left_semi")
-    return _replay_sorted(usual, ttl).unionByName(_replay_by_period(heavy, ttl))
+    order = [F.asc(c) for c in ("key", "micros", "id")]
+    nodes = materialize(global_rank(rows.where("ok").drop("ok"), order, "n"), "requests")
+    marked = nodes.join(_stores(nodes, length).withColumn("stored", F.lit(True)), "n", "left")
+    answered = marked.select("id", "key", "micros", F.col("stored").isNull().alias("hit"))
+    if ok is None:
+        return answered
+    stored = marked.where("stored").select("key", "micros", "id")
+    return answered.unionByName(_covered(stored, rows.where("NOT ok").drop("ok"), length))

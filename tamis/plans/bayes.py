@@ -246,13 +246,23 @@ def cache_ttl(spark, folder):
     return replayed.select(F.col("id").alias("event_id"), "key", F.col("hit").cast("int").alias("hit"))
 
 
-@query("cache_ttl_stream", _CACHE_TTL)
+@query("cache_ttl_stream", """
+WITH RECURSIVE requests AS (
+  SELECT event_id, CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS micros, event_type <> 'error' AS ok,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+replay AS (
+  SELECT event_id, key, n, CASE WHEN ok THEN micros + 86400000000 ELSE 0 END AS expires, 0 AS hit FROM requests WHERE n = 1
+  UNION ALL
+  SELECT q.event_id, q.key, q.n,
+         CASE WHEN q.micros >= r.expires AND q.ok THEN q.micros + 86400000000 ELSE r.expires END,
+         CASE WHEN q.micros >= r.expires THEN 0 ELSE 1 END
+  FROM replay r JOIN requests q ON q.key = r.key AND q.n = r.n + 1)
+SELECT event_id, key, hit FROM replay""")
 def cache_ttl_stream(spark, folder):
-    """The same log as a stream: every request is answered, late ones too."""
+    """The log as a stream, one key for each user; every request is answered, and those that fail store nothing."""
     schema = table(spark, folder, "events").schema
-    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
     requests = spark.readStream.schema(schema).parquet(f"{folder}/events.{{parquet}}")
-    replayed = cache_stream.cache_stream(requests, key, F.col("ts"), F.col("event_id"))
+    replayed = cache_stream.cache_stream(requests, F.col("user_id").cast("string"), F.col("ts"), F.col("event_id"), ok=F.col("event_type") != "error")
     sink = scratch_path(spark, "stream-cache")
     cache_stream.write_available(replayed, sink, scratch_path(spark, "stream-checkpoint"))
     answered = spark.read.schema(replayed.schema).parquet(sink)

@@ -9,11 +9,11 @@ from tamis.operators import answer_cache
 START = datetime(2024, 1, 1)
 
 
-def brute_force(requests, ttl=ANSWER_TTL_SECONDS):
+def brute_force(requests, ttl=ANSWER_TTL_SECONDS, failed=()):
     hits, expiry = {}, {}
-    for number, key, at in sorted(requests, key=lambda r: (r[1], r[2], r[0])):
+    for number, key, at in sorted(requests, key=lambda r: (r[1] or "", r[2], r[0])):
         hits[number] = key in expiry and at < expiry[key]
-        if not hits[number]:
+        if not hits[number] and number not in failed:
             expiry[key] = at + timedelta(seconds=ttl)
     return hits
 
@@ -30,17 +30,37 @@ def test_lifetime_is_exact_and_not_extended(spark):
     assert [replay(spark, requests)[i] for i in range(8)] == [False, True, True, True, False, True, True, False]
 
 
-def test_large_keys_are_replayed_by_period_with_the_same_result(spark):
+def many(hot=0.4):
     rng = random.Random(5)
-    requests = [
-        (i, "hot" if rng.random() < 0.4 else f"k{rng.randint(0, 15)}",
+    return [
+        (i, "hot" if rng.random() < hot else f"k{rng.randint(0, 15)}",
          START + timedelta(seconds=rng.randint(0, 86_400 * 9), microseconds=rng.choice([0, 1, 999_999])))
         for i in range(900)
-    ] + [(900 + i, "hot", START + timedelta(days=20, seconds=i)) for i in range(3)]
-    want = brute_force(requests)
-    assert replay(spark, requests) == want
-    assert replay(spark, requests, large_key_rows=60) == want
-    assert replay(spark, requests, large_key_rows=0) == want
+    ] + [(900 + i, "hot", START + timedelta(days=20, seconds=i)) for i in range(3)] + [(950 + i, None, START + timedelta(hours=9 * i)) for i in range(9)]
+
+
+def test_one_hot_key_and_many_others_as_in_sequence(spark):
+    requests = many()
+    assert replay(spark, requests) == brute_force(requests)
+
+
+def test_failed_requests_hit_but_store_nothing(spark):
+    requests = many()
+    rng = random.Random(6)
+    failed = {n for n, *_ in requests if rng.random() < 0.5}
+    found = replay(spark, requests, ok=~F.col("number").isin(list(failed)))
+    assert found == brute_force(requests, failed=failed)
+
+
+def test_no_python_and_no_task_for_a_key(spark):
+    df = spark.createDataFrame(many(), "number long, name string, at timestamp_ntz")
+    done = answer_cache.replay_cache(df, F.col("name"), F.col("at"), F.col("number"))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "hashpartitioning(key" not in plan
+
+
+def test_no_requests(spark):
+    assert replay(spark, []) == {}
 
 
 def test_lookup_and_expiry(spark):
