@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.operators.bitmaps import possible_members
+from tamis.session import materialize
 
 # A lookup table within both bounds may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -16,6 +17,8 @@ WIDEST_KEY_ROW = 48  # bytes of a row of a table of keys and marks
 # Hot keys are broadcast apart from the rest; both limits keep that piece small.
 HOT_KEYS = 10_000
 HOT_SPREAD = 4096
+TRACKED_KEYS = 65_536  # of the sketch that finds frequent keys
+LEAST_FREQUENT = 10_000  # rows of a key that the sketch has to name
 
 # A key with more rows than this is salted in joins between two large tables.
 HOT_ROWS = 5_000_000
@@ -26,26 +29,41 @@ def fits_broadcast(rows: int, size: int) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def frequent_keys(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """``key`` of about the keys with ``least`` rows or more, from one bounded, mergeable sketch a task.
+
+    The sketch tracks ``TRACKED_KEYS`` keys; it may name a few keys too many, which costs nothing but room.
+    """
+    sketch = rows.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"))
+    return sketch.select(F.inline("top")).where(F.col("count") >= least).select(F.col("item").alias(key))
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, small: bool,
            weight: str | None = None) -> DataFrame:
     """Left join of many rows to a table with one row per key.
 
-    ``small`` says the table was measured and fits a broadcast. Otherwise its
-    ``HOT_KEYS`` heaviest keys (by ``weight``) are broadcast, so their rows never move,
-    and only the remaining keys, each of limited weight, are joined through a shuffle.
+    ``small`` says the table was measured and fits a broadcast. Otherwise the rows are written,
+    and a sketch names their frequent keys. Those are broadcast with what the table has for
+    them, which may be nothing, together with the table's heaviest keys (by ``weight``); their
+    rows never move by key. Only the remaining keys, each of limited weight, are joined through a
+    shuffle.
     """
     if small:
         return rows.join(F.broadcast(table), key, "left")
     values = [c for c in table.columns if c != key]
-    packed = table.select(key, F.struct(*values).alias("__value"), F.col(weight).alias("__weight"))
-    hot = packed.orderBy(F.desc("__weight"), key).limit(HOT_KEYS).select(key, F.col("__value").alias("__hot"))
+    rows = materialize(rows, "lookup-rows")
+    frequent = materialize(frequent_keys(rows, key, max(LEAST_FREQUENT, rows.count() // HOT_KEYS)), "frequent-keys")  # HOT_KEYS at most
+    heavy = table.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key) if weight else table.select(key).limit(0)
+    packed = table.select(key, F.struct(*values).alias("__value"))
+    hot = frequent.unionByName(heavy).distinct()
+    hot = materialize(hot.join(packed.join(F.broadcast(hot), key, "left_semi"), key, "left").select(key, F.col("__value").alias("__hot"), F.lit(True).alias("__known")), "hot-keys")
     cold = packed.join(F.broadcast(hot.select(key)), key, "left_anti").select(
         F.col(key).alias("__cold_key"), F.col("__value").alias("__cold")
     )
     marked = rows.join(F.broadcast(hot), key, "left")
     # Rows already answered, and NULL keys, which nothing answers, get scattered keys.
     scattered = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SPREAD)).cast("string"))
-    shuffle_key = F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), scattered).otherwise(F.col(key).cast("string"))
+    shuffle_key = F.when(F.col("__known").isNotNull() | F.col(key).isNull(), scattered).otherwise(F.col(key).cast("string"))
     value = F.coalesce("__hot", "__cold")
     return (
         marked.withColumn("__key", shuffle_key)

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.session import materialize
+
+PLACE_DIGITS = 48  # of a digest and a row hash
+FEW_ROWS = 10_000  # so many hashes are ordered on the driver
+
 
 def _digest(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
@@ -24,28 +29,52 @@ def random_split(df: DataFrame, share: float = 0.7, seed: int = 42) -> list[Data
     return df.randomSplit([share, 1 - share], seed=seed)
 
 
-def exact_cutoff(df: DataFrame, key: str, share: float = 0.7) -> str:
-    """The digest of the last key inside an exact ``int(share * n)`` split of unique keys.
+def _places(df: DataFrame, key: str) -> Column:
+    """What an exact split orders rows by: the key's digest, then a hash of the whole row; NULL without a key."""
+    return F.concat(_digest(key), F.lpad(F.lower(F.hex(F.xxhash64(*df.columns))), 16, "0"))
+
+
+def exact_cutoff(places: DataFrame, wanted: int) -> tuple[str, int, int]:
+    """The last ``place`` among the first ``wanted``, how many of its rows belong to them, and how many there are.
 
-    Counts per four-digit digest prefix (65536 at most) find the prefix the cut falls in;
-    only that prefix's keys are ordered. The text of the rows is never read or moved.
+    A round counts the rows by their next four digits (65 536 numbers at most) and goes on with
+    those rows alone whose digits the cut falls into. Few rows left are ordered at once.
     """
-    digests = df.select(_digest(key).alias("digest")).where("digest IS NOT NULL")
-    buckets = (
-        digests.groupBy(F.substring("digest", 1, 4).alias("prefix")).count().orderBy("prefix").collect()
-    )
-    wanted = int(share * sum(row["count"] for row in buckets))
-    for row in buckets:
-        if 0 < wanted <= row["count"]:
-            return (
-                digests.where(F.col("digest").startswith(row["prefix"]))
-                .orderBy("digest").limit(wanted).agg(F.max("digest")).first()[0]
-            )
-        wanted -= row["count"]
-    return ""
+    prefix = ""
+    while True:
+        here = places.where(F.col("place").startswith(prefix)) if prefix else places
+        counts = here.groupBy(F.substring("place", len(prefix) + 1, 4).alias("digits")).count().orderBy("digits").collect()
+        for row in counts:
+            if wanted <= row["count"]:
+                break
+            wanted -= row["count"]
+        prefix += row["digits"]
+        if len(prefix) == PLACE_DIGITS:
+            return prefix, wanted, row["count"]
+        if row["count"] <= FEW_ROWS:
+            left = sorted(r.place for r in places.where(F.col("place").startswith(prefix)).collect())
+            cut = left[wanted - 1]
+            return cut, wanted - left.index(cut), left.count(cut)
 
 
 def exact_split(df: DataFrame, key: str, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Exactly ``int(share * n)`` rows of ``n`` with a key on the left; keys must be unique, rows without one go right."""
-    inside = F.coalesce(_digest(key) <= exact_cutoff(df, key, share), F.lit(False))
-    return df.where(inside), df.where(~inside)
+    """Exactly ``int(share * n)`` of ``n`` rows with a key on the left, by its digest; rows without one go right.
+
+    Keys may repeat: rows of the key that the cut falls on are told apart by a hash of their
+    columns. Equal rows at the cut are as many copies of one on either side as needed. Texts are
+    hashed where they lie; only the hashes are written and counted.
+    """
+    places = materialize(df.select(_places(df, key).alias("place")).where("place IS NOT NULL"), "places")
+    wanted = int(share * places.count())
+    if not wanted:
+        return df.where(F.lit(False)), df
+    cut, taken, there = exact_cutoff(places, wanted)
+    place = _places(df, key)
+    if taken == there:
+        return df.where(place <= cut), df.where(place.isNull() | (place > cut))
+    one = df.where(place == cut).limit(1)
+
+    def copies(n: int) -> DataFrame:
+        return one.crossJoin(df.sparkSession.range(n).withColumnRenamed("id", "__copy")).drop("__copy")
+
+    return df.where(place < cut).unionByName(copies(taken)), df.where(place.isNull() | (place > cut)).unionByName(copies(there - taken))

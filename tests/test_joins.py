@@ -64,3 +64,24 @@ def test_no_text_crosses_an_exchange_though_labels_are_too_many_to_broadcast(spa
     assert crossing and not {"text", "words", "filtered", "message"} & crossing
     assert "SortMergeJoin" in joins_used
     assert sorted(map(repr, found.collect())) == sorted(map(repr, queries()[name](spark, small).collect()))
+
+
+def test_an_unknown_word_in_half_the_rows_is_dealt_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LEAST_FREQUENT", 500)
+    monkeypatch.setattr(joins, "HOT_KEYS", 50)
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "unknown").when(F.col("id") % 1000 == 1, F.lit(None)).when(
+        F.col("id") % 10 == 3, "known").otherwise(F.concat(F.lit("w"), F.col("id") % 4001)).alias("word"))
+    table = spark.createDataFrame([(f"w{k}", k, 1) for k in range(0, 4001, 2)] + [("known", -1, 1)], "word string, value int, weight int")
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = joins.lookup(rows, table, "word", False, weight="weight")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 20
+        expected = rows.join(table, "word", "left").select(found.columns)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -158,3 +158,20 @@ def test_rows_without_a_key_go_to_the_test_part(spark):
         train, test = split(df, "id")
         assert train.count() + test.count() == 30 and train.where("id IS NULL").count() == 0
         assert size is None or train.count() == size
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_exact_split_of_repeated_equal_and_missing_keys(spark, monkeypatch, few):
+    from collections import Counter
+
+    from tamis.operators import splits
+
+    monkeypatch.setattr(splits, "FEW_ROWS", few)
+    tables = [[(k % 7, k) for k in range(100)], [(None, k) for k in range(20)] + [(1, 5)] * 20, [(3, 3)] * 50, [(k, 0) for k in range(40)] + [(None, 0)] * 10, []]
+    for rows in tables:
+        df = spark.createDataFrame(rows, "id long, value long")
+        for share in (0.7, 0.3, 1.0, 0.0):
+            left, right = ([tuple(r) for r in part.collect()] for part in splits.exact_split(df, "id", share))
+            assert len(left) == int(share * sum(k is not None for k, _ in rows)) and Counter(left) + Counter(right) == Counter(rows)
+            again = [tuple(r) for r in splits.exact_split(df.repartition(3), "id", share)[0].collect()]
+            assert Counter(again) == Counter(left)
