@@ -321,5 +321,5 @@ def score_stream(spark, folder):
     # A streaming source takes a folder or a glob; this one matches exactly the table.
     source, sink = f"{folder}/documents.{{parquet}}", scratch_path(spark, "stream-answers")
     schema = table(spark, folder, "documents").schema
-    scoring.score_stream(spark, source, schema, score, sink).awaitTermination()
+    scoring.score_stream(spark, source, schema, score, sink, scratch_path(spark, "stream-checkpoint")).awaitTermination()
     return scoring.scored(spark, sink).select("doc_id", "prediction", _probability())

@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tamis.session import scratch_path
-
 
 def score_stream(spark: SparkSession, source: str, schema, score: Callable[[DataFrame], DataFrame],
-                 sink: str, checkpoint: str | None = None, files_per_batch: int = 64) -> StreamingQuery:
+                 sink: str, checkpoint: str, files_per_batch: int = 64) -> StreamingQuery:
     """Score new parquet files as they arrive and write the answers to ``sink``.
 
     Each micro-batch overwrites its own folder, so a batch repeated after a failure leaves
-    no duplicates. The run ends when all files present at its start are done.
+    no duplicates. The run ends when all files present at its start are done. ``checkpoint`` names
+    the folder that remembers which files are; a run with the same one goes on after them.
+    ``score`` is called once a micro-batch and may take another model each time, see
+    :class:`tamis.sources.models.LiveModel`.
     """
     def write_batch(batch: DataFrame, number: int) -> None:
         score(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
@@ -23,7 +24,7 @@ def score_stream(spark: SparkSession, source: str, schema, score: Callable[[Data
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         .writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
