@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tamis.functions.answers import parse_translation, request_fault
 from tamis.functions.text import MAX_REQUEST_CHARS
-from tamis.session import materialize
+from tamis.session import discard, materialize, scratch_path
 
 # Limits of the external service.
 MAX_ATTEMPTS = 3
@@ -19,14 +19,17 @@ MAX_IN_FLIGHT = 4
 PAUSE_SECONDS = 0.5
 SHOWN_BODY_CHARS = 300  # of a refused answer's body, for diagnosis only
 
+CHUNK_PIECES = 50_000  # pieces sent between two entries in the ledger
+
 # Called with the text and the attempt number (from 1); returns HTTP status and body.
 Send = Callable[[str, int], tuple[int, str]]
+LEDGER = "digest string, attempt int, translated string, error string"
 
 
-def _one_try(pieces: DataFrame, send: Send, attempt: int, in_flight: int) -> DataFrame:
-    """Sends every piece once: ``row, piece, status, body, broken``; ``broken`` names what kept an answer away."""
+def _one_try(pieces: DataFrame, send: Send, in_flight: int) -> DataFrame:
+    """Sends every piece once: ``digest, attempt, status, body, broken``; ``broken`` names what kept an answer away."""
 
-    def post(text: str) -> tuple[int | None, str, str]:
+    def post(text: str, attempt: int) -> tuple[int | None, str, str]:
         try:
             return *send(text, attempt), ""
         except Exception as problem:
@@ -34,14 +37,42 @@ def _one_try(pieces: DataFrame, send: Send, attempt: int, in_flight: int) -> Dat
             return None, str(problem), kind
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), in_flight):
-                some = batch.iloc[k:k + in_flight]
-                with ThreadPoolExecutor(in_flight) as pool:
-                    found = pd.DataFrame(list(pool.map(post, some["text"])), columns=["status", "body", "broken"], index=some.index)
-                yield pd.concat([some[["row", "piece"]], found.astype({"status": "Int32"})], axis=1)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                found = list(pool.map(post, batch["text"], batch["attempt"].tolist()))
+                answers = pd.DataFrame(found, columns=["status", "body", "broken"], index=batch.index).astype({"status": "Int32"})
+                yield pd.concat([batch[["digest", "attempt"]], answers], axis=1)
+
+    return pieces.select("digest", "attempt", "text").mapInPandas(run, "digest string, attempt int, status int, body string, broken string")
+
+
+class Ledger:
+    """What has been sent: a row for each try of a piece, by the piece's digest, in a shared folder.
+
+    Tries are added by whole written jobs, so one that fails half-way leaves no trace, and a run
+    that starts anew goes on after the last one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def tries(self) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.path)
 
-    return pieces.select("row", "piece", "text").mapInPandas(run, "row long, piece int, status int, body string, broken string")
+    def last(self) -> DataFrame:
+        """``digest, attempt, translated, error`` of each piece's last try."""
+        kept = F.struct("attempt", (F.col("error") == "").alias("ok"), "translated", "error")
+        return self.tries().groupBy("digest").agg(F.max(kept).alias("last")).select("digest", "last.attempt", "last.translated", "last.error")
+
+    def add(self, tried: DataFrame) -> tuple[int, int]:
+        """Write tries down; how many there were and how many failed, each counted once however often its task ran."""
+        seen = Observation()
+        tried.select("digest", "attempt", "translated", "error").observe(
+            seen, F.count("*").alias("sent"), F.count_if(F.col("error") != "").alias("failed")).write.mode("append").parquet(self.path)
+        return seen.get["sent"], seen.get["failed"]
 
 
 def outcome() -> tuple[Column, Column]:
@@ -56,41 +87,54 @@ def outcome() -> tuple[Column, Column]:
 
 def enrich(df: DataFrame, send: Send, doc_id: str, label: str, text: str, *, attempts: int = MAX_ATTEMPTS,
            in_flight: int = 1, pause: float = PAUSE_SECONDS, tasks: int = MAX_IN_FLIGHT,
-           piece_chars: int = MAX_REQUEST_CHARS) -> DataFrame:
+           piece_chars: int = MAX_REQUEST_CHARS, ledger: str | None = None, chunk_pieces: int = CHUNK_PIECES,
+           report: Callable[[dict], None] | None = None) -> DataFrame:
     """``(doc_id, label, translated, error, attempts)`` for every row.
 
     A text is sent whole, in consecutive pieces of at most ``piece_chars``, and its answers are joined; one
-    failed piece fails the row. ``tasks * in_flight`` bounds the requests under way in the whole job.
-    Each round is a written table: only pieces that failed are sent again, after a growing pause.
+    failed piece fails the row. Equal pieces are sent once. ``tasks * in_flight`` bounds the requests under
+    way in the whole job. Only pieces that failed are sent again, after a growing pause.
+
+    Every try is written to ``ledger``, a folder, after each chunk of pieces; a run with the same
+    folder sends only what has no answer there and has not failed ``attempts`` times. After each
+    chunk ``report`` gets ``round, chunk, chunks, sent, failed`` with the totals so far.
     """
+    spark = df.sparkSession
+    book = Ledger(spark, ledger or scratch_path(spark, "ledger"))
     rows = materialize(df.select(doc_id, label, text).withColumn("row", F.monotonically_increasing_id()), "requests")
     sendable = rows.where(request_fault(F.col(text)) == "")
     starts = F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / piece_chars).cast("int"))
     pieces = sendable.select("row", F.posexplode(F.transform(
         starts, lambda k: F.substring(F.col(text), k * piece_chars + 1, F.lit(piece_chars)))).alias("piece", "text"))
-    waiting, done = materialize(pieces.repartition(tasks), "pieces"), []
+    pieces = materialize(pieces.withColumn("digest", F.sha2("text", 256)), "pieces")
     translated, error = outcome()
-    for attempt in range(1, attempts + 1):
-        tried = _one_try(waiting.coalesce(tasks), send, attempt, in_flight).select(
-            "row", "piece", translated.alias("translated"), error.alias("error"), F.lit(attempt).alias("attempt"))
-        tried = materialize(tried, "tried")
-        done.append(tried if attempt == attempts else tried.where("error = ''"))
-        if attempt < attempts:
-            failed = tried.where("error <> ''").select("row", "piece")
-            if failed.isEmpty():
-                break
-            waiting = materialize(waiting.join(failed, ["row", "piece"]).repartition(tasks), "pieces")
-            time.sleep(pause * attempt)
-    ended = done[0]
-    for tried in done[1:]:
-        ended = ended.unionByName(tried)
+    sent = failed = turn = 0
+    while True:
+        last = book.last().select("digest", F.col("attempt").alias("tries"), F.col("error").alias("fault"))
+        open_pieces = pieces.select("digest", "text").join(last, "digest", "left").where(
+            "tries IS NULL OR (fault <> '' AND tries < " + str(attempts) + ")")
+        waiting = materialize(open_pieces.dropDuplicates(["digest"]).select(
+            "digest", "text", (F.coalesce("tries", F.lit(0)) + 1).cast("int").alias("attempt")), "waiting")
+        count = waiting.count()
+        if not count:
+            break
+        if turn:
+            time.sleep(pause * turn)
+        turn, chunks = turn + 1, -(-count // chunk_pieces)
+        for chunk in range(chunks):
+            part = waiting.where(F.pmod(F.xxhash64("digest"), F.lit(chunks)) == chunk).repartition(tasks)
+            done = book.add(_one_try(part, send, in_flight).withColumns({"translated": translated, "error": error}))
+            sent, failed = sent + done[0], failed + done[1]
+            if report:
+                report({"round": turn, "chunk": chunk + 1, "chunks": chunks, "sent": sent, "failed": failed})
+        discard(waiting)
+    ended = pieces.select("row", "piece", "digest").join(book.last(), "digest")
     whole = ended.groupBy("row").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "translated"))), lambda p: p["translated"]), "").alias("joined"),
         F.min(F.when(F.col("error") != "", F.struct("piece", "error")))["error"].alias("error"), F.max("attempt").alias("attempts"))
-    fault = F.coalesce("error", request_fault(F.col(text)))
-    return rows.join(whole, "row", "left").select(
-        doc_id, label, F.when(fault == "", F.coalesce("joined", F.lit(""))).otherwise("").alias("translated"),
-        fault.alias("error"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
+    return rows.select("row", doc_id, label, request_fault(F.col(text)).alias("__fault")).join(whole, "row", "left").select(
+        doc_id, label, F.when(F.coalesce("error", "__fault") == "", F.coalesce("joined", F.lit(""))).otherwise("").alias("translated"),
+        F.coalesce("error", "__fault").alias("error"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
 def progress(written: DataFrame) -> DataFrame:

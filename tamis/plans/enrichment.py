@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamis.operators.enrichment import enrich, error_code, split_dead_letters
+from tamis.operators.enrichment import enrich, error_code, progress, split_dead_letters
 from tamis.plans.registry import query
 from tamis.session import materialize
-from tamis.sources.tables import labelled_documents
+from tamis.sources.tables import documents, marks
 
 
 def stand_in(text: str, attempt: int) -> tuple[int, str]:
@@ -29,14 +30,17 @@ def stand_in(text: str, attempt: int) -> tuple[int, str]:
     return 200, json.dumps({"translatedText": f"ru:{text}"})
 
 
-def enriched(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich(labelled_documents(spark, folder), stand_in, "doc_id", "label", "text", pause=0.0)
+def enriched(spark: SparkSession, folder: str, report: Callable[[dict], None] | None = None) -> DataFrame:
+    """All documents through the service; labels meet the answers."""
+    texts = documents(spark, folder).select("doc_id", F.lit(None).cast("int").alias("label"), "text")
+    answered = enrich(texts, stand_in, "doc_id", "label", "text", pause=0.0, report=report).drop("label")
+    return answered.join(marks(spark, folder), "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 _ENRICHED = """
 WITH rows AS (
   SELECT d.doc_id, CASE WHEN 1 - l.quality >= 1 THEN 1 ELSE 0 END AS label, d.text
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL),
 pieces AS (
   SELECT doc_id, label, k, substr(text, k * 4999 + 1, 4999) AS payload
   FROM (SELECT *, unnest(range(0, greatest((length(text) + 4998) // 4999, 1))) AS k FROM rows)),
@@ -68,3 +72,17 @@ def enrich_retry(spark, folder):
 def enrich_dead_letter(spark, folder):
     _, dead = split_dead_letters(enriched(spark, folder))
     return dead.select("doc_id", "label", error_code().alias("error"), "attempts")
+
+
+@query("enrich_progress", f"""{_ENRICHED},
+requests AS (SELECT DISTINCT p.payload, t.attempts, t.error FROM pieces p JOIN tries t USING (doc_id, k) WHERE t.attempts > 0)
+SELECT (SELECT count(*) FROM enriched) AS processed, (SELECT count(*) FROM enriched WHERE error <> '') AS failed,
+       (SELECT CAST(sum(attempts) AS BIGINT) FROM requests) AS requests_sent,
+       (SELECT CAST(sum(CASE WHEN error = '' THEN attempts - 1 ELSE attempts END) AS BIGINT) FROM requests) AS requests_failed""")
+def enrich_progress(spark, folder):
+    """Rows of the result and requests as they were counted while the job ran."""
+    reports: list[dict] = []
+    written = materialize(enriched(spark, folder, reports.append), "answers")
+    total = reports[-1] if reports else {"sent": 0, "failed": 0}
+    return progress(written).select("processed", "failed", F.lit(total["sent"]).cast("long").alias("requests_sent"),
+                                    F.lit(total["failed"]).cast("long").alias("requests_failed"))

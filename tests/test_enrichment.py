@@ -1,4 +1,5 @@
 import json
+import uuid
 from types import SimpleNamespace
 
 from tamis.operators.enrichment import enrich, error_code, progress, split_dead_letters
@@ -50,3 +51,33 @@ def test_pauses_grow_and_bodies_are_shortened(spark, monkeypatch):
     assert found[1].error == "client_error: gone" and slept == [0.5, 1.0]
     assert len(found[2].error) == len("http_503: ") + 300
     assert found[3].translated == f"<{'good' * 1000}>" * 3
+
+
+def test_a_second_run_sends_only_what_has_no_answer(spark, tmp_path):
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+    plain = make_send()
+
+    def send(text, attempt):
+        (calls / f"{uuid.uuid4().hex}").write_text(f"{attempt} {text[:10]}")
+        return plain(text, attempt)
+
+    def sent():
+        found = sorted(p.read_text() for p in calls.iterdir())
+        for p in calls.iterdir():
+            p.unlink()
+        return found
+
+    df = spark.createDataFrame([*ROWS, (11, 0, "good")], "id long, label int, text string")
+    first = enrich(df, send, "id", "label", "text", pause=0.0, tasks=2, attempts=1, ledger=ledger)  # ended after one round
+    want = len([r for r in ROWS if r[2]]) + 1  # the long text is two pieces, equal texts are sent once
+    assert len(sent()) == want and {r.attempts for r in first.collect()} == {0, 1}
+    reports = []
+    options = {"pause": 0.0, "tasks": 2, "ledger": ledger, "chunk_pieces": 3, "report": reports.append}
+    found = {r.id: r for r in enrich(df, send, "id", "label", "text", **options).collect()}
+    again = sent()
+    assert again and {a[0] for a in again} == {"2", "3"} and not [a for a in again if "good" in a]
+    assert found[2].translated == "<third>" and found[11].translated == "<good>" and found[3].attempts == 3
+    assert reports[-1]["sent"] == len(again) and reports[-1]["round"] == 2 and reports[0]["chunks"] > 1
+    assert [r["sent"] for r in reports] == sorted(r["sent"] for r in reports)
+    assert {r.id: r for r in enrich(df, send, "id", "label", "text", **options).collect()} == found and sent() == []
