@@ -27,19 +27,6 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def bitmap(cells: DataFrame, cell: str) -> DataFrame:
-    """``block, bits``: the numbers in a column, from 0 on, as bitmaps of 32 768 bits; a number may come often."""
-    place = F.col(cell) + 1  # the functions count from 1
-    return cells.groupBy((F.bitmap_bucket_number(place) - 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-
-
-def bit_set(bits: Column, cell: Column) -> Column:
-    """Whether a number's bit is set in the bitmap of its block; false where there is none."""
-    place = F.pmod(cell, F.lit(32_768))
-    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-
-
 def utf8(name: str) -> Column:
     """A text column as bytes; NULL stays NULL."""
     return F.col(name).cast("string").cast("binary")

@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bitmap, own_name, utf8
+from tamis.llm.common import own_name, utf8
+from tamis.operators.bitmaps import bitmap
 from tamis.session import discard, materialize
 
 SPACES = b" \t\n\x0b\x0c\r"

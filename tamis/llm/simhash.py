@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.common import bit_set, bitmap, own_name, utf8
+from tamis.llm.common import own_name, utf8
 from tamis.llm.components import connected_components
+from tamis.operators.bitmaps import BLOCK_BITS, bit_set, bitmap
 from tamis.session import materialize
 
 BITS = 64
@@ -265,7 +266,7 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     marked = ids.where("n > 1 OR NOT leads OR doc_id IS NULL").select(cell(F.col("doc_id")).alias("cell"))
     marks = materialize(bitmap(marked, "cell"), "marks")  # 2^MARK_BITS bits at most
     marks = marks.select(F.col("block").alias(block), F.col("bits").alias(mark))
-    flagged = docs.join(F.broadcast(marks), F.floor(cell(docs["doc_id"]) / 32_768) == marks[block], "left").withColumn(
+    flagged = docs.join(F.broadcast(marks), F.floor(cell(docs["doc_id"]) / BLOCK_BITS) == marks[block], "left").withColumn(
         mark, bit_set(F.col(mark), cell(docs["doc_id"]))).drop(block)
     columns = [f"`{c}`" for c in docs.columns]
     again = with_fingerprint(flagged.where(F.col(mark)).select(*columns), name=mark)

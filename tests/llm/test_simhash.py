@@ -6,7 +6,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tamis.llm import simhash
-from tamis.llm.common import bit_set, bitmap
 from tamis.llm.components import connected_components
 from tests.llm import edge
 
@@ -92,14 +91,6 @@ def test_edge_rows(spark):
     assert simhash.near_duplicates(edge.empty(spark)).count() == 0 == simhash.without_near_duplicates(edge.empty(spark)).count()
 
 
-def test_bits_of_a_bitmap(spark):
-    held = [0, 1, 7, 8, 32_767, 32_768, 100_000, 100_000]
-    blocks = bitmap(spark.createDataFrame([(c,) for c in held], "cell long"), "cell")
-    asked = spark.createDataFrame([(c,) for c in [*held, 2, 9, 32_769, 99_999, 500_000]], "asked long")
-    marked = asked.join(blocks, F.floor(F.col("asked") / 32_768) == F.col("block"), "left").select("asked", bit_set(F.col("bits"), F.col("asked")).alias("set"))
-    assert {r.asked: r.set for r in marked.collect()} == {c: c in held for c in [*held, 2, 9, 32_769, 99_999, 500_000]}
-
-
 def test_rows_that_stay_are_those_of_the_report(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     twice = docs.unionByName(docs.where("doc_id % 9 = 0")).unionByName(docs.where("doc_id % 10 = 0").withColumn("text", F.lit("another text of the same id")))
