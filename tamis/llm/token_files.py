@@ -14,6 +14,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ MAGIC = 0x5452414E4B303176
 SHARD_IDS = 1_000_000  # a shard is closed when it has so many ids
 END_ID = 1
 CACHED_WORDS = 600_000
+WAITING_WORDS = 100_000  # of them that a worker keeps from task to task
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())  # ASCII punctuation
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]+")
@@ -97,6 +99,12 @@ class Encoder:
             found = self.runs[run] = array(self.kind, self._quick(run.decode())).tobytes()
         return found
 
+    def trim(self) -> None:
+        """Keep the words met first, which are the frequent ones: a worker that waits for other work holds little memory."""
+        if len(self.cache) > WAITING_WORDS:
+            self.cache = dict(islice(self.cache.items(), WAITING_WORDS))
+        self.letters, self.runs = {}, {}
+
     def encode(self, text: bytes | None) -> bytes:
         """The ids of a text; only texts with a special token's brackets keep their capitals until they are cut into words."""
         raw = text or b""
@@ -213,6 +221,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             total += np.bincount(np.frombuffer(b"".join(ids), code.dtype), minlength=size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t or b"") for t in texts], pa.int64()), pa.array(ids, pa.binary()),
                                               pa.nulls(len(ids), pa.binary())], names)
+        code.trim()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                                           pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
