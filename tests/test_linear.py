@@ -34,7 +34,7 @@ def test_loss_is_that_of_the_vector_model(spark, small, block_documents):
     ours = hinge(fitted.train, np.array([own.get(t, 0.0) for t in terms]), model.intercept, 0.1)
     assert ours <= 1.01 * theirs
     assert ours + 0.1 / 2 * (model.intercept / linear.BIAS) ** 2 <= model.loss + 1e-6  # that of the last round but one
-    assert model.gap <= (0.005 if block_documents == 10_000 else 0.9)
+    assert model.gap <= 0.005 if block_documents == 10_000 else 0 <= model.gap < 1  # few rounds of two blocks
     scored = linear.score_svm(model, words, "words", ["doc_id", "label"])
     assert scored.count() == words.count()
     assert scored.where(F.col("prediction") == F.col("label")).count() >= 0.95 * words.count()
