@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamis.functions.answers import parse_translation, request_fault
 from tamis.functions.text import MAX_REQUEST_CHARS
@@ -60,7 +61,7 @@ class Ledger:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
             return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(self.path)
+        return self.spark.read.schema(LEDGER).parquet(self.path).select("digest", "attempt", "translated", "error")
 
     def last(self) -> DataFrame:
         """``digest, attempt, translated, error`` of each piece's last try."""
@@ -68,11 +69,16 @@ class Ledger:
         return self.tries().groupBy("digest").agg(F.max(kept).alias("last")).select("digest", "last.attempt", "last.translated", "last.error")
 
     def add(self, tried: DataFrame) -> tuple[int, int]:
-        """Write tries down; how many there were and how many failed, each counted once however often its task ran."""
-        seen = Observation()
-        tried.select("digest", "attempt", "translated", "error").observe(
-            seen, F.count("*").alias("sent"), F.count_if(F.col("error") != "").alias("failed")).write.mode("append").parquet(self.path)
-        return seen.get["sent"], seen.get["failed"]
+        """Write tries down; how many there were and how many failed.
+
+        They are counted in what has been written, so a task that ran twice counts once. (An
+        observation of the write would count them too, but a session that has had one can no
+        longer train forests: their tasks take the session along, which then does not serialize.)
+        """
+        part = f"{self.path}/part={uuid.uuid4().hex}"
+        tried.select("digest", "attempt", "translated", "error").write.parquet(part)
+        row = self.spark.read.schema(LEDGER).parquet(part).agg(F.count("*").alias("sent"), F.count_if(F.col("error") != "").alias("failed")).first()
+        return row["sent"], row["failed"]
 
 
 def outcome() -> tuple[Column, Column]:
