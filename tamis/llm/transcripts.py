@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamis.operators.ranking import global_rank
 from tamis.session import materialize
 
 ROLES = ["system", "user", "assistant"]
@@ -23,7 +24,6 @@ STATES = 2 * len(ROLES)  # first lines, then further lines
 MARKER = "^[ \\t]*[\\[<#*(]*[ \\t]*([A-Za-z]{1,20})[ \\t]*[\\]>*)]*[ \\t]*(:|\\]|>|\\)|$)[ \\t\\]>*]*"
 MAX_MARKERS = 500
 BLOCK_LINES = 4096
-SUB_LINES = 1 << 20
 
 
 def marker_word(text: Column) -> Column:
@@ -31,17 +31,22 @@ def marker_word(text: Column) -> Column:
 
 
 def observed(lines: DataFrame) -> DataFrame:
-    """``key, line_no, text`` with the features of each line; rows of one place become one line of their different texts."""
-    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit(""))
-    rows = lines.select(key.alias("key"), "conv_id", F.coalesce("line_no", F.lit(0)).cast("long").alias("line_no"),
-                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce("blank_before", F.lit(False)).alias("blank_before"),
-                        *([F.col("state")] if "state" in lines.columns else []))
-    rows = rows.groupBy("key", "line_no").agg(
-        F.first("conv_id").alias("conv_id"), F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"), F.max("blank_before").alias("blank_before"),
-        *([F.min("state").alias("state")] if "state" in lines.columns else []))
-    return rows.withColumns({
+    """All lines, written and numbered in order by ``line_no``, with a ``key`` for each conversation and the features of each line.
+
+    ``line_no`` of the input is any value with an order; lines of one place are ordered by text and
+    all stay. Numbers run on through all conversations, so any block of them has a bounded size,
+    whatever the length of a conversation. Lines without a conv_id belong together only if they
+    share a ``talk``, a column that may name the conversation of such lines.
+    """
+    rows = lines.withColumn("talk", F.monotonically_increasing_id()) if "talk" not in lines.columns else lines
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("t"), F.col("talk").cast("string")))
+    rows = rows.select(key.alias("key"), "conv_id", F.col("line_no").alias("place"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce("blank_before", F.lit(False)).alias("blank_before"),
+                       *([F.col("state")] if "state" in lines.columns else []))
+    rows = rows.withColumns({
         "marker": marker_word(F.col("text")), "blank": F.col("blank_before").cast("int"),
         "length": sum((F.char_length("text") >= n).cast("int") for n in (1, 40, 400))})
+    return global_rank(rows, [F.col("key"), F.col("place"), F.col("text"), F.col("blank_before")], "line_no").drop("place", "blank_before")
 
 
 @dataclass
@@ -64,8 +69,9 @@ def fit(lines: DataFrame) -> Hmm:
 
     Markers beyond the MAX_MARKERS most frequent ones, and markers never seen, share a class.
     Without labelled lines all chances are even and the first marker words decide nothing.
+    A line behind one without a state is neither a start nor a step.
     """
-    lines = lines.where(F.col("state").isNotNull())
+    numbered, lines = lines, lines.where(F.col("state").isNotNull())
     words = [r["marker"] for r in lines.where("marker <> ''").groupBy("marker").count().where("count >= 5").orderBy(F.desc("count"), "marker").limit(MAX_MARKERS).collect()]
     markers = {w: i + 2 for i, w in enumerate(words)}
     tables = [np.full((STATES, n), 0.5) for n in (len(markers) + 2, 2, 4)]
@@ -73,12 +79,13 @@ def fit(lines: DataFrame) -> Hmm:
     for r in lines.groupBy("state", class_of.alias("m"), "blank", "length").count().collect():  # 6 x 502 x 2 x 4 rows at most
         for table, at in zip(tables, (markers.get(r["m"], 1 if r["m"] else 0), r["blank"], r["length"]), strict=True):
             table[r["state"], at] += r["count"]
-    before = F.lag("state").over(Window.partitionBy("key", F.floor(F.col("line_no") / BLOCK_LINES / SUB_LINES)).orderBy("line_no"))
     start, step = np.full(STATES, 0.5), np.full((STATES, STATES), 0.5)
-    for r in lines.select("state", before.alias("before")).groupBy("state", "before").count().collect():  # 42 rows at most
-        if r["before"] is None:
+    earlier = numbered.select("key", (F.col("line_no") + 1).alias("line_no"), F.col("state").alias("before"), F.lit(True).alias("goes_on"))
+    pairs = lines.select("key", "line_no", "state").join(earlier, ["key", "line_no"], "left")  # even, however long a conversation is
+    for r in pairs.groupBy("state", "before", "goes_on").count().collect():  # 48 rows at most
+        if r["goes_on"] is None:
             start[r["state"]] += r["count"]
-        else:
+        elif r["before"] is not None:
             step[r["before"], r["state"]] += r["count"]
     start[len(ROLES):] = 1e-3
     log = lambda t: np.log(t / t.sum(-1, keepdims=True))
@@ -122,12 +129,13 @@ def viterbi(entry: np.ndarray, step: np.ndarray, lines: np.ndarray, end: int | N
 
 
 def decoded(lines: DataFrame, model: Hmm, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """``key, line_no, role, turn`` of every ``observed`` line."""
+    """``key, line_no, role, turn`` of every ``observed`` line; no block has more than ``block_lines`` of them."""
     shared = lines.sparkSession.sparkContext.broadcast(model)
     blocks = lines.groupBy("key", F.floor(F.col("line_no") / block_lines).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("line_no", "marker", "blank", "length"))).alias("o"))
-    blocks = materialize(blocks.select("key", "block", *[F.col(f"o.{c}").alias(c) for c in ("line_no", "marker", "blank", "length")],
-                                       (F.col("block") == F.min("block").over(Window.partitionBy("key"))).alias("opens")), "blocks")
+    opening = lines.groupBy("key").agg(F.floor(F.min("line_no") / block_lines).alias("block")).withColumn("first", F.lit(True))
+    blocks = materialize(blocks.join(opening, ["key", "block"], "left").select(
+        "key", "block", *[F.col(f"o.{c}").alias(c) for c in ("line_no", "marker", "blank", "length")], F.col("first").isNotNull().alias("opens")), "blocks")
 
     def sum_up(batches):
         for batch in batches:
@@ -169,10 +177,11 @@ def decoded(lines: DataFrame, model: Hmm, block_lines: int = BLOCK_LINES) -> Dat
 
     paths = materialize(blocks.join(ends, ["key", "block"]).select("key", "block", "line_no", "marker", "blank", "length", "entry", "exit").mapInArrow(
         decode, "key string, block long, line_no array<long>, states array<int>"), "paths")
-    starts = F.size(F.filter("states", lambda s: s < len(ROLES)))
-    before = F.coalesce(F.sum(starts).over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = paths.select("key", "block", F.size(F.filter("states", lambda s: s < len(ROLES))).alias("n"))  # two numbers a block
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.sum((F.col("x.states") < len(ROLES)).cast("int")).over(Window.partitionBy("key", "block").orderBy("place"))
-    flat = paths.withColumn("before", before).select("key", "block", "before", F.posexplode(F.arrays_zip("line_no", "states")).alias("place", "x"))
+    flat = paths.join(starts.select("key", "block", before.alias("before")), ["key", "block"]).select(
+        "key", "block", "before", F.posexplode(F.arrays_zip("line_no", "states")).alias("place", "x"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("x.states") % len(ROLES) + 1)
     return flat.select("key", F.col("x.line_no").alias("line_no"), role.alias("role"), F.greatest(F.col("before") + inside - 1, F.lit(0)).alias("turn"))
 
@@ -181,10 +190,14 @@ def rendered(lines: DataFrame, model: Hmm, block_lines: int = BLOCK_LINES) -> Da
     """``conv_id, turn, role, n_lines, text, rendered`` for every turn of ``lines(conv_id, line_no, text, blank_before)``.
 
     ``text`` is the turn without its marker, ``rendered`` the same between a role tag and an end tag.
-    A NULL text is an empty line, a NULL conv_id a conversation of its own, a NULL line number is 0;
-    rows given twice are one line. Other columns are not read.
+    A NULL text is an empty line and a NULL line number comes first; lines of one place follow each
+    other, ordered by text, and rows given twice are two lines. Each line without a conv_id is a conversation of
+    its own, unless a column ``talk`` names the conversation of such lines. Tables without rows give none, other columns are not read.
     """
-    rows = materialize(observed(lines), "lines")
+    return _rendered(observed(lines), model, block_lines)
+
+
+def _rendered(rows: DataFrame, model: Hmm, block_lines: int) -> DataFrame:
     known = F.col("marker").isin(list(model.markers))
     first = F.row_number().over(Window.partitionBy("key", "turn").orderBy("line_no")) == 1
     both = rows.join(decoded(rows, model, block_lines), ["key", "line_no"]).withColumn("first", first)
@@ -201,7 +214,10 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
     """The lines of transcripts as people write them down, from a table of turns, with the true states.
 
     Each conversation has one way to mark speakers; one turn in twenty has no marker, and a
-    blank line stands before most turns. The place of a line is its turn and its number in it.
+    blank line stands before most turns. The place of a line is its turn, the turn's hash, its row
+    and its number in the row: rows of one conversation and turn, equal ones as well, stay apart as turns of
+    their own. A row without conv_id is a conversation (``talk``), a NULL turn comes first, a NULL text is an empty one,
+    a NULL role a user's; lines of roles other than ROLES have no true state. Tables without rows give none.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(20)) == 0
@@ -213,11 +229,11 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
     mark = F.when(bare, "").when(style == 1, F.concat(F.lit("["), name, F.lit("] "))).otherwise(F.concat(name, F.lit(": ")))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     at = F.array_position(F.array(*map(F.lit, ROLES)), role).cast("int") - 1
-    flat = conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), mark.alias("mark"), at.alias("at"), bare.alias("bare"),
-                                F.posexplode(lines).alias("sub", "line"))
+    flat = conversations.select("conv_id", "turn", F.monotonically_increasing_id().alias("talk"), F.xxhash64("role", "text").alias("hash"),
+                                mark.alias("mark"), at.alias("at"), bare.alias("bare"), F.posexplode(lines).alias("sub", "line"))
     opens = F.col("sub") == 0
     return flat.select(
-        "conv_id", (F.col("turn") * SUB_LINES + F.col("sub")).alias("line_no"), F.when(opens, F.concat("mark", "line")).otherwise(F.col("line")).alias("text"),
+        "conv_id", "talk", F.struct("turn", "hash", "talk", "sub").alias("line_no"), F.when(opens, F.concat("mark", "line")).otherwise(F.col("line")).alias("text"),
         (opens & (F.pmod(F.xxhash64("conv_id", "turn", F.lit(1)), F.lit(10)) != 0)).alias("blank_before"),
         F.when(F.col("at") >= 0, F.col("at") + F.when(opens, 0).otherwise(len(ROLES))).alias("state"))
 
@@ -227,8 +243,12 @@ def in_training(conv_id: Column) -> Column:
 
 
 def recovered(conversations: DataFrame) -> DataFrame:
-    """Turns recovered from the transcripts of ``conversations``, with a model of the training ones."""
-    lines = as_transcripts(conversations)
-    model = fit(observed(lines.where(in_training(F.col("conv_id")))))
-    turns = rendered(lines.drop("state"), model, BLOCK_LINES * SUB_LINES // 64)
+    """Turns recovered from the transcripts of ``conversations``, with a model of the training ones.
+
+    Rows are taken as ``as_transcripts`` says, so no turn is joined with another by its place
+    alone; without training rows the roles are guesses, and all lines come back all the same.
+    """
+    rows = observed(as_transcripts(conversations))
+    model = fit(rows.where(in_training(F.col("conv_id"))))
+    turns = _rendered(rows.drop("state"), model, BLOCK_LINES)
     return turns.withColumn("held_out", ~in_training(F.col("conv_id")))

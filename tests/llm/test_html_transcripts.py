@@ -1,4 +1,5 @@
 import html as markup
+import itertools
 import random
 import re
 import time
@@ -125,6 +126,38 @@ def test_blocks_decode_as_one_piece(spark):
     assert edge.rows(transcripts.decoded(df, model, 7).select("line_no", "role", "turn")) == whole
 
 
+def test_the_best_way_of_all_ways(spark):
+    draw = np.random.default_rng(5)
+    log = lambda t: np.log(t / t.sum(-1, keepdims=True))
+    model = transcripts.Hmm(log(draw.random(6)), log(draw.random((6, 6))), {"user": 2, "ai": 3}, *(log(draw.random((6, n))) for n in (4, 2, 4)))
+    rows = [(conv, i, str(draw.choice(["User: a", "AI: b", "and so on", "Hm: " + "x" * 50, ""])), bool(i % 3)) for conv in range(3) for i in range(6)]
+    seen = transcripts.observed(spark.createDataFrame(rows, "conv_id long, line_no long, text string, blank_before boolean"))
+    got = {r.line_no: (r.role, r.turn) for r in transcripts.decoded(seen, model, 4).collect()}
+    talks = {}
+    for r in sorted(seen.collect(), key=lambda r: r.line_no):
+        talks.setdefault(r.key, []).append(r)
+    for lines in talks.values():
+        scores = model.emissions([r.marker for r in lines], [r.blank for r in lines], [r.length for r in lines])
+        ways = ((model.start[w[0]] + scores[0, w[0]] + sum(model.step[a, b] + scores[k + 1, b] for k, (a, b) in enumerate(itertools.pairwise(w))), w)
+                for w in itertools.product(range(6), repeat=len(lines)))
+        way, turn = max(ways)[1], 0
+        for k, (r, state) in enumerate(zip(lines, way, strict=True)):
+            turn += k > 0 and (state < 3) and any(x < 3 for x in way[:k])
+            assert got[r.line_no] == (transcripts.ROLES[state % 3], turn)
+
+
+def test_no_turn_melts_into_another(spark):
+    train = [(i, t, ["user", "assistant"][t % 2], f"words of turn {t} in {i}\nwith a second line") for i in range(60) for t in range(4)]
+    probe = [(None, 0, "user", "first lost talk"), (None, 0, "user", "second lost talk"), (900, 0, "user", "one place"), (900, 0, "assistant", "the same place\nwith two lines"),
+             (901, 0, "user", "given twice"), (901, 0, "user", "given twice"), (902, 0, "user", "\n".join(f"line {k}" for k in range(9000)))]
+    talks = spark.createDataFrame(train + probe, "conv_id long, turn long, role string, text string")
+    got = [(r.conv_id, r.text) for r in transcripts.recovered(talks).collect() if r.conv_id is None or r.conv_id >= 900]
+    assert sorted(t for c, t in got if c is None) == ["first lost talk", "second lost talk"]
+    assert sorted(t for c, t in got if c == 900) == ["one place", "the same place\nwith two lines"]
+    assert [t for c, t in got if c == 901] == ["given twice"] * 2
+    assert [t for c, t in got if c == 902] == [probe[-1][3]]
+
+
 def test_transcript_edge_rows(spark):
     shape = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", "Hi\nthere"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, None, "lost"), (2, 0, "robot", ""), (2, 1, "user", "x " * 50_000)]
