@@ -1,16 +1,18 @@
 """A toxicity classifier with counterfactual regularisation.
 
-Logistic regression over words and word beginnings that tell the labels apart. For every
-labelled text with an identity term, a copy with that term swapped for another of its group joins the
-training, and any difference between the two scores is penalised, so that naming a group
-does not raise the score.
+Logistic regression over words and word beginnings that tell the labels apart. Labelled
+sentences with an identity term are paired with a copy in which another term of its group
+stands instead; a documented share of the sentences without one is paired by mentioning a term of a
+group, as a mention must not matter either. Any difference between the two scores of a pair is penalised.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +26,14 @@ from tamis.session import materialize
 MAX_TRAINING_ROWS = 40_000  # bound of the labelled sample
 MAX_FEATURES = 4000
 LEAST_DOCUMENTS = 5
-LEAST_Z = 5.0
+LEAST_Z = 3.0
 PREFIXES = (4, 5, 6)
-PENALTY = 5.0  # weight of the squared score difference of swapped pairs
+MAX_PAIRS = 40_000  # bound of the sentence pairs; which ones stay is decided by a hash
+MENTION_SHARE = 0.05  # of the sentences without a term, paired by mentioning one
+PENALTY = 5.0  # weight of the squared score difference of a pair
 RIDGE = 1e-5
-STEPS = 500
+MAX_STEPS = 1000
+SLOPE = 1e-6  # the fit ends when no part of the gradient is larger
 FOLDS = 5
 
 # Words for groups of people; those of one line replace each other.
@@ -40,6 +45,7 @@ IDENTITY_GROUPS = [
 ]
 _GROUP = {term: group.split() for group in IDENTITY_GROUPS for term in group.split()}
 _WORD = re.compile(r"[^\W_]+")
+_STOP = re.compile(r"[.!?]+\s+|\n+")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -55,7 +61,7 @@ def features_of(words: set[str]) -> set[str]:
 
 
 def swapped(words: set[str]) -> list[set[str]]:
-    """One variant for each identity term of a text, with the next term of its group instead."""
+    """One variant for each identity term of a sentence, with the next term of its group instead."""
     out = []
     for term in sorted(words & _GROUP.keys()):
         group = _GROUP[term]
@@ -63,16 +69,34 @@ def swapped(words: set[str]) -> list[set[str]]:
     return out
 
 
-def signature(text: str | None) -> int:
-    """Least hash of the three-word runs: near copies mostly share it."""
-    words = (text or "").lower().split()
-    return min((zlib.crc32(" ".join(words[i:i + 3]).encode()) for i in range(max(len(words) - 2, 1))), default=0)
+def sentences_of(text: str | None) -> list[str]:
+    return [s for s in _STOP.split(text or "") if _WORD.search(s)]
+
+
+def pairs_of(text: str | None) -> Iterator[tuple[int, set[str], set[str]]]:
+    """``(order, words, other words)`` of the pairs of a text's sentences; ``order`` is a hash that decides which pairs stay.
+
+    Sentences with identity terms come first. Of the others the hash takes MENTION_SHARE, and
+    pairs the sentence with a mention of a term, and that mention with one of the group's next term.
+    """
+    for sentence in sentences_of(text):
+        words, draw = words_of(sentence), zlib.crc32(sentence.lower().encode())
+        if words & _GROUP.keys():
+            for other in swapped(words):
+                yield draw, words, other
+        elif draw % 10_000 < MENTION_SHARE * 10_000:
+            group = IDENTITY_GROUPS[draw // 10_000 % len(IDENTITY_GROUPS)].split()
+            k = draw // 1_000_000 % len(group)
+            one, two = words | {group[k]}, words | {group[(k + 1) % len(group)]}
+            yield draw + (1 << 32), words, one
+            yield draw + (1 << 32), one, two
 
 
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
+    n_pairs: int = 0  # sentence pairs the fit has seen
 
     def score(self, text: str | None) -> float:
         get, words = self.weights.get, words_of(text)
@@ -87,27 +111,19 @@ def in_training(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``toxic, text`` of at most MAX_TRAINING_ROWS labelled training rows, near copies once."""
+    """``toxic, text`` of at most MAX_TRAINING_ROWS labelled ids; copies count as often as they are labelled."""
     known = labels.where(F.col("toxic").isNotNull() & in_training(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS)
     known = F.broadcast(materialize(known, "labelled"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
-
-    def sign(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(t) for t in batch.column(1).to_pylist()], pa.int64())],
-                                             names=["doc_id", "sign"])
-
-    once = rows.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sign long")
-    once = materialize(once.groupBy("sign").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "once")
-    return materialize(rows.join(F.broadcast(once), "doc_id").select("toxic", "text"), "training")
+    return materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("toxic", "text"), "training")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled training rows; without any, or with one class only, it knows the class rate alone.
 
-    The sample has at most MAX_TRAINING_ROWS rows, the model MAX_FEATURES weights, so what
-    reaches the driver (feature numbers of the sample) is bounded whatever the input.
+    The sample has at most MAX_TRAINING_ROWS ids and MAX_PAIRS pairs, the model MAX_FEATURES weights and
+    the identity terms, so what reaches the driver (feature numbers of the sample) is bounded.
+    An id that ``labels`` names twice is toxic if one of them says so, an id that ``docs`` holds twice counts twice.
     """
     rows = _sample(docs, labels)
     sizes = dict(rows.groupBy("toxic").count().collect())
@@ -138,53 +154,100 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen += sorted(_GROUP.keys() - set(chosen))
     number = {f: i for i, f in enumerate(chosen)}
 
+    def ids(words):
+        return np.array(sorted(number[f] for f in features_of(words) if f in number), np.int32).tobytes()
+
     def encode(batches):
-        def ids(words):
-            return np.array(sorted(number[f] for f in features_of(words) if f in number), np.int32).tobytes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids(words_of(t)) for t in batch.column(1).to_pylist()], pa.binary())],
+                                             names=["toxic", "ids"])
 
+    def pair(batches):
         for batch in batches:
             out = [[], [], []]
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                for column, x in zip(out, (toxic, ids(words), [ids(v) for v in swapped(words)]), strict=True):
+            for order, one, two in (x for t in batch.column(0).to_pylist() for x in pairs_of(t)):
+                for column, x in zip(out, (order, ids(one), ids(two)), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.binary()))],
-                                             names=["toxic", "ids", "variants"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["order", "one", "two"])
+
+    sample = rows.mapInArrow(encode, "toxic int, ids binary").collect()
+    pairs = rows.select("text").mapInArrow(pair, "order long, one binary, two binary").orderBy("order", "one", "two").limit(MAX_PAIRS).collect()
+    numbers = lambda x: np.frombuffer(x, np.int32)
+    weights, bias = train([numbers(r["ids"]) for r in sample], np.array([r["toxic"] for r in sample], np.float64),
+                          [(numbers(r["one"]), numbers(r["two"])) for r in pairs], len(chosen))
+    return Model({f: float(w) for f, w in zip(chosen, weights, strict=True) if w}, bias, len(pairs))
+
 
-    sample = rows.mapInArrow(encode, "toxic int, ids binary, variants array<binary>").collect()  # MAX_TRAINING_ROWS at most
-    weights, bias = train([np.frombuffer(r["ids"], np.int32) for r in sample], np.array([r["toxic"] for r in sample], np.float64),
-                          [(i, np.frombuffer(v, np.int32)) for i, r in enumerate(sample) for v in r["variants"]], len(chosen))
-    return Model({f: float(w) for f, w in zip(chosen, weights, strict=True) if w}, bias)
+class _Rows:
+    """Rows of feature numbers, packed."""
 
+    def __init__(self, rows: list[np.ndarray], size: int):
+        self.n, self.size = len(rows), size
+        self.owner = np.repeat(np.arange(self.n), [len(x) for x in rows])
+        self.column = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
 
-def train(rows: list[np.ndarray], labels: np.ndarray, variants: list[tuple[int, np.ndarray]], size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the log loss, a ridge and the penalty on score changes of swapped rows."""
-    def packed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        return owner, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.bincount(self.owner, x[self.column], self.n) + x[-1], -500, 500)))
 
-    owner, column = packed(rows)
-    v_owner, v_column = packed([v for _, v in variants])
-    origin = np.array([i for i, _ in variants], np.int64)
-    x, m, s = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    def back(self, slope: np.ndarray) -> np.ndarray:
+        grad = np.bincount(self.column, slope[self.owner], self.size + 1)
+        grad[-1] = slope.sum()
+        return grad
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, float]:
+    """Weights and bias with the least sum of mean log loss, ridge and PENALTY times the mean squared score change of pairs.
+
+    Quasi-Newton steps (L-BFGS) until no slope is above SLOPE; a warning tells if MAX_STEPS did not do.
+    """
+    data, ones, twos = _Rows(rows, size), _Rows([a for a, _ in pairs], size), _Rows([b for _, b in pairs], size)
+
+    def cost(x: np.ndarray) -> tuple[float, np.ndarray]:
+        p, ridge = data.scores(x), x.copy()
+        ridge[-1] = 0
+        loss = -np.mean(np.log(np.where(labels > 0, p, 1 - p) + 1e-300)) + RIDGE * ridge @ ridge
+        grad = data.back((p - labels) / data.n) + 2 * RIDGE * ridge
+        if pairs:
+            one, two = ones.scores(x), twos.scores(x)
+            slope = 2 * PENALTY * (one - two) / len(pairs)
+            loss += PENALTY * np.mean((one - two) ** 2)
+            grad += ones.back(slope * one * (1 - one)) - twos.back(slope * two * (1 - two))
+        return loss, grad
+
+    x = np.zeros(size + 1)
     x[-1] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
-    n = len(labels)
-    for step in range(1, STEPS + 1):
-        margin = np.bincount(owner, x[column], n) + x[-1]
-        p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-        slope = (p - labels) / n
-        extra = np.zeros(len(variants))
-        if variants:
-            q = 1 / (1 + np.exp(-np.clip(np.bincount(v_owner, x[v_column], len(variants)) + x[-1], -500, 500)))
-            gap = 2 * PENALTY * (p[origin] - q) / len(variants)
-            np.add.at(slope, origin, gap * p[origin] * (1 - p[origin]))
-            extra = -gap * q * (1 - q)
-        grad = np.bincount(column, slope[owner], size + 1) + 2 * RIDGE * x
-        if variants:
-            grad += np.bincount(v_column, extra[v_owner], size + 1)
-        grad[-1] = slope.sum() + extra.sum()
-        m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
-        x -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
+    loss, grad = cost(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(MAX_STEPS):
+        if np.abs(grad).max() <= SLOPE:
+            break
+        way, used = grad.copy(), []
+        for s, y in reversed(moves):
+            used.append(s @ way / (s @ y))
+            way -= used[-1] * y
+        if moves:
+            s, y = moves[-1]
+            way *= s @ y / (y @ y)
+        for (s, y), a in zip(moves, reversed(used), strict=True):
+            way += (a - y @ way / (s @ y)) * s
+        length = 1.0
+        while length > 1e-12:
+            at = x - length * way
+            new, slope = cost(at)
+            if new <= loss - 1e-4 * length * (grad @ way):
+                break
+            length /= 2
+        else:
+            if not moves:
+                break
+            moves = []  # the curvature no longer fits: steepest descent next
+            continue
+        s, y = at - x, slope - grad
+        if s @ y > 1e-12 * (y @ y):
+            moves = [*moves[-9:], (s, y)]
+        x, loss, grad = at, new, slope
+    if np.abs(grad).max() > SLOPE:
+        warnings.warn(f"toxicity fit ended with a slope of {np.abs(grad).max():.1e}, above {SLOPE:.0e}", stacklevel=2)
     return x[:-1], float(x[-1])
 
 

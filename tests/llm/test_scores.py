@@ -15,15 +15,15 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     got = toxicity.scored(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.95
-    assert got[got.toxic == 1].predicted.mean() > 0.75 and got[got.toxic == 0].predicted.mean() < 0.05
+    assert got[got.toxic == 1].predicted.mean() > 0.85 and got[got.toxic == 0].predicted.mean() < 0.05
 
 
 def test_swapped_identities_lose_their_weight():
     # feature 0: an identity term that the toxic rows mention more often; 1: its swap; 2: a toxic word
     rows = [np.array([0, 2])] * 30 + [np.array([0])] * 10 + [np.array([1])] * 40 + [np.array([], int)] * 40
     labels = np.array([1.0] * 30 + [0.0] * 90)
-    swaps = [(i, np.array([1, 2]) if i < 30 else np.array([1]) if i < 40 else np.array([0])) for i in range(80)]
-    with_pairs, bias = toxicity.train(rows, labels, swaps, 3)
+    pairs = [(np.array([0, 2]), np.array([1, 2]))] * 30 + [(np.array([0]), np.array([1]))] * 50
+    with_pairs, bias = toxicity.train(rows, labels, pairs, 3)
     alone, bias2 = toxicity.train(rows, labels, [], 3)
     rate = lambda w, b: 1 / (1 + math.exp(-(w[0] + b)))
     assert rate(with_pairs, bias) < rate(alone, bias2)
@@ -32,6 +32,53 @@ def test_swapped_identities_lose_their_weight():
     assert toxicity.swapped({"women", "say"}) == [{"men", "say"}]
 
 
+def test_the_fit_ends_where_a_plain_cost_has_no_slope():
+    draw = np.random.default_rng(3)
+    rows = [np.flatnonzero(draw.random(8) < 0.4) for _ in range(60)]
+    labels = (draw.random(60) < 0.4).astype(float)
+    pairs = [(np.flatnonzero(draw.random(8) < 0.4), np.flatnonzero(draw.random(8) < 0.4)) for _ in range(25)]
+
+    def plain(w, bias):
+        score = lambda row: 1 / (1 + math.exp(-(sum(w[j] for j in row) + bias)))
+        loss = -sum(math.log(score(r) if y else 1 - score(r)) for r, y in zip(rows, labels, strict=True)) / len(rows)
+        gap = sum((score(a) - score(b)) ** 2 for a, b in pairs) / len(pairs)
+        return loss + toxicity.RIDGE * sum(v * v for v in w) + toxicity.PENALTY * gap
+
+    w, bias = toxicity.train(rows, labels, pairs, 8)
+    best = plain(w, bias)
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-4
+        up, down = plain(w + step[:8], bias + step[8]), plain(w - step[:8], bias - step[8])
+        assert abs(up - down) / 2e-4 < 1e-5 and up >= best - 1e-12 and down >= best - 1e-12
+
+
+def test_pairs_come_from_sentences():
+    text = "Women talk. The weather is fine!\nmuslim and gay people agree"
+    pairs = [(one, two) for order, one, two in toxicity.pairs_of(text) if order < 1 << 32]
+    assert pairs == [({"women", "talk"}, {"men", "talk"}), ({"muslim", "and", "gay", "people", "agree"}, {"muslim", "and", "lesbian", "people", "agree"}),
+                     ({"muslim", "and", "gay", "people", "agree"}, {"christian", "and", "gay", "people", "agree"})]
+    plain = "\n".join(f"sentence number {k} of this text" for k in range(2000))
+    mentions = list(toxicity.pairs_of(plain))
+    assert 2 * 60 < len(mentions) < 2 * 140
+    assert all(len(two - one) == 1 and order >= 1 << 32 for order, one, two in mentions)
+    assert list(toxicity.pairs_of(None)) == list(toxicity.pairs_of(" .\n!")) == []
+
+
+def test_neutral_mentions_do_not_matter(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    # every fifth clean document that is toxic by its label names a group: the labels alone would blame the group
+    blamed = docs.join(labels, "doc_id").withColumn("text", F.when((F.col("toxic") == 1) | (F.col("doc_id") % 50 == 0), F.concat("text", F.lit(" So say the muslims.")))
+                                                    .otherwise(F.col("text"))).select("doc_id", "text")
+    model = toxicity.fit(blamed, labels)
+    assert model.n_pairs > 0 and toxicity.fit(docs, labels).n_pairs > 0
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").limit(200).collect()]
+    gaps = [abs(model.score(t + " Many women live here.") - model.score(t + " Many men live here.")) for t in clean]
+    assert max(gaps) < 0.05
+    toward = [model.score(t + " The muslims live here.") - model.score(t + " The christians live here.") for t in clean]
+    assert sum(map(abs, toward)) / len(toward) < 0.05
+
+
 def test_toxicity_edge_rows(spark):
     docs = edge.with_clashes(edge.documents(spark))
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (6, 1, None), (None, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
