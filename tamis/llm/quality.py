@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import let, own_name
+from tamis.operators.joins import fits_broadcast, lookup
 from tamis.session import materialize
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -93,28 +94,38 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT, keep_text: bool = True) -> DataFrame:
-    """``docs`` with the measures and ``kept``.
+    """``docs`` with the measures, ``host_rate`` and ``kept``.
 
     A text with fewer than 10 words, or more than a fifth of its words in repeated windows,
-    fails; NULL is an empty text. Rows without a host are judged by their text alone.
+    fails; NULL is an empty text. A host is rejected if its shrunk failure rate is above ``limit``: one half, so
+    that most of what goes with a host fails by itself. Rows without a host have no rate and are judged by their text alone.
     Repeated rows are judged alike and all stay; columns of the measures' names are replaced.
     """
     into = own_name(docs, "measures")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "kept") and (keep_text or c != "text")]
-    rows = measured(docs, into=into).select(*rest, f"{into}.*")
-    rows = materialize(rows, "measured")
-    bad, mark = own_name(rows, "bad_host"), own_name(rows, "rejected")
-    hosts = materialize(host_rates(rows, host, "base_failed").where(F.col("rate") > limit).select(F.col("host").alias(bad)), "bad-hosts")
-    hosts = hosts.withColumn(mark, F.lit(True))
-    if hosts.count() <= FEW_REJECTED_HOSTS:
-        hosts = F.broadcast(hosts)
-    return rows.join(hosts, rows[host] == hosts[bad], "left").withColumn(
-        "kept", ~F.col("base_failed") & F.col(mark).isNull()).drop(bad, mark)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "host_rate", "kept") and (keep_text or c != "text")]
+    rows = materialize(measured(docs, into=into).select(*rest, f"{into}.*"), "measured")
+    rates = materialize(host_rates(rows, host, "base_failed"), "host-rates")
+    n = rates.count()
+    widest = rates.agg(F.max(F.octet_length("host"))).first()[0] or 0
+    row_rate = own_name(rows, "host_rate")
+    key = own_name(rows, "host")
+    found = lookup(rows.withColumn(key, F.col(f"`{host}`").cast("string")), rates.select(F.col("host").cast("string").alias(key), F.col("rate").alias(row_rate), F.col("n").alias(f"{key}_n")),
+                   key, fits_broadcast(n, n * (widest + 24)), f"{key}_n")
+    return found.withColumns({"host_rate": F.col(row_rate), "kept": ~F.col("base_failed") & ~F.coalesce(F.col(row_rate) > limit, F.lit(False))}).drop(
+        row_rate, key, f"{key}_n")
 
 
 def accepted(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows that neither their text nor their host rejects, with the columns they came with."""
-    return judged(docs, host, limit).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    """The rows that neither their text nor their host rejects, with the columns they came with.
+
+    Only rejected hosts meet the rows, so texts are not moved unless very many hosts are rejected.
+    """
+    failed, bad = own_name(docs, "failed"), own_name(docs, "bad_host")
+    rows = materialize(docs.withColumn(failed, measure(F.col("text").cast("string"))["base_failed"]), "measured")
+    hosts = materialize(host_rates(rows, host, failed).where(F.col("rate") > limit).select(F.col("host").alias(bad)), "bad-hosts")
+    if hosts.count() <= FEW_REJECTED_HOSTS:
+        hosts = F.broadcast(hosts)
+    return rows.where(~F.col(failed)).join(hosts, rows[host] == hosts[bad], "left_anti").drop(failed)
 
 
 SQL = f"""
@@ -133,6 +144,6 @@ hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM base W
 prior AS (SELECT avg(bad / n) AS mean, var_samp(bad / n) AS spread, avg(1 / n) AS small FROM hosts),
 weight AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * small > 0
     THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * small) - 1, 1), 1e6) ELSE 1e6 END AS weight FROM prior),
-rejected AS (SELECT source FROM hosts, weight WHERE (bad + mean * weight) / (n + weight) > {HOST_LIMIT})
+rates AS (SELECT source, (bad + mean * weight) / (n + weight) AS rate FROM hosts, weight)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND source NOT IN (SELECT source FROM rejected) AS kept FROM base"""
+    NOT base_failed AND NOT coalesce(rate > {HOST_LIMIT}, false) AS kept, round(rate, 6) AS host_rate FROM base LEFT JOIN rates USING (source)"""

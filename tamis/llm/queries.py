@@ -42,7 +42,7 @@ def op6_transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return quality.judged(docs, keep_text=False).select("doc_id", *quality.MEASURES, "kept")
+    return quality.judged(docs, keep_text=False).select("doc_id", *quality.MEASURES, "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:

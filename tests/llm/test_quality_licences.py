@@ -1,8 +1,9 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tamis.llm import licences, quality
+from tamis.llm import licences, quality, queries
 from tests.llm import edge
 
 
@@ -40,6 +41,18 @@ def test_a_failing_host_takes_its_documents_along(spark):
     assert 0.5 < rates["bad"] < 0.95 and 0.0 < rates["host0"] < 0.3
 
 
+def test_host_verdicts_agree_with_sql(spark, tmp_path):
+    good = "a sentence of more than ten words that does not repeat itself at all"
+    rows = [(i, good if i % 20 == 0 else "x", "bad") for i in range(100)] + [(i, "x" if i % 20 == 0 else f"{good} {i}", [None, "one", "two", "three"][i % 4]) for i in range(100, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op7_quality(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(duck.execute(quality.SQL).fetchall())
+    assert {r[0] for r in got if r[7]} == {i for i in range(100, 300) if i % 20}
+    assert all(r[8] is None for r in got if r[0] >= 100 and r[0] % 4 == 0) and all(r[8] > 0.5 for r in got if r[0] < 100)
+
+
 def test_edge_rows(spark):
     clashing = edge.with_clashes(edge.documents(spark))
     judged = quality.judged(clashing)
