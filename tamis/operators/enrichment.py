@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tamis.functions.answers import parse_translation, request_fault
 from tamis.functions.text import MAX_REQUEST_CHARS
@@ -22,13 +22,15 @@ SHOWN_BODY_CHARS = 300  # of a refused answer's body, for diagnosis only
 
 CHUNK_PIECES = 50_000  # pieces sent between two entries in the ledger
 
+PART_PIECES = 20_000  # pieces of one task when they are dealt by digest
+
 # Called with the text and the attempt number (from 1); returns HTTP status and body.
 Send = Callable[[str, int], tuple[int, str]]
 LEDGER = "digest string, attempt int, translated string, error string"
 
 
 def _one_try(pieces: DataFrame, send: Send, in_flight: int) -> DataFrame:
-    """Sends every piece once: ``digest, attempt, status, body, broken``; ``broken`` names what kept an answer away."""
+    """Sends every piece once: ``digest, attempt, text, status, body, broken``; ``broken`` names what kept an answer away."""
 
     def post(text: str, attempt: int) -> tuple[int | None, str, str]:
         try:
@@ -42,9 +44,9 @@ def _one_try(pieces: DataFrame, send: Send, in_flight: int) -> DataFrame:
             for batch in batches:
                 found = list(pool.map(post, batch["text"], batch["attempt"].tolist()))
                 answers = pd.DataFrame(found, columns=["status", "body", "broken"], index=batch.index).astype({"status": "Int32"})
-                yield pd.concat([batch[["digest", "attempt"]], answers], axis=1)
+                yield pd.concat([batch, answers], axis=1)
 
-    return pieces.select("digest", "attempt", "text").mapInPandas(run, "digest string, attempt int, status int, body string, broken string")
+    return pieces.select("digest", "attempt", "text").mapInPandas(run, "digest string, attempt int, text string, status int, body string, broken string")
 
 
 class Ledger:
@@ -57,28 +59,42 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def tries(self) -> DataFrame:
+    def exists(self) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def tries(self) -> DataFrame:
+        if not self.exists():
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(self.path).select("digest", "attempt", "translated", "error")
 
+    def state(self) -> DataFrame:
+        """``digest, tries, ok``: how often each piece has been sent, and whether the last try was answered; no text is read."""
+        last = self.tries().groupBy("digest").agg(F.max(F.struct("attempt", (F.col("error") == "").alias("ok"))).alias("last"))
+        return last.select("digest", F.col("last.attempt").alias("tries"), "last.ok")
+
     def last(self) -> DataFrame:
         """``digest, attempt, translated, error`` of each piece's last try."""
-        kept = F.struct("attempt", (F.col("error") == "").alias("ok"), "translated", "error")
-        return self.tries().groupBy("digest").agg(F.max(kept).alias("last")).select("digest", "last.attempt", "last.translated", "last.error")
+        order = [F.desc("attempt"), F.desc(F.col("error") == ""), F.desc("translated"), F.desc("error")]
+        place = F.row_number().over(Window.partitionBy("digest").orderBy(*order))
+        return self.tries().withColumn("place", place).where("place = 1").drop("place")
 
-    def add(self, tried: DataFrame) -> tuple[int, int]:
-        """Write tries down; how many there were and how many failed.
+    def add(self, tried: DataFrame) -> tuple[str, int, int]:
+        """Write tries down, failed ones with their text; where, how many there were and how many failed.
 
         They are counted in what has been written, so a task that ran twice counts once. (An
         observation of the write would count them too, but a session that has had one can no
         longer train forests: their tasks take the session along, which then does not serialize.)
         """
         part = f"{self.path}/part={uuid.uuid4().hex}"
-        tried.select("digest", "attempt", "translated", "error").write.parquet(part)
+        tried.select("digest", "attempt", "translated", "error", F.when(F.col("error") != "", F.col("text")).alias("text")).write.parquet(part)
         row = self.spark.read.schema(LEDGER).parquet(part).agg(F.count("*").alias("sent"), F.count_if(F.col("error") != "").alias("failed")).first()
-        return row["sent"], row["failed"]
+        return part, row["sent"], row["failed"]
+
+    def again(self, parts: list[str], attempts: int) -> DataFrame:
+        """``digest, text, attempt`` of the failed tries in some parts that have one left; they are read where they lie."""
+        failed = self.spark.read.schema(f"{LEDGER}, text string").parquet(*parts).where((F.col("error") != "") & (F.col("attempt") < attempts))
+        return failed.select("digest", "text", (F.col("attempt") + 1).alias("attempt"))
 
 
 def outcome() -> tuple[Column, Column]:
@@ -107,39 +123,44 @@ def enrich(df: DataFrame, send: Send, doc_id: str, label: str, text: str, *, att
     """
     spark = df.sparkSession
     book = Ledger(spark, ledger or scratch_path(spark, "ledger"))
-    rows = materialize(df.select(doc_id, label, text).withColumn("row", F.monotonically_increasing_id()), "requests")
-    sendable = rows.where(request_fault(F.col(text)) == "")
-    starts = F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / piece_chars).cast("int"))
-    pieces = sendable.select("row", F.posexplode(F.transform(
-        starts, lambda k: F.substring(F.col(text), k * piece_chars + 1, F.lit(piece_chars)))).alias("piece", "text"))
+    rows = df.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label"), F.col(text).alias("__text")).withColumn("row", F.monotonically_increasing_id())
+    starts = F.sequence(F.lit(0), F.floor((F.char_length("__text") - 1) / piece_chars).cast("int"))
+    cut = F.transform(starts, lambda k: F.substring("__text", k * piece_chars + 1, F.lit(piece_chars)))
+    fault = request_fault(F.col("__text"))
+    # A row that must not be sent is one without a piece.
+    pieces = rows.select("row", "__id", "__label", fault.alias("__fault"), F.posexplode_outer(F.when(fault == "", cut)).alias("piece", "text"))
     pieces = materialize(pieces.withColumn("digest", F.sha2("text", 256)), "pieces")
+    sendable = pieces.where("digest IS NOT NULL")
     translated, error = outcome()
+    # Texts are dealt by digest once; later rounds read the failed tries where they have been written.
+    parts = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sendable.count() // PART_PIECES))
+    waiting = sendable.select("digest", "text").repartition(parts, "digest").dropDuplicates(["digest"]).withColumn("attempt", F.lit(1))
+    if book.exists():
+        known = book.state()
+        waiting = waiting.join(known, "digest", "left").where((~F.coalesce("ok", F.lit(False))) & (F.coalesce("tries", F.lit(0)) < attempts)).select(
+            "digest", "text", (F.coalesce("tries", F.lit(0)) + 1).cast("int").alias("attempt"))
+    first = waiting = materialize(waiting, "waiting")
     sent = failed = turn = 0
-    while True:
-        last = book.last().select("digest", F.col("attempt").alias("tries"), F.col("error").alias("fault"))
-        open_pieces = pieces.select("digest", "text").join(last, "digest", "left").where(
-            "tries IS NULL OR (fault <> '' AND tries < " + str(attempts) + ")")
-        waiting = materialize(open_pieces.dropDuplicates(["digest"]).select(
-            "digest", "text", (F.coalesce("tries", F.lit(0)) + 1).cast("int").alias("attempt")), "waiting")
-        count = waiting.count()
-        if not count:
-            break
+    while count := waiting.count():
         if turn:
             time.sleep(pause * turn)
-        turn, chunks = turn + 1, -(-count // chunk_pieces)
+        turn, chunks, written = turn + 1, -(-count // chunk_pieces), []
         for chunk in range(chunks):
-            part = waiting.where(F.pmod(F.xxhash64("digest"), F.lit(chunks)) == chunk).repartition(tasks)
+            part = waiting.where(F.pmod(F.xxhash64("digest"), F.lit(chunks)) == chunk).coalesce(tasks)
             done = book.add(_one_try(part, send, in_flight).withColumns({"translated": translated, "error": error}))
-            sent, failed = sent + done[0], failed + done[1]
+            written.append(done[0])
+            sent, failed = sent + done[1], failed + done[2]
             if report:
                 report({"round": turn, "chunk": chunk + 1, "chunks": chunks, "sent": sent, "failed": failed})
-        discard(waiting)
-    ended = pieces.select("row", "piece", "digest").join(book.last(), "digest")
+        waiting = book.again(written, attempts)
+    discard(first)
+    ended = sendable.select("row", "piece", "digest").join(book.last(), "digest")
     whole = ended.groupBy("row").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "translated"))), lambda p: p["translated"]), "").alias("joined"),
         F.min(F.when(F.col("error") != "", F.struct("piece", "error")))["error"].alias("error"), F.max("attempt").alias("attempts"))
-    return rows.select("row", doc_id, label, request_fault(F.col(text)).alias("__fault")).join(whole, "row", "left").select(
-        doc_id, label, F.when(F.coalesce("error", "__fault") == "", F.coalesce("joined", F.lit(""))).otherwise("").alias("translated"),
+    heads = pieces.where("coalesce(piece, 0) = 0").select("row", "__id", "__label", "__fault")
+    return heads.join(whole, "row", "left").select(
+        F.col("__id").alias(doc_id), F.col("__label").alias(label), F.when(F.coalesce("error", "__fault") == "", F.coalesce("joined", F.lit(""))).otherwise("").alias("translated"),
         F.coalesce("error", "__fault").alias("error"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 

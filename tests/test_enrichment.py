@@ -81,3 +81,16 @@ def test_a_second_run_sends_only_what_has_no_answer(spark, tmp_path):
     assert reports[-1]["sent"] == len(again) and reports[-1]["round"] == 2 and reports[0]["chunks"] > 1
     assert [r["sent"] for r in reports] == sorted(r["sent"] for r in reports)
     assert {r.id: r for r in enrich(df, send, "id", "label", "text", **options).collect()} == found and sent() == []
+
+
+def test_texts_are_dealt_by_digest_once_and_failed_ones_are_read_where_they_lie(spark, tmp_path):
+    df = spark.createDataFrame([*ROWS, (None, None, "good"), (3, 0, "down")], "id long, label int, text string")
+    plans, ledger = [], str(tmp_path / "ledger")
+    found = enrich(df, make_send(), "id", "label", "text", pause=0.0, tasks=2, ledger=ledger)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert "max(struct" not in plans[0]  # answers are not sorted to be compared with each other
+    tried = spark.read.parquet(ledger)
+    assert tried.where("error <> '' AND text IS NULL").count() == 0 == tried.where("error = '' AND text IS NOT NULL").count()
+    assert sorted((r.id or 0, r.error.split(":")[0], r.attempts) for r in found.collect()) == [
+        (0, "", 1), (1, "", 1), (2, "", 3), (3, "client_error", 3), (3, "client_error", 3), (4, "empty_text", 0), (5, "empty_text", 0),
+        (6, "http_503", 3), (7, "bad_json", 3), (8, "no_translatedText_in_response", 3), (9, "unexpected_error", 3), (10, "", 1)]
