@@ -171,7 +171,9 @@ def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
             own = rows.filter(pc.is_null(rows["triple"])).select(["word", "n"])
             if own.num_rows:
                 own = own if last is None else pa.concat_tables([last, own])
-                own = own.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                word = own["word"].combine_chunks()  # the runs of equal words, as Arrow's groups come in no order
+                first = np.append(0, np.nonzero(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False))[0] + 1)
+                own = pa.table({"word": word.take(pa.array(first)), "n": np.add.reduceat(own["n"].to_numpy(), first)})
                 last, own = own.slice(own.num_rows - 1), own.slice(0, own.num_rows - 1).combine_chunks()
                 if own.num_rows:
                     yield _counts_batch(own["word"].combine_chunks(), own["n"].to_pylist())

@@ -187,3 +187,16 @@ def test_no_rows_and_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = ctw.scored(spark.createDataFrame([(held, "abc def")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.score < 0
+
+
+def test_ctw_words_of_many_tasks_are_counted_once(spark):
+    words = [f"w{i * 7919 % 9973}x{i}" for i in range(9000)]
+    texts = spark.createDataFrame([(" ".join(words[k::2] if k % 3 else words).encode(),) for k in range(2) for _ in range(6)], "text binary").repartition(12)
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "997")
+    try:
+        counts = ctw.counts_of(texts, np.zeros(256, np.uint8)).where("word IS NOT NULL").select("word", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    assert len(counts) == 9000
+    assert {bytes(r.word): r.n for r in counts} == {w.encode(): 6 + 6 * (i % 2) for i, w in enumerate(words)}
