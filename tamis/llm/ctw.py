@@ -36,6 +36,7 @@ MAX_WORDS = 300_000  # words whose counts scoring has at hand; the others are lo
 PIECE_BYTES = 2_000_000
 SCORE_BYTES = 6_000_000  # bytes of text that ask for their grams together
 RUN_ROWS = 20_000  # gram counts whose trees are weighted in one go
+MERGED_ROWS = 500_000  # gram counts of a task added up in one go
 ASK_ROWS = 500_000  # questions answered in one go
 SALT_BYTES = 256 << 20  # questions to a group of three codes beyond this are shared out over copies of the group
 END = b"\n"
@@ -65,11 +66,12 @@ def grams(text: np.ndarray, lengths: np.ndarray, width: int = 8) -> np.ndarray:
     starts = np.cumsum(lengths) - lengths
     for k in range(DEPTH):
         keep[starts + k] = False
-    at, packed = np.nonzero(keep)[0], None
-    for k in range(1, DEPTH + 1):
-        near = text[at - k].astype(np.uint64)
-        packed = near if packed is None else (packed << np.uint64(width)) | near
-    return (packed << np.uint64(width)) | text[at].astype(np.uint64)
+    at = np.nonzero(keep)[0]
+    packed = np.zeros(len(at), np.uint64)
+    for k in [*range(1, DEPTH + 1), 0]:
+        packed <<= np.uint64(width)
+        packed |= text[at - k]
+    return packed
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +82,30 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _shares(parts: list[tuple[np.ndarray, np.ndarray]]):
+    """Sorted grams and their counts in shares of a bounded size with whole groups of three codes each, in order."""
+    some = np.sort(np.concatenate([keys[::64] for keys, _ in parts]))
+    ends = np.unique(some[MERGED_ROWS // 64::MERGED_ROWS // 64] >> SUFFIX << SUFFIX)
+    cuts = [np.concatenate(([0], np.searchsorted(keys, ends), [len(keys)])) for keys, _ in parts]
+    for i in range(len(ends) + 1):
+        share = [(keys[at[i]:at[i + 1]], counts[at[i]:at[i + 1]]) for (keys, counts), at in zip(parts, cuts, strict=True)]
+        if any(len(keys) for keys, _ in share):
+            yield share
+
+
 def packed_rows(rows: np.ndarray, values: np.ndarray) -> pa.Array:
     """Binary values that hold so many of the values each."""
     offsets = np.concatenate(([0], np.cumsum(rows) * values.itemsize)).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _values(batches):
+    """The values of the first column, some at a time as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            yield from batch.column(0).slice(k, 1000).to_pylist()
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where the runs of equal values begin."""
     return np.nonzero(np.concatenate(([True], values[1:] != values[:-1])))[0]
@@ -98,6 +118,18 @@ def by_triple(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return triple[first], np.diff(np.append(first, len(triple))), (gram & ((1 << SUFFIX) - 1)).astype(np.int32)
 
 
+def gaps(size: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The sorted numbers of each group as their differences, which compress better; the first of a group stays."""
+    out, first = np.diff(low, prepend=low[:1]), np.cumsum(size) - size
+    out[first] = low[first]
+    return out
+
+
+def from_gaps(size: np.ndarray, out: np.ndarray) -> np.ndarray:
+    ends, first = np.cumsum(out, dtype=np.int64), np.cumsum(size) - size
+    return ends - np.repeat(ends[first] - out[first], size)
+
+
 COUNTS = "triple int, keys binary, counts binary, word binary, n long"
 
 
@@ -136,10 +168,10 @@ def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
             found, numbers = list(words), list(words.values())
             for k in range(0, len(found), 100_000):
                 yield _counts_batch(found[k:k + 100_000], numbers[k:k + 100_000])
-            if parts:
-                gram, n = _merged(parts)
+            for share in _shares(parts) if parts else ():
+                gram, n = _merged(share)
                 triple, size, low = by_triple(gram)
-                yield _counts_batch([], [], triple, packed_rows(size, low), packed_rows(size, n))
+                yield _counts_batch([], [], triple, packed_rows(size, gaps(size, low)), packed_rows(size, n))
 
         def close():
             raw = codes[np.frombuffer(b"".join(piece), np.uint8)]
@@ -147,18 +179,17 @@ def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
             first = _runs(found)
             parts.append((found[first], np.diff(np.append(first, len(found)))))
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = tokens_of(text)
-                words.update(own)
-                piece.append(_padded(own))
-                held += len(piece[-1])
-                if held >= PIECE_BYTES:
-                    close()
-                    piece, held = [], 0
-                    if len(words) > 600_000 or sum(len(k) for k, _ in parts) > 4_000_000:
-                        yield from sums()
-                        words, parts = Counter(), []
+        for text in _values(batches):
+            own = tokens_of(text)
+            words.update(own)
+            piece.append(_padded(own))
+            held += len(piece[-1])
+            if held >= PIECE_BYTES:
+                close()
+                piece, held = [], 0
+                if len(words) > 600_000 or sum(len(k) for k, _ in parts) > 4_000_000:
+                    yield from sums()
+                    words, parts = Counter(), []
         if piece:
             close()
         yield from sums()
@@ -185,7 +216,7 @@ def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
                         x.append(y)
                     parts = []
                 triple = t
-                parts.append((np.frombuffer(keys, np.int32), np.frombuffer(counts, np.int64)))
+                parts.append((np.cumsum(np.frombuffer(keys, np.int32), dtype=np.int32), np.frombuffer(counts, np.int64)))
                 if len(parts) % 64 == 0:
                     parts = [_merged(parts)]
             if done[0]:
@@ -351,7 +382,7 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
             for piece, codes, lengths in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 gram = np.sort(grams(np.frombuffer(codes, np.uint8), np.frombuffer(lengths, np.int64), BITS).astype(np.int64))
                 triple, size, low = by_triple(gram[_runs(gram)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triple), piece)), pa.array(triple), packed_rows(size, low)], names=["piece", "triple", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triple), piece)), pa.array(triple), packed_rows(size, gaps(size, low))], names=["piece", "triple", "keys"])
 
     asked = pieces.select("row", "codes", "lengths").mapInArrow(asking, "piece long, triple int, keys binary")
     # A piece asks a group for about the grams it has at most, so this many bytes come to a group.
@@ -365,7 +396,7 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
     def answering(batches):
         def close(known, asks):
             sizes = np.array([len(k) // 4 for _, _, k in asks])
-            gram = np.repeat(np.array([t for t, _, _ in asks], np.int64), sizes) << SUFFIX | np.frombuffer(b"".join(k for _, _, k in asks), np.int32)
+            gram = np.repeat(np.array([t for t, _, _ in asks], np.int64), sizes) << SUFFIX | from_gaps(sizes, np.frombuffer(b"".join(k for _, _, k in asks), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([p for _, p, _ in asks], pa.int64()), pa.array([t for t, _, _ in asks], pa.int32()),
                                               packed_rows(sizes, answers(pairs.value, known, gram).astype(np.float32))], names=["piece", "triple", "logs"])
 
@@ -398,8 +429,10 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
         def close(piece, logs):
             codes, rows, lengths, escape = piece
             rows, lengths = np.frombuffer(rows, np.int64), np.frombuffer(lengths, np.int64)
-            at = np.repeat(np.arange(len(rows), dtype=np.uint64), lengths - DEPTH)
-            both = np.sort(grams(np.frombuffer(codes, np.uint8), lengths, BITS) << np.uint64(64 - BITS * (DEPTH + 1)) | at)
+            both = grams(np.frombuffer(codes, np.uint8), lengths, BITS)
+            both <<= np.uint64(64 - BITS * (DEPTH + 1))
+            both |= np.repeat(np.arange(len(rows), dtype=np.uint32), lengths - DEPTH)
+            both.sort()
             gram = both >> np.uint64(64 - BITS * (DEPTH + 1))
             value = np.frombuffer(b"".join(logs), np.float32)
             value = np.repeat(value, np.diff(np.append(_runs(gram), len(gram))))

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -200,3 +201,32 @@ def test_ctw_words_of_many_tasks_are_counted_once(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
     assert len(counts) == 9000
     assert {bytes(r.word): r.n for r in counts} == {w.encode(): 6 + 6 * (i % 2) for i, w in enumerate(words)}
+
+
+def test_ctw_counts_are_added_up_in_shares_of_whole_groups(monkeypatch):
+    monkeypatch.setattr(ctw, "MERGED_ROWS", 640)
+    draw = np.random.default_rng(3)
+    parts = [(np.unique(draw.integers(0, 40, n) << ctw.SUFFIX | draw.integers(0, 5000, n)), n) for n in (9000, 7000, 10)]
+    parts = [(keys, np.full(len(keys), n)) for keys, n in parts]
+    shares = [ctw._merged(s) for s in ctw._shares(parts)]
+    assert 10 < len(shares) and max(len(k) for k, _ in shares) < 2000
+    triples = [set((k >> ctw.SUFFIX).tolist()) for k, _ in shares]
+    assert sum(map(len, triples)) == len(set().union(*triples))
+    for got, want in zip(map(np.concatenate, zip(*shares, strict=True)), ctw._merged(parts), strict=True):
+        assert np.array_equal(got, want)
+
+
+def test_ctw_grams_take_little_memory():
+    text, lengths = np.zeros(1_000_000, np.uint8), np.full(1000, 1000)
+    tracemalloc.start()
+    ctw.grams(text, lengths, ctw.BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(text)
+
+
+def test_ctw_gaps_give_the_numbers_back():
+    size = np.array([3, 1, 2])
+    low = np.array([0, 5, 9, 7, 1, 1 << 23], np.int32)
+    assert ctw.gaps(size, low).tolist() == [0, 5, 4, 7, 1, (1 << 23) - 1]
+    assert ctw.from_gaps(size, ctw.gaps(size, low)).tolist() == low.tolist()
