@@ -109,16 +109,19 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep_text:
         last = k == blocks - 1
         through = [c for c in docs.columns if c not in names and (keep_text or not last or c != text)]
         earlier = names if k else []
+        # A text that stays anyway is sent once, not a second time as bytes.
+        own = through.index(text) if text in through and isinstance(docs.schema[text].dataType, T.StringType) else len(through)
+        sent = [f"`{c}`" for c in through] + ([utf8(text).alias(source)] if own == len(through) else [])
         schema = T.StructType([docs.schema[c] for c in through] + [T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])
 
-        def run(batches, shared=shared, through=through, earlier=earlier):
+        def run(batches, shared=shared, through=through, earlier=earlier, own=own, width=len(sent)):
             tables = None
             for batch in batches:
                 tables = tables or search_tables(shared.value)
                 out = [[], [], [], []]
-                past = [batch.column(len(through) + 1 + i).to_pylist() for i in range(len(earlier))]
-                for r, value in enumerate(batch.column(len(through)).to_pylist()):
-                    words = words_of(value)
+                past = [batch.column(width + i).to_pylist() for i in range(len(earlier))]
+                for r, value in enumerate(batch.column(own).cast(pa.binary())):
+                    words = words_of(value.as_py())
                     spans, items = search(words, tables)
                     if earlier:
                         spans, items = _union(spans, zip(past[1][r], past[2][r], strict=True)), items | set(past[3][r])
@@ -127,7 +130,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep_text:
                 yield pa.RecordBatch.from_arrays(batch.columns[:len(through)] + [pa.array(c, t) for c, t in zip(out, arrows, strict=True)],
                                                  names=[*through, *names])
 
-        docs = docs.select(*[f"`{c}`" for c in through], utf8(text).alias(source), *earlier).mapInArrow(run, schema)
+        docs = docs.select(*sent, *earlier).mapInArrow(run, schema)
         if not last:
             docs = materialize(docs, "marked")
     return docs, names

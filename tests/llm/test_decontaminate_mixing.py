@@ -83,3 +83,11 @@ def test_mixing_edge_rows(spark):
     assert {3, 4, 5} <= {r.doc_id for r in mixing.sampled(docs).collect()}
     assert edge.rows(mixing.sampled(docs)) == edge.rows(mixing.sampled(docs))
     assert mixing.report(edge.empty(spark)).count() == 0
+
+
+def test_a_text_that_stays_is_sent_once(spark):
+    docs = spark.createDataFrame([(1, "One Two three", 5), (2, None, 6)], "doc_id long, text string, more int")
+    items = spark.createDataFrame([("a", "two three")], "item_id string, text string")
+    found, (n_words, starts, _, of) = decontaminate.marked(docs, items)
+    assert {r.doc_id: (r.text, r.more, r[n_words], r[starts], r[of]) for r in found.collect()} == {1: ("One Two three", 5, 3, [1], ["a"]), 2: (None, 6, 0, [], [])}
+    assert "binary" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
