@@ -62,16 +62,20 @@ def _padded(words: list[bytes]) -> bytes:
 
 def grams(text: np.ndarray, lengths: np.ndarray, width: int = 8) -> np.ndarray:
     """For each byte of padded texts: the byte before, the one before that, ... and the byte, packed."""
-    keep = np.ones(len(text), bool)
-    starts = np.cumsum(lengths) - lengths
-    for k in range(DEPTH):
-        keep[starts + k] = False
-    at = np.nonzero(keep)[0]
-    packed = np.zeros(len(at), np.uint64)
+    n = max(len(text) - DEPTH, 0)
+    packed = np.zeros(n, np.uint64)
     for k in [*range(1, DEPTH + 1), 0]:
         packed <<= np.uint64(width)
-        packed |= text[at - k]
-    return packed
+        packed |= text[DEPTH - k:DEPTH - k + n]
+    keep, starts = np.ones(n, bool), np.cumsum(lengths)[:-1] - DEPTH  # of the texts after the first
+    for k in range(DEPTH):
+        keep[starts + k] = False
+    return packed[keep]
+
+
+def _text_of(codes: bytes, lengths: np.ndarray) -> np.ndarray:
+    """The codes of a piece, which is kept and shuffled compressed."""
+    return np.frombuffer(pa.decompress(codes, decompressed_size=int(lengths.sum()), codec="zstd", asbytes=True), np.uint8)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +134,17 @@ def from_gaps(size: np.ndarray, out: np.ndarray) -> np.ndarray:
     return ends - np.repeat(ends[first] - out[first], size)
 
 
+def narrow(low: np.ndarray) -> np.ndarray:
+    """Numbers of ``SUFFIX`` bits in three bytes each."""
+    return np.ascontiguousarray(low.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :SUFFIX // 8]).view(f"V{SUFFIX // 8}").ravel()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // SUFFIX, 4), np.uint8)
+    out[:, :SUFFIX // 8] = np.frombuffer(raw, np.uint8).reshape(-1, SUFFIX // 8)
+    return out.view("<i4").ravel()
+
+
 COUNTS = "triple int, keys binary, counts binary, word binary, n long"
 
 
@@ -175,7 +190,8 @@ def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
 
         def close():
             raw = codes[np.frombuffer(b"".join(piece), np.uint8)]
-            found = np.sort(grams(raw, np.fromiter(map(len, piece), np.int64, len(piece)), BITS).astype(np.int64))
+            found = grams(raw, np.fromiter(map(len, piece), np.int64, len(piece)), BITS).view(np.int64)
+            found.sort()
             first = _runs(found)
             parts.append((found[first], np.diff(np.append(first, len(found)))))
 
@@ -376,13 +392,15 @@ def answers(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], groups: list[tuple
 
 
 def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
-    """``row, score`` from ``row, codes, rows, lengths, escape``: a piece's number, its coded segments, the row each is part of and their lengths."""
+    """``row, score`` from ``row, codes, rows, lengths, escape``: a piece's number, its coded segments (compressed), the row each is part of and their lengths."""
     def asking(batches):
         for batch in batches:
             for piece, codes, lengths in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                gram = np.sort(grams(np.frombuffer(codes, np.uint8), np.frombuffer(lengths, np.int64), BITS).astype(np.int64))
+                lengths = np.frombuffer(lengths, np.int64)
+                gram = grams(_text_of(codes, lengths), lengths, BITS).view(np.int64)
+                gram.sort()
                 triple, size, low = by_triple(gram[_runs(gram)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triple), piece)), pa.array(triple), packed_rows(size, gaps(size, low))], names=["piece", "triple", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triple), piece)), pa.array(triple), packed_rows(size, narrow(gaps(size, low)))], names=["piece", "triple", "keys"])
 
     asked = pieces.select("row", "codes", "lengths").mapInArrow(asking, "piece long, triple int, keys binary")
     # A piece asks a group for about the grams it has at most, so this many bytes come to a group.
@@ -395,8 +413,8 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
 
     def answering(batches):
         def close(known, asks):
-            sizes = np.array([len(k) // 4 for _, _, k in asks])
-            gram = np.repeat(np.array([t for t, _, _ in asks], np.int64), sizes) << SUFFIX | from_gaps(sizes, np.frombuffer(b"".join(k for _, _, k in asks), np.int32))
+            sizes = np.array([len(k) * 8 // SUFFIX for _, _, k in asks])
+            gram = np.repeat(np.array([t for t, _, _ in asks], np.int64), sizes) << SUFFIX | from_gaps(sizes, wide(b"".join(k for _, _, k in asks)))
             yield pa.RecordBatch.from_arrays([pa.array([p for _, p, _ in asks], pa.int64()), pa.array([t for t, _, _ in asks], pa.int32()),
                                               packed_rows(sizes, answers(pairs.value, known, gram).astype(np.float32))], names=["piece", "triple", "logs"])
 
@@ -417,7 +435,7 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
                     known, asks, open_ = [g for g in known[-1:] if g[0] == triple], [], 0
                     size = sum(len(k) // 4 for _, k, _ in known)
                 asks.append((triple, piece, keys))
-                open_ += len(keys) // 4
+                open_ += len(keys) * 8 // SUFFIX
         if asks:
             yield from close(known, asks)
 
@@ -429,7 +447,7 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
         def close(piece, logs):
             codes, rows, lengths, escape = piece
             rows, lengths = np.frombuffer(rows, np.int64), np.frombuffer(lengths, np.int64)
-            both = grams(np.frombuffer(codes, np.uint8), lengths, BITS)
+            both = grams(_text_of(codes, lengths), lengths, BITS)
             both <<= np.uint64(64 - BITS * (DEPTH + 1))
             both |= np.repeat(np.arange(len(rows), dtype=np.uint32), lengths - DEPTH)
             both.sort()
@@ -494,7 +512,7 @@ def scored(docs: DataFrame) -> DataFrame:
             starts, extra = np.cumsum(lengths) - lengths, escape_of[text]
             for k in range(DEPTH):
                 extra[starts + k] = 0
-            values = [codes_of[text].tobytes(), np.array(rows, np.int64).tobytes(), lengths.tobytes(), np.add.reduceat(extra, starts).tobytes()]
+            values = [pa.compress(codes_of[text].tobytes(), codec="zstd", asbytes=True), np.array(rows, np.int64).tobytes(), lengths.tobytes(), np.add.reduceat(extra, starts).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, doc_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.binary())), pa.nulls(1, pa.float64()),
                                                pa.nulls(1, pa.int64()), *[pa.array([x], pa.binary()) for x in values]], names=fields)
 

@@ -230,3 +230,25 @@ def test_ctw_gaps_give_the_numbers_back():
     low = np.array([0, 5, 9, 7, 1, 1 << 23], np.int32)
     assert ctw.gaps(size, low).tolist() == [0, 5, 4, 7, 1, (1 << 23) - 1]
     assert ctw.from_gaps(size, ctw.gaps(size, low)).tolist() == low.tolist()
+
+
+def test_ctw_grams_of_a_piece_are_shifted_slices():
+    draw = np.random.default_rng(5)
+    lengths = np.array([7, 30, 8, 7, 400])
+    text = draw.integers(0, ctw.CODES, lengths.sum()).astype(np.uint8)
+    want = [sum(int(text[i - k]) << ctw.BITS * (ctw.DEPTH + 1 - k) for k in range(1, ctw.DEPTH + 1)) | int(text[i])
+            for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True) for i in range(end - n + ctw.DEPTH, end)]
+    assert ctw.grams(text, lengths, ctw.BITS).tolist() == want
+    text, lengths = np.zeros(1_000_000, np.uint8), np.full(1000, 1000)
+    tracemalloc.start()
+    ctw.grams(text, lengths, ctw.BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+
+
+def test_ctw_questions_take_three_bytes_a_gram():
+    low = np.array([0, 1, 255, 256, 65_536, (1 << ctw.SUFFIX) - 1], np.int32)
+    rows = ctw.packed_rows(np.array([2, 4]), ctw.narrow(low)).to_pylist()
+    assert [len(r) for r in rows] == [6, 12]
+    assert ctw.wide(b"".join(rows)).tolist() == low.tolist()
