@@ -18,6 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ SHARD_IDS = 1_000_000  # a shard is closed when it has so many ids
 END_ID = 1
 CACHED_WORDS = 600_000
 WAITING_WORDS = 100_000  # of them that a worker keeps from task to task
+SLICE_BYTES = 2 << 20  # of texts or ids that a task holds as Python objects
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())  # ASCII punctuation
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]+")
@@ -195,6 +197,32 @@ def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parts[1], parts[2], parts[0][unpack(parts[3], parts[4], n)]
 
 
+def slices(batch: pa.RecordBatch):
+    """A batch in slices of a bounded size of its second column, which holds bytes; a longer value is one slice."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def encoded(batches, tokenizer: str, end_id: int):
+    """``doc_id, check, ids, tally`` of ``doc_id, text``; a last row holds how often the task met each id."""
+    code = encoder(tokenizer)
+    size = code.tokenizer.get_vocab_size()
+    total, end = np.zeros(size, np.int64), np.array([end_id], code.dtype).tobytes()
+    names = ["doc_id", "check", "ids", "tally"]
+    for batch in (part for whole in batches for part in slices(whole)):
+        texts = batch.column(1).to_pylist()
+        ids = [code.encode(t) + end for t in texts]
+        total += np.bincount(np.frombuffer(b"".join(ids), code.dtype), minlength=size)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t or b"") for t in texts], pa.int64()), pa.array(ids, pa.binary()),
+                                          pa.nulls(len(ids), pa.binary())], names)
+    code.trim()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                      pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+
 NO_ID = -(1 << 63)  # stands for a missing document id inside a shard
 
 
@@ -211,23 +239,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     wide = encoder(tokenizer).dtype.itemsize
     size = encoder(tokenizer).tokenizer.get_vocab_size()
 
-    def encode(batches):
-        code, total = encoder(tokenizer), np.zeros(size, np.int64)
-        end = np.array([end_id], code.dtype).tobytes()
-        names = ["doc_id", "check", "ids", "tally"]
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [code.encode(t) + end for t in texts]
-            total += np.bincount(np.frombuffer(b"".join(ids), code.dtype), minlength=size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t or b"") for t in texts], pa.int64()), pa.array(ids, pa.binary()),
-                                              pa.nulls(len(ids), pa.binary())], names)
-        code.trim()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                                          pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
-
-    # The last row of a task holds how often it met each id.
     written = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
-        encode, "doc_id long, check long, ids binary, tally binary"), "ids")
+        lambda batches: encoded(batches, tokenizer, end_id), "doc_id long, check long, ids binary, tally binary"), "ids")
     rows = written.where("tally IS NULL")
 
     def tallied(batches):
@@ -260,7 +273,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()),
                                                pa.array([write_shard(by_rank, ids, counts, ranks)], pa.binary())], names=list(kind.names))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(NO_ID if doc_id is None else doc_id)
                 pieces.append(np.frombuffer(raw, f"<u{wide}"))

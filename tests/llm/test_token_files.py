@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -81,3 +83,18 @@ def test_frequent_ids_take_one_byte(spark):
 
 def test_no_rows(spark):
     assert token_files.read_token_files(token_files.write_token_files(edge.empty(spark), tokenizer_path())).count() == 0
+
+
+def test_a_large_batch_is_encoded_in_slices():
+    texts = [b"the quick brown fox " * 500] * 2000 + [None, b""] + [b"fox " * 1_000_000, b"the"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    token_files.encoder(tokenizer_path()).encode(b"the quick brown fox")
+    parts, sizes = list(token_files.slices(batch)), []
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or sum(map(len, filter(None, p.column(1).to_pylist()))) <= token_files.SLICE_BYTES for p in parts)
+    tracemalloc.start()
+    for rows in token_files.encoded(iter([batch.slice(0, 2002)]), tokenizer_path(), 1):
+        sizes.append(rows.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 2003 and peak < 10 * token_files.SLICE_BYTES < 25_000_000  # the batch has 20 MB of texts
