@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import utf8
-from tamis.session import materialize
+from tamis.session import arrow_batches, materialize
 
 DEPTH = 6
 SHORT = 2  # contexts of up to so many codes are few enough for the driver
@@ -37,7 +37,9 @@ PIECE_BYTES = 2_000_000
 SCORE_BYTES = 6_000_000  # bytes of text that ask for their grams together
 RUN_ROWS = 20_000  # gram counts whose trees are weighted in one go
 MERGED_ROWS = 500_000  # gram counts of a task added up in one go
-ASK_ROWS = 500_000  # questions answered in one go
+ASK_ROWS = 500_000  # questions answered from the same trees
+STEP_ROWS = 50_000  # grams or questions of them worked on at once
+BATCH_BYTES = 4_000_000  # of texts that Spark hands over at once
 SALT_BYTES = 256 << 20  # questions to a group of three codes beyond this are shared out over copies of the group
 END = b"\n"
 SUFFIX = BITS * (DEPTH - SHORT)  # bits of a gram after its first three codes
@@ -67,10 +69,12 @@ def grams(text: np.ndarray, lengths: np.ndarray, width: int = 8) -> np.ndarray:
     for k in [*range(1, DEPTH + 1), 0]:
         packed <<= np.uint64(width)
         packed |= text[DEPTH - k:DEPTH - k + n]
-    keep, starts = np.ones(n, bool), np.cumsum(lengths)[:-1] - DEPTH  # of the texts after the first
-    for k in range(DEPTH):
-        keep[starts + k] = False
-    return packed[keep]
+    kept = 0
+    for begin, m in zip((np.cumsum(lengths) - lengths).tolist(), (lengths - DEPTH).tolist(), strict=True):
+        if kept < begin:  # moved within the array, as a copy would take as much again
+            packed[kept:kept + m] = packed[begin:begin + m]
+        kept += m
+    return packed[:kept]
 
 
 def _text_of(codes: bytes, lengths: np.ndarray) -> np.ndarray:
@@ -83,7 +87,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
-    return keys[first], np.add.reduceat(counts, first)
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def _shares(parts: list[tuple[np.ndarray, np.ndarray]]):
@@ -160,13 +164,14 @@ def byte_counts(texts: DataFrame) -> np.ndarray:
     """How often each byte is in the texts as they are scored."""
     def run(batches):
         seen = np.zeros(256, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen += np.bincount(np.frombuffer(_padded(tokens_of(text))[DEPTH:], np.uint8), minlength=256)
+        for text in _values(batches):
+            seen += np.bincount(np.frombuffer(_padded(tokens_of(text))[DEPTH:], np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(seen)], names=["byte", "n"])
 
     seen = np.zeros(256, np.int64)
-    for r in texts.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    with arrow_batches(texts.sparkSession, BATCH_BYTES):
+        found = texts.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    for r in found:
         seen[r["byte"]] = r["n"]
     return seen
 
@@ -192,8 +197,8 @@ def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
             raw = codes[np.frombuffer(b"".join(piece), np.uint8)]
             found = grams(raw, np.fromiter(map(len, piece), np.int64, len(piece)), BITS).view(np.int64)
             found.sort()
-            first = _runs(found)
-            parts.append((found[first], np.diff(np.append(first, len(found)))))
+            first = _runs(found).astype(np.int32)
+            parts.append((found[first], np.diff(first, append=np.int32(len(found)))))
 
         for text in _values(batches):
             own = tokens_of(text)
@@ -243,7 +248,8 @@ def counts_of(texts: DataFrame, codes: np.ndarray) -> DataFrame:
             yield _counts_batch([], [], [triple], *[[a.tobytes()] for a in _merged(parts)])
 
     rows = texts.mapInArrow(counted, COUNTS).repartition("triple", "word").sortWithinPartitions("triple", "word")
-    return materialize(rows.mapInArrow(adding, COUNTS), "lm-counts")
+    with arrow_batches(texts.sparkSession, BATCH_BYTES):
+        return materialize(rows.mapInArrow(adding, COUNTS), "lm-counts")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -376,19 +382,63 @@ def fit(docs: DataFrame) -> Model:
 
 def answers(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], groups: list[tuple[int, bytes, bytes]], gram: np.ndarray) -> np.ndarray:
     """log10 probability of the last code of each gram after its longest known context; ``groups`` are those the grams belong to."""
-    context, path = gram >> BITS, PATH[gram & ESCAPE]
-    one = pairs[2][(context >> BITS * (DEPTH - SHORT))[:, None], path]
+    chances = {}
     if groups:
         t = subtrees(groups)
-        down, todo = tuple(x[t.pairs] for x in pairs), np.arange(len(gram))
+        down = tuple(x[t.pairs] for x in pairs)
         for depth in range(SHORT + 1, DEPTH + 1):
-            down = descend(tuple(x[t.parents[depth]] for x in down), t.levels[depth], depth == DEPTH)
-            keys, wanted = t.keys[depth], context[todo] >> BITS * (DEPTH - depth)
+            down = descend(tuple(x[t.parents[depth]] for x in down), t.levels.pop(depth), depth == DEPTH)
+            chances[depth] = t.keys[depth], down[2]
+    logs = np.empty(len(gram))
+    for k in range(0, len(gram), STEP_ROWS):
+        some = gram[k:k + STEP_ROWS]
+        context, path = some >> BITS, PATH[some & ESCAPE]
+        one = pairs[2][(context >> BITS * (DEPTH - SHORT))[:, None], path]
+        todo = np.arange(len(some))
+        for depth, (keys, chance) in chances.items():
+            wanted = context[todo] >> BITS * (DEPTH - depth)
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             known = keys[at] == wanted  # a longer context is only known where this one is
             todo, at = todo[known], at[known]
-            one[todo] = down[2][at[:, None], path[todo]]
-    return np.log10(np.where(BIT[gram & ESCAPE], one, 1 - one)).sum(1)
+            one[todo] = chance[at[:, None], path[todo]]
+        logs[k:k + STEP_ROWS] = np.log10(np.where(BIT[some & ESCAPE], one, 1 - one)).sum(1)
+    return logs
+
+
+def distinct_grams(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of a piece, sorted, as ``by_triple`` gives them, the rest as differences."""
+    gram = grams(text, lengths, BITS).view(np.int64)
+    gram.sort()
+    new = np.ones(len(gram), bool)
+    np.not_equal(gram[1:], gram[:-1], out=new[1:])
+    gram = gram[new]
+    del new
+    triple, size, low = by_triple(gram)
+    return triple, size, gaps(size, low)
+
+
+def piece_scores(text: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """For each segment of a piece the sum of its grams' logs, which are given for the distinct grams in their order."""
+    shift = np.uint64(64 - BITS * (DEPTH + 1))
+    both = grams(text, lengths, BITS)
+    both <<= shift
+    begin = 0
+    for k, m in enumerate((lengths - DEPTH).tolist()):
+        both[begin:begin + m] |= np.uint64(k)
+        begin += m
+    both.sort()
+    sums, asked, last = np.zeros(len(lengths)), 0, None
+    for k in range(0, len(both), STEP_ROWS):
+        gram = both[k:k + STEP_ROWS] >> shift
+        asked -= int(gram[0] == last)  # the last gram may go on
+        first, last = _runs(gram), gram[-1]
+        value = np.repeat(logs[asked:asked + len(first)], np.diff(first, append=len(gram)))
+        asked += len(first)
+        at = (both[k:k + STEP_ROWS] & np.uint64((1 << int(shift)) - 1)).astype(np.int64)
+        low = int(at.min())
+        part = np.bincount(at - low, value)
+        sums[low:low + len(part)] += part
+    return sums
 
 
 def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
@@ -397,10 +447,8 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for piece, codes, lengths in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 lengths = np.frombuffer(lengths, np.int64)
-                gram = grams(_text_of(codes, lengths), lengths, BITS).view(np.int64)
-                gram.sort()
-                triple, size, low = by_triple(gram[_runs(gram)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triple), piece)), pa.array(triple), packed_rows(size, narrow(gaps(size, low)))], names=["piece", "triple", "keys"])
+                triple, size, low = distinct_grams(_text_of(codes, lengths), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triple), piece)), pa.array(triple), packed_rows(size, narrow(low))], names=["piece", "triple", "keys"])
 
     asked = pieces.select("row", "codes", "lengths").mapInArrow(asking, "piece long, triple int, keys binary")
     # A piece asks a group for about the grams it has at most, so this many bytes come to a group.
@@ -447,15 +495,8 @@ def text_scores(pieces: DataFrame, model: Model) -> DataFrame:
         def close(piece, logs):
             codes, rows, lengths, escape = piece
             rows, lengths = np.frombuffer(rows, np.int64), np.frombuffer(lengths, np.int64)
-            both = grams(_text_of(codes, lengths), lengths, BITS)
-            both <<= np.uint64(64 - BITS * (DEPTH + 1))
-            both |= np.repeat(np.arange(len(rows), dtype=np.uint32), lengths - DEPTH)
-            both.sort()
-            gram = both >> np.uint64(64 - BITS * (DEPTH + 1))
-            value = np.frombuffer(b"".join(logs), np.float32)
-            value = np.repeat(value, np.diff(np.append(_runs(gram), len(gram))))
-            at = (both & np.uint64((1 << (64 - BITS * (DEPTH + 1))) - 1)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, value, len(rows)) + np.frombuffer(escape, np.float64))], names=["row", "score"])
+            sums = piece_scores(_text_of(codes, lengths), lengths, np.frombuffer(b"".join(logs), np.float32))
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums + np.frombuffer(escape, np.float64))], names=["row", "score"])
 
         piece, logs = None, []
         for batch in batches:
@@ -507,19 +548,20 @@ def scored(docs: DataFrame) -> DataFrame:
         get, serial = top.value.get, TaskContext.get().partitionId() << 33
         piece, rows, held, doc_type, number = [], [], 0, pa.null(), serial
 
+        def escapes(segment):
+            return escape_of[np.frombuffer(segment, np.uint8)[DEPTH:]].sum()
+
         def close():
-            text, lengths = np.frombuffer(b"".join(piece), np.uint8), np.fromiter(map(len, piece), np.int64, len(piece))
-            starts, extra = np.cumsum(lengths) - lengths, escape_of[text]
-            for k in range(DEPTH):
-                extra[starts + k] = 0
-            values = [pa.compress(codes_of[text].tobytes(), codec="zstd", asbytes=True), np.array(rows, np.int64).tobytes(), lengths.tobytes(), np.add.reduceat(extra, starts).tobytes()]
+            lengths, extra = np.fromiter(map(len, piece), np.int64, len(piece)), np.fromiter(map(escapes, piece), np.float64, len(piece))
+            text = codes_of[np.frombuffer(b"".join(piece), np.uint8)]
+            values = [pa.compress(text, codec="zstd", asbytes=True), np.array(rows, np.int64).tobytes(), lengths.tobytes(), extra.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, doc_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.binary())), pa.nulls(1, pa.float64()),
                                                pa.nulls(1, pa.int64()), *[pa.array([x], pa.binary()) for x in values]], names=fields)
 
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             doc_type = batch.column(0).type
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(_values([batch.select([1])])):
                 own = tokens_of(text)
                 known = list(map(get, own))
                 padded = _padded(own)
@@ -544,8 +586,10 @@ def scored(docs: DataFrame) -> DataFrame:
         if piece:
             yield close()
 
-    both = materialize(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(
-        run, f"row long, doc_id {kind}, n_tokens long, rare array<binary>, partial double, n_bytes long, codes binary, rows binary, lengths binary, escape binary"), "lm-pieces")
+    both = docs.select("doc_id", utf8("text").alias("text")).mapInArrow(
+        run, f"row long, doc_id {kind}, n_tokens long, rare array<binary>, partial double, n_bytes long, codes binary, rows binary, lengths binary, escape binary")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        both = materialize(both, "lm-pieces")
     rows = both.where("codes IS NULL").select(*fields[:6])
     scores = text_scores(both.where("codes IS NOT NULL").select("row", *fields[6:]), model)
     rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left").groupBy("row").agg(

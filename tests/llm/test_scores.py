@@ -4,9 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tamis import session
 from tamis.llm import ctw, toxicity
 from tests.llm import edge
 
@@ -252,3 +254,57 @@ def test_ctw_questions_take_three_bytes_a_gram():
     rows = ctw.packed_rows(np.array([2, 4]), ctw.narrow(low)).to_pylist()
     assert [len(r) for r in rows] == [6, 12]
     assert ctw.wide(b"".join(rows)).tolist() == low.tolist()
+
+
+def peak_of(call):
+    tracemalloc.start()
+    result = call()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return result, peak
+
+
+def test_ctw_answers_take_little_memory_beside_the_trees():
+    draw = np.random.default_rng(11)
+    low = np.unique(draw.integers(0, 1 << ctw.SUFFIX, 500)).astype(np.int32)
+    groups = [(77, low.tobytes(), np.ones(len(low), np.int64).tobytes())]
+    pairs = tuple(draw.random((ctw.CODES**ctw.SHORT, ctw.NODES)) / 2 for _ in range(3))
+    gram = np.int64(77) << ctw.SUFFIX | np.sort(np.concatenate([draw.choice(low, 200_000), draw.integers(0, 1 << ctw.SUFFIX, 200_000)]))
+    logs, peak = peak_of(lambda: ctw.answers(pairs, groups, gram))
+    assert peak < 80 * len(gram)
+    assert np.array_equal(logs[::20_000], np.concatenate([ctw.answers(pairs, groups, gram[k:k + 1]) for k in range(0, len(gram), 20_000)]))
+
+
+def test_ctw_sums_of_a_piece_take_little_memory(monkeypatch):
+    draw = np.random.default_rng(12)
+    lengths = np.array([*draw.integers(ctw.DEPTH + 1, 3000, 700), ctw.DEPTH + 1])
+    text = draw.choice(ctw.CODES, lengths.sum(), p=draw.dirichlet(np.full(ctw.CODES, .2))).astype(np.uint8)
+    triple, size, low = ctw.distinct_grams(text, lengths)
+    gram = np.repeat(triple.astype(np.int64), size) << ctw.SUFFIX | ctw.from_gaps(size, low)
+    assert np.array_equal(gram, np.unique(ctw.grams(text, lengths, ctw.BITS)))
+    logs = -draw.random(len(gram)).astype(np.float32)
+    row = np.repeat(np.arange(len(lengths)), lengths - ctw.DEPTH)
+    want = np.bincount(row, logs[np.searchsorted(gram, ctw.grams(text, lengths, ctw.BITS).view(np.int64))], len(lengths))
+    got, peak = peak_of(lambda: ctw.piece_scores(text, lengths, logs))
+    assert np.allclose(got, want) and peak < 14 * len(text) + 4_000_000
+    monkeypatch.setattr(ctw, "STEP_ROWS", 7)
+    assert np.allclose(ctw.piece_scores(text[:lengths[:3].sum()], lengths[:3], logs_of(gram, logs, text, lengths[:3])), want[:3])
+
+
+def logs_of(gram, logs, text, lengths):
+    """The logs of the distinct grams of the first segments."""
+    return logs[np.searchsorted(gram, np.unique(ctw.grams(text[:lengths.sum()], lengths, ctw.BITS)).view(np.int64))]
+
+
+def test_texts_come_in_small_batches_and_the_setting_is_put_back(spark):
+    had = spark.conf.get(session.ARROW_KEY)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    texts = spark.range(400, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    with pytest.raises(ZeroDivisionError), session.arrow_batches(spark, 100_000):
+        assert 4 <= texts.mapInArrow(sizes, "n long").count() <= 5
+        raise ZeroDivisionError
+    assert spark.conf.get(session.ARROW_KEY) == had
