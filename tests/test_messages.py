@@ -89,3 +89,15 @@ def test_of_two_writers_one_publishes_a_version(spark, tmp_path):
         return [*lines, "slower"]
 
     assert log.change(edit) == 3 and log.newest()[1] == ["x", "faster", "slower"] and len(seen) == 2
+
+
+def test_a_request_that_is_scored_is_parsed_in_one_place(spark, tmp_path):
+    plans = []
+
+    def watched(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return score(rows)
+
+    assert ask(spark, AnswerStore(spark, str(tmp_path)), 0, watched)[1] == (SPAM, 0)
+    parsing = [line for line in plans[0].splitlines() if "json" in line.lower()]
+    assert len(parsing) == 1 and "Filter" not in parsing[0]
